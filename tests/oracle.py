@@ -26,7 +26,7 @@ def duck(sf_dir: str):
 
 
 def canon(v):
-    if v is None or v is pd.NaT:
+    if v is None or v is pd.NaT or v is pd.NA:
         return None
     if isinstance(v, float):
         return None if math.isnan(v) else v
@@ -72,7 +72,7 @@ def main() -> int:
 
     sf_dir, prefixes = sys.argv[1], sys.argv[2:]
     spark = build_session("oracle", "local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"})
+        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     con, sqls, bad = duck(sf_dir), all_sql(), 0
     for name, fn in all_queries().items():

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BLOCK, HALO, BUCKET = "__block", "__halo", "__bucket"
+BLOCK, HALO, HOT, BUCKET = "__block", "__halo", "__hot", "__bucket"
 
 
 @dataclass(frozen=True)
@@ -83,18 +83,30 @@ def block_map(df: DataFrame, axis: Axis, back: int = 0, fwd: int = 0) -> DataFra
 
 
 def split(df: DataFrame, axis: Axis, back: int = 0, fwd: int = 0) -> DataFrame:
-    """Add the block column and, for frames of ``back``/``fwd`` rows, the halo copies."""
+    """Add the block column and, for frames of ``back``/``fwd`` rows, the halo copies.
+
+    A frame that is already split and needs no halo is returned as it is, so several running values can share a split.
+    """
     keys = list(axis.keys)
+    if BLOCK in df.columns:
+        if not (back or fwd):
+            return df
+        df = unsplit(df)
     cut = (df.withColumn(BUCKET, axis.bucket())
            .join(block_map(df, axis, back, fwd), [*keys, BUCKET], "left"))
-    own = F.coalesce(F.col("__own"), F.lit(0))
+    hot = F.col("__own").isNotNull()
+    own = F.coalesce(F.col("__own"), F.lit(0)).cast("long")
     if back or fwd:
-        spread = F.when(F.col("__own").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
+        spread = F.when(~hot, F.array(F.lit(0).cast("long"))).otherwise(
             F.sequence(F.col("__first").cast("long"), F.col("__last").cast("long")))
         cut = cut.withColumn(BLOCK, F.explode(spread)).withColumn(HALO, F.col(BLOCK) != own)
     else:
-        cut = cut.withColumn(BLOCK, own.cast("long")).withColumn(HALO, F.lit(False))
-    return cut.select(*df.columns, BLOCK, HALO)
+        cut = cut.withColumn(BLOCK, own).withColumn(HALO, F.lit(False))
+    return cut.select(*df.columns, BLOCK, HALO, hot.alias(HOT))
+
+
+def unsplit(df: DataFrame) -> DataFrame:
+    return df.drop(BLOCK, HALO, HOT)
 
 
 def block_window(axis: Axis, desc: bool = False) -> WindowSpec:
@@ -110,7 +122,7 @@ def windowed(df: DataFrame, axis: Axis, build: Callable[[DataFrame, WindowSpec],
              *, back: int = 0, fwd: int = 0) -> DataFrame:
     """Run ``build`` over block windows; it may look ``back`` rows behind and ``fwd`` ahead."""
     out = build(split(df, axis, back, fwd), block_window(axis))
-    return out.filter(~F.col(HALO)).drop(HALO, BLOCK)
+    return unsplit(out.filter(~F.col(HALO)))
 
 
 def _combine(kind: str, before: Column, here: Column) -> Column:
@@ -125,48 +137,42 @@ def _combine(kind: str, before: Column, here: Column) -> Column:
     return F.coalesce(before, here)
 
 
-def running(df: DataFrame, axis: Axis, aggs: Mapping[str, tuple[str, Column]], *,
-            reverse: bool = False, exclusive: bool = False) -> DataFrame:
-    """Cumulative ``sum|count|max|min|first|last`` (first/last skip NULL) from the series start.
+def running(df: DataFrame, axis: Axis, aggs: Mapping[str, tuple], *, exclusive: bool = False) -> DataFrame:
+    """Cumulative values per series: ``{name: (kind, value)}`` or ``(kind, value, True)`` to run from the end.
 
-    ``reverse`` runs from the end; ``exclusive`` leaves out the current row.
+    Kinds are ``sum|count|max|min|first|last``; first and last skip NULL. ``exclusive`` leaves out the current row.
+    Given a split frame the result stays split.
     """
-    keys = list(axis.keys)
-    ordering = [*axis.order]
-    rows = split(df, axis).drop(HALO)
-    for name, (_, value) in aggs.items():
-        rows = rows.withColumn(f"__in_{name}", value)
-    hot = (df.withColumn(BUCKET, axis.bucket())
-           .join(block_map(df, axis), [*keys, BUCKET], "inner").withColumnRenamed("__own", BLOCK))
-    pick = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}
-    totals = []
-    for name, (kind, value) in aggs.items():
-        if kind in pick:
-            totals.append(pick[kind](value).alias(f"__tot_{name}"))
+    keys, shared = list(axis.keys), BLOCK in df.columns
+    specs = {n: (a[0], a[1], len(a) > 2 and bool(a[2])) for n, a in aggs.items()}
+    rows = split(df, axis)
+    plain = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}
+    skip_null = {"last": lambda c: F.last(c, ignorenulls=True), "first": lambda c: F.first(c, ignorenulls=True)}
+    inside_fold, carry_fold = {**plain, **skip_null}, {**plain, **skip_null, "count": F.sum}
+    totals, carries, local = [], [], []
+    for name, (kind, value, reverse) in specs.items():
+        if kind in plain:
+            totals.append(plain[kind](value).alias(f"__tot_{name}"))
         else:
-            at = F.when(value.isNotNull(), F.struct(*ordering))
+            at = F.when(value.isNotNull(), F.struct(*axis.order))
             chooser = F.max_by if (kind == "last") != reverse else F.min_by
             totals.append(chooser(value, at).alias(f"__tot_{name}"))
-    blocks = hot.groupBy(*keys, BLOCK).agg(*totals)
-    over = W.partitionBy(*keys).orderBy(F.col(BLOCK).desc() if reverse else F.col(BLOCK))
-    earlier = over.rowsBetween(W.unboundedPreceding, -1)
-    fold = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min,
-            "last": lambda c: F.last(c, ignorenulls=True), "first": lambda c: F.first(c, ignorenulls=True)}
-    carry = blocks.select(*keys, BLOCK, *[
-        fold[kind](F.col(f"__tot_{name}")).over(earlier).alias(f"__pre_{name}") for name, (kind, _) in aggs.items()])
-    inside = block_window(axis, desc=reverse).rowsBetween(W.unboundedPreceding, -1 if exclusive else 0)
-    fold["count"] = F.count
-    local = rows.select("*", *[
-        fold[kind](F.col(f"__in_{name}")).over(inside).alias(f"__loc_{name}") for name, (kind, _) in aggs.items()])
-    out = local.join(carry, [*keys, BLOCK], "left")
-    keep = [c for c in df.columns if c not in aggs]
-    return out.select(*keep, *[
-        _combine(kind, F.col(f"__pre_{name}"), F.col(f"__loc_{name}")).alias(name)
-        for name, (kind, _) in aggs.items()])
+        over = W.partitionBy(*keys).orderBy(F.col(BLOCK).desc() if reverse else F.col(BLOCK).asc())
+        carries.append(carry_fold[kind](F.col(f"__tot_{name}")).over(
+            over.rowsBetween(W.unboundedPreceding, -1)).alias(f"__pre_{name}"))
+        frame = block_window(axis, desc=reverse).rowsBetween(W.unboundedPreceding, -1 if exclusive else 0)
+        local.append(inside_fold[kind](value).over(frame).alias(f"__loc_{name}"))
+    blocks = rows.filter(HOT).groupBy(*keys, BLOCK).agg(*totals)
+    carry = blocks.select(*keys, BLOCK, *carries)
+    out = rows.select("*", *local).join(carry, [*keys, BLOCK], "left")
+    keep = [c for c in rows.columns if c not in aggs]
+    out = out.select(*keep, *[
+        _combine(kind, F.col(f"__pre_{name}"), F.col(f"__loc_{name}")).alias(name) for name, (kind, _, _) in specs.items()])
+    return out if shared else unsplit(out)
 
 
 def row_numbers(df: DataFrame, axis: Axis, name: str = "rn") -> DataFrame:
-    """1-based position of each row in its series."""
+    """1-based position of each row in its series (split frames stay split)."""
     return running(df, axis, {name: ("count", F.lit(1))})
 
 
@@ -218,7 +224,7 @@ def ewm(df: DataFrame, axis: Axis, columns: Mapping[str, tuple[str, float]], *,
                     F.coalesce(F.col(p + "c"), F.lit(0.0)) + F.col(p + "in.y") * F.exp(F.col(p + "s") - F.col(p + "in.s"))))
             if need.get(out, 1) > 1:
                 d = d.withColumn(p + "y", F.when(F.count(x).over(upto) >= need[out], F.col(p + "y")))
-        drop = [c for c in d.columns if c.startswith("__") and c not in (BLOCK, HALO)]
+        drop = [c for c in d.columns if c.startswith("__") and c not in (BLOCK, HALO, HOT) and c not in df.columns]
         named = d.withColumns({out: F.col(f"__{out}_y") for out in columns})
         return named.drop(*drop)
 

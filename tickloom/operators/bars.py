@@ -38,33 +38,34 @@ def grid_of(df: DataFrame, axis: Axis, step: float) -> DataFrame:
 def fill(df: DataFrame, axis: Axis, columns: Sequence[str], method: str = "ffill",
          zero: Sequence[str] = ()) -> DataFrame:
     """Fill NULLs of ``columns`` forward, backward or both; ``zero`` columns become 0."""
-    out = df
-    if method in ("ffill", "both"):
-        out = running(out, axis, {c: ("last", F.col(c)) for c in columns})
-    if method in ("bfill", "both"):
-        out = running(out, axis, {c: ("last", F.col(c)) for c in columns}, reverse=True)
+    if method == "both":
+        runs = {f"__{way}_{c}": ("last", F.col(c), way == "b") for way in "fb" for c in columns}
+        out = running(df, axis, runs).withColumns({c: F.coalesce(F.col(f"__f_{c}"), F.col(f"__b_{c}")) for c in columns}).drop(*runs)
+    elif method in ("ffill", "bfill"):
+        out = running(df, axis, {c: ("last", F.col(c), method == "bfill") for c in columns})
+    else:
+        raise ValueError(f"unknown fill method {method!r}")
     return out.fillna(0.0, list(zero)) if zero else out
 
 
-def interpolate(df: DataFrame, axis: Axis, columns: Sequence[str], *, edges: str = "both") -> DataFrame:
-    """Linear in the axis value between the neighbouring non-NULL values.
+def interpolate(df: DataFrame, axis: Axis, columns: Sequence[str], *, edges: str = "both", at: Column | None = None) -> DataFrame:
+    """Linear in ``at`` (default: the axis value) between the neighbouring non-NULL values.
 
     ``edges="both"`` repeats the nearest value at both ends; ``"forward"`` leaves a leading gap NULL.
     """
-    def point(c: str) -> Column:
-        at = F.col(axis.ts).cast("double") if axis.numeric else micros(axis.ts).cast("double")
-        return F.when(F.col(c).isNotNull(), F.struct(at.alias("t"), F.col(c).cast("double").alias("v")))
-
-    before = running(df, axis, {f"__b_{c}": ("last", point(c)) for c in columns})
-    both = running(before, axis, {f"__a_{c}": ("last", point(c)) for c in columns}, reverse=True)
-    now = F.col(axis.ts).cast("double") if axis.numeric else micros(axis.ts).cast("double")
+    if at is None:
+        at = F.col(axis.ts) if axis.numeric else micros(axis.ts)
+    at = at.cast("double")
+    point = {c: F.when(F.col(c).isNotNull(), F.struct(at.alias("t"), F.col(c).cast("double").alias("v"))) for c in columns}
+    runs = {f"__{way}_{c}": ("last", point[c], way == "a") for way in "ba" for c in columns}
+    both = running(df, axis, runs)
     done = {}
     for c in columns:
         b, a = F.col(f"__b_{c}"), F.col(f"__a_{c}")
-        line = b["v"] + (a["v"] - b["v"]) * ratio(now - b["t"], a["t"] - b["t"], 0.0)
+        line = b["v"] + (a["v"] - b["v"]) * ratio(at - b["t"], a["t"] - b["t"], 0.0)
         lead = a["v"] if edges == "both" else F.lit(None).cast("double")
         done[c] = F.when(F.col(c).isNotNull(), F.col(c)).when(b.isNull(), lead).when(a.isNull(), b["v"]).otherwise(line)
-    return both.withColumns(done).drop(*[f"__{s}_{c}" for s in "ab" for c in columns])
+    return both.withColumns(done).drop(*runs)
 
 
 def _rank(axis: Axis) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.functions.exprs import any_of, finite, ratio
-from tickloom.operators.axis import Axis, windowed
+from tickloom.operators.axis import Axis, row_numbers, split, unsplit, windowed
 from tickloom.operators.bars import interpolate
 
 Predicate = Column | Callable[[], Column]
@@ -58,12 +58,9 @@ def parse_time(df: DataFrame, ts: str) -> DataFrame:
 
 def normalize_frame(df: DataFrame, axis: Axis, columns: Sequence[str]) -> DataFrame:
     """Parsed times, exact duplicates removed, gaps of numeric columns interpolated by row position."""
-    from tickloom.operators.axis import row_numbers
-
     unique = parse_time(df, axis.ts).dropDuplicates()
-    placed = row_numbers(unique, axis, "__pos")
-    by_pos = Axis(axis.keys, "__pos", (), grain=4096.0, block_rows=axis.block_rows, numeric=True)
-    return interpolate(placed, by_pos, columns).drop("__pos")
+    placed = row_numbers(split(unique, axis), axis, "__pos")
+    return unsplit(interpolate(placed, axis, columns, at=F.col("__pos"))).drop("__pos")
 
 
 def scale(df: DataFrame, keys: Sequence[str], column: str, method: str = "zscore", out: str = "scaled") -> DataFrame:

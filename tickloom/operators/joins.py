@@ -32,7 +32,7 @@ def asof(left: DataFrame, right: DataFrame, *, keys: Sequence[str], ts: str = "t
     l = left.select(*keys, ts, F.lit(l_side).alias("__side"), F.struct(F.lit(1).alias("__l"), *rest).alias("__row"))
     both = r.unionByName(l, allowMissingColumns=True)
     axis = Axis(tuple(keys), ts, ("__side", "__o"), grain, block_rows, numeric)
-    done = running(both, axis, {"__r": ("last", F.col("__r"))}, reverse=direction == "forward")
+    done = running(both, axis, {"__r": ("last", F.col("__r"), direction == "forward")})
     hit = F.col("__r")
     if tolerance is not None:
         gap = F.abs(F.col(ts) - hit["__at"]) if numeric else F.abs(micros(ts) - micros(hit["__at"])) / 1e6

@@ -175,10 +175,10 @@ def normalize_report(t):
 @query("c10_infer_frequency", """
 WITH b AS (SELECT DISTINCT symbol, time_bucket(INTERVAL '1 day', ts) AS ts FROM ticks),
 d AS (SELECT symbol, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY symbol ORDER BY ts)) AS d FROM b)
-SELECT symbol, CASE WHEN min(d) = max(d) THEN min(d) END AS step_us, count(*) AS rows FROM d GROUP BY symbol""")
+SELECT symbol, CAST(CASE WHEN min(d) = max(d) THEN min(d) END AS DOUBLE) AS step_us, count(*) AS rows FROM d GROUP BY symbol""")
 def infer(t):
     days = t.ticks.select("symbol", F.window("ts", "1 day").start.alias("ts")).distinct()
-    return B.infer_step(days, Axis(("symbol",), "ts", (), grain=DAY))
+    return B.infer_step(days, Axis(("symbol",), "ts", (), grain=DAY)).withColumn("step_us", F.col("step_us").cast("double"))
 
 
 @query("c11_ohlcv_range_query", """
