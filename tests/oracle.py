@@ -87,7 +87,7 @@ def main() -> int:
             if len(got) == 0:
                 note += " EMPTY"
         except Exception as exc:  # noqa: BLE001 - report and go on
-            took, verdict, note = time.time() - t, f"{type(exc).__name__}: {str(exc)[:900]}", ""
+            took, verdict, note = time.time() - t, f"{type(exc).__name__}: {str(exc)[:260]}", ""
         bad += verdict is not None
         print(f"{'ok  ' if verdict is None else 'FAIL'} {name} {took:.1f}s {note}" + (f"\n{verdict}" if verdict else ""),
               flush=True)

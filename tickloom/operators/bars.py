@@ -180,7 +180,7 @@ def normalization_report(raw: DataFrame, normalized: DataFrame, axis: Axis, meth
         *keys, (F.col("__n") - F.col("__d")).alias("duplicates_dropped"))
     rep = normalized.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"), F.min(axis.ts).alias("start"), F.max(axis.ts).alias("end"),
-        F.count_if("missing").alias("missing_intervals"))
+        F.count_if(F.col("missing")).alias("missing_intervals"))
     filled = F.lit(0).cast("long") if method == "none" else F.col("missing_intervals")
     return rep.withColumn("filled_intervals", filled).join(dup, keys)
 
