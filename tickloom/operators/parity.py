@@ -91,8 +91,8 @@ def parity_report(offline: DataFrame, online: DataFrame, entity: Sequence[str],
         block = block.when(F.col("updated") > 0, "append_updates")
     if tolerance is not None:
         block = block.when(F.col("max_drift") > tolerance, "drift")
-    return rep.drop("__online").withColumns({
-        "columns_added": F.lit(",".join(added)), "columns_removed": F.lit(",".join(removed)), "blocked_by": block})
+    return rep.withColumns({
+        "columns_added": F.lit(",".join(added)), "columns_removed": F.lit(",".join(removed)), "blocked_by": block}).drop("__online")
 
 
 def rows_to_write(offline: DataFrame, online: DataFrame, entity: Sequence[str], ts: str, mode: str = "append") -> DataFrame:
