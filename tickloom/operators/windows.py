@@ -133,3 +133,16 @@ def history(df: DataFrame, axis: Axis) -> DataFrame:
     """Validity interval and version of each state row."""
     d = windowed(df, axis, lambda d, w: d.withColumn("valid_from", F.col(axis.ts)).withColumn("valid_to", F.lead(axis.ts).over(w)), back=1, fwd=1)
     return running(d, axis, {"version": ("count", F.lit(1))})
+
+
+def vpin(df: DataFrame, axis: Axis, volume: str, buy: str, sell: str, bucket: int = 50, out: str = "vpin") -> DataFrame:
+    """Rolling order-flow imbalance over total volume of the last ``bucket`` rows, limited to [0, 1]."""
+    from tickloom.functions.exprs import clip, finite, ratio
+
+    size = lambda c: F.greatest(F.coalesce(finite(F.col(c).cast("double")), F.lit(0.0)), F.lit(0.0))
+
+    def build(d, w):
+        s = trailing(w, bucket)
+        total = F.sum(size(volume)).over(s)
+        return d.withColumn(out, clip(ratio(F.sum(F.abs(size(buy) - size(sell))).over(s), total, 0.0), 0.0, 1.0))
+    return windowed(df, axis, build, back=max(bucket - 1, 1))
