@@ -198,12 +198,12 @@ def heat(t):
 
 @query("a20_order_rollup", """
 WITH f AS (SELECT order_id, sum(quantity) AS q, sum(quantity * price) / sum(quantity) AS a FROM fills WHERE status = 'F' GROUP BY 1)
-SELECT order_id, round(CASE WHEN q >= target_quantity * 0.5 - 1e-9 THEN target_quantity * 0.5 ELSE coalesce(q, 0) END, 6) AS filled_quantity, round(a, 7) AS average_price,
+SELECT order_id, round(CASE WHEN q >= target_quantity * 0.5 - 1e-9 THEN target_quantity * 0.5 ELSE coalesce(q, 0) END, 6) AS filled_quantity, round(a, 9) AS average_price,
   CASE WHEN q IS NULL THEN 'open' WHEN q >= target_quantity * 0.5 - 1e-9 THEN 'filled' ELSE 'partially_filled' END AS status FROM parents LEFT JOIN f USING (order_id)""")
 def rollup(t):
     orders = t.parents.select("order_id", (F.col("target_quantity") * 0.5).alias("target_quantity"))
     out = A.order_rollup(orders, t.fills.filter("status = 'F'"))
-    return out.select("order_id", F.round("filled_quantity", 6).alias("filled_quantity"), F.round("average_price", 7).alias("average_price"), "status")
+    return out.select("order_id", F.round("filled_quantity", 6).alias("filled_quantity"), F.round("average_price", 9).alias("average_price"), "status")
 
 
 @query("a21_recent_snapshot", """

@@ -185,10 +185,10 @@ def flags(t):
 
 
 @query("i21_direction_and_ism", """
-SELECT seq, round(0.5 * price + 0.3 * volume + 0.2 * (price - volume), 6) AS direction, round(coalesce(price / nullif(volume - 50, 0), 0), 6) AS ism FROM ticks""")
+SELECT seq, round(0.5 * price + 0.3 * volume + 0.2 * (price - volume), 6) AS direction, round(coalesce(price / nullif(volume - 50, 0), 0), 9) AS ism FROM ticks""")
 def direction(t):
     p, v = F.col("price"), F.col("volume")
-    return t.ticks.select("seq", F.round(G.direction_index(p, v, p - v), 6).alias("direction"), F.round(G.ism(p, v - 50), 6).alias("ism"))
+    return t.ticks.select("seq", F.round(G.direction_index(p, v, p - v), 6).alias("direction"), F.round(G.ism(p, v - 50), 9).alias("ism"))
 
 
 @query("i22_hierarchical_features")
