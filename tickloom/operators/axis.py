@@ -82,12 +82,29 @@ def block_map(df: DataFrame, axis: Axis, back: int = 0, fwd: int = 0) -> DataFra
     return m.select(*keys, BUCKET, F.col(BLOCK).alias("__own"), first.alias("__first"), last.alias("__last"))
 
 
+MAX_LEAVES = 6
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write out a deep plan before it is referenced again.
+
+    Every ordered step reads its input for the rows and for the block map; chained steps would multiply the scans.
+    Once a plan has more than ``MAX_LEAVES`` sources its rows are written to the shared scratch folder, which keeps
+    the work linear and cuts the lineage.
+    """
+    if df.isStreaming or df._jdf.queryExecution().analyzed().collectLeaves().size() <= MAX_LEAVES:
+        return df
+    from tickloom.session import materialise
+    return materialise(df, "series")
+
+
 def split(df: DataFrame, axis: Axis, back: int = 0, fwd: int = 0) -> DataFrame:
     """Add the block column and, for frames of ``back``/``fwd`` rows, the halo copies.
 
     A frame that is already split and needs no halo is returned as it is, so several running values can share a split.
     """
     keys = list(axis.keys)
+    df = settle(df)
     if BLOCK in df.columns:
         if not (back or fwd):
             return df

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.functions.exprs import clip, finite, ratio
-from tickloom.operators.axis import Axis, row_numbers, windowed
+from tickloom.operators.axis import Axis, row_numbers, settle, windowed
+from tickloom.session import materialise
 
 
 def price_edges(df: DataFrame, axis: Axis, price: str = "price", delta: float = 0.005) -> DataFrame:
@@ -110,6 +111,7 @@ def window_graphs(df: DataFrame, axis: Axis, price: str, volume: str | None = No
     high = F.least(last, F.floor(F.col("__pos") / step))
     d = d.withColumn("win", F.explode(F.when(high >= low, F.sequence(low.cast("long"), high.cast("long"))).otherwise(F.array().cast("array<bigint>"))))
     gk = [*keys, "win"]
+    d = materialise(d, "windows")  # few rows per series; read several times below
     ends = d.groupBy(*gk).agg(F.min("__p").alias("__lo"), F.max("__p").alias("__hi"), F.avg("__p").alias("__mean"))
     d = d.join(ends, gk).withColumn("__p", F.coalesce(finite(F.col("__p").cast("double")), F.col("__mean")))
     width = (F.col("__hi") + 1e-6 - F.col("__lo")) / max(levels - 1, 1)
@@ -130,7 +132,7 @@ def lazy_walk_curvature(edges: DataFrame, keys: Sequence[str], alpha: float = 0.
 
     With degrees and the number of shared neighbours the sum over the support has a closed form.
     """
-    keys = list(keys)
+    keys, edges = list(keys), settle(edges)
     both = edges.select(*keys, F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(
         edges.select(*keys, F.col("dst").alias("a"), F.col("src").alias("b")))
     deg = both.groupBy(*keys, "a").agg(F.count(F.lit(1)).alias("deg"))

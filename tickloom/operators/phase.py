@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.functions.exprs import clip, finite
-from tickloom.operators.axis import Axis, row_numbers, running, split, trailing, unsplit, windowed
+from tickloom.operators.axis import Axis, row_numbers, running, settle, split, trailing, unsplit, windowed
 from tickloom.operators.bars import interpolate, multi_timeframe
 
 MAX_POINTS = 1 << 24
@@ -131,6 +131,7 @@ def hierarchical(df: DataFrame, axis: Axis, steps: Mapping[str, float], *, price
     aligned = asof(frame, bars.withColumnRenamed(price, "close"), keys=[*keys, "timeframe"], ts="bucket", values=["close"], grain=axis.grain).drop("matched_ts")
     tall = Axis([*keys, "timeframe"], "bucket", (), axis.grain, axis.block_rows)
     aligned = windowed(aligned, tall, lambda d, w: d.withColumn("ret", F.coalesce(F.col("close") - F.lag("close").over(w), F.lit(0.0))), back=1)
+    aligned = settle(aligned)
     p = phase(aligned, tall, "ret")
     per = entropy(aligned, tall.keys, "ret", bins).join(hurst(aligned, tall, "close"), [*keys, "timeframe"]).join(
         p.groupBy(*keys, "timeframe").agg(kuramoto("phase").alias("kuramoto")), [*keys, "timeframe"])

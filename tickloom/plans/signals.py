@@ -93,7 +93,7 @@ c AS (SELECT *, least(greatest(CASE WHEN vol > 1e-12 THEN least(greatest(sg, -0.
 p AS (SELECT *, coalesce(lag(raw, 2) OVER w, 0) AS position FROM c {W}),
 m AS (SELECT *, coalesce(lag(position) OVER w, 0) AS held, coalesce(price - lag(price) OVER w, 0) AS step FROM p {W}),
 e AS (SELECT *, held * step - abs(position - held) * price * 5e-4 AS pnl FROM m), q AS (SELECT *, sum(pnl) OVER w AS equity FROM e {W})
-SELECT seq, round(position, 6) AS position, round(pnl, 6) AS pnl, round(equity, 6) AS equity, round(equity - max(equity) OVER w, 6) AS drawdown FROM q {W}""")
+SELECT seq, round(position, 6) + 0.0 AS position, round(pnl, 6) + 0.0 AS pnl, round(equity, 6) AS equity, round(equity - max(equity) OVER w, 6) AS drawdown FROM q {W}""")
 def g8(t):
     out = SG.pnl_pipeline(with_signal(t), t.by_symbol, latency=2, max_gross=0.8, target_vol=0.5, lookback=10, cost_bps=5.0)
     return rnd(out.select("seq", "position", "pnl", "equity", "drawdown"), "position", "pnl", "equity", "drawdown")
@@ -111,7 +111,7 @@ COSTS = "(VALUES ('A', 0.01, 2.0, 0.0, 0.02, 0.0, 0.0, 0.001, 0.0, 0.0, 300.0, 5
 
 
 @query("g10_transaction_costs", f"""
-SELECT order_id, line, part, broker, round(quantity * fpu + quantity * price * (cb * 1e-4 + cp * 0.01), 6) AS commission, round(sf + price * sb * 1e-4, 6) AS spread,
+SELECT order_id, line, part, broker, round(quantity * fpu + quantity * price * (cb * 1e-4 + cp * 0.01), 6) AS commission, round(sf + price * sb * 1e-4, 9) AS spread,
   round(slf + quantity * slu + price * (sa + slb * sqrt(quantity)), 6) AS slippage, round(CASE WHEN status = 'F' THEN lr ELSE shr END * 1e-4 * quantity * price * pow(quantity, ex - 1) / per, 6) AS financing
 FROM fills JOIN {COSTS} USING (venue)""")
 def g10(t):
@@ -122,7 +122,7 @@ def g10(t):
     costs = t.spark.createDataFrame(rows, "venue string, " + ", ".join(f"{n} double" for n in names))
     d = t.fills.withColumn("position", F.when(F.col("status") == "F", F.col("quantity")).otherwise(-F.col("quantity")))
     out = SG.trade_costs(d, costs, "venue", position="position")
-    return rnd(out.select("order_id", "line", "part", "broker", "commission", "spread", "slippage", "financing"), "commission", "spread", "slippage", "financing")
+    return rnd(rnd(out.select("order_id", "line", "part", "broker", "commission", "spread", "slippage", "financing"), "commission", "slippage", "financing"), "spread", digits=9)
 
 
 def curve(t):
