@@ -111,7 +111,7 @@ COSTS = "(VALUES ('A', 0.01, 2.0, 0.0, 0.02, 0.0, 0.0, 0.001, 0.0, 0.0, 300.0, 5
 
 
 @query("g10_transaction_costs", f"""
-SELECT order_id, line, part, broker, round(quantity * fpu + quantity * price * (cb * 1e-4 + cp * 0.01), 6) AS commission, round(sf + price * sb * 1e-4, 9) AS spread,
+SELECT order_id, line, part, broker, round(quantity * fpu + quantity * price * (cb * 1e-4 + cp * 0.01), 6) AS commission, round(sf + price * sb * 1e-4, 11) AS spread,
   round(slf + quantity * slu + price * (sa + slb * sqrt(quantity)), 6) AS slippage, round(CASE WHEN status = 'F' THEN lr ELSE shr END * 1e-4 * quantity * price * pow(quantity, ex - 1) / per, 6) AS financing
 FROM fills JOIN {COSTS} USING (venue)""")
 def g10(t):
@@ -122,7 +122,7 @@ def g10(t):
     costs = t.spark.createDataFrame(rows, "venue string, " + ", ".join(f"{n} double" for n in names))
     d = t.fills.withColumn("position", F.when(F.col("status") == "F", F.col("quantity")).otherwise(-F.col("quantity")))
     out = SG.trade_costs(d, costs, "venue", position="position")
-    return rnd(rnd(out.select("order_id", "line", "part", "broker", "commission", "spread", "slippage", "financing"), "commission", "slippage", "financing"), "spread", digits=9)
+    return rnd(rnd(out.select("order_id", "line", "part", "broker", "commission", "spread", "slippage", "financing"), "commission", "slippage", "financing"), "spread", digits=11)
 
 
 def curve(t):
