@@ -175,7 +175,7 @@ def schedule(orders: DataFrame, kind: str, *, duration: float, profile: Sequence
     else:
         raise ValueError(f"unknown schedule {kind!r}")
     d = orders.select("*", F.posexplode(F.array(*sizes)).alias("slice", "child_quantity"))
-    return d.withColumn("scheduled", F.timestamp_micros(micros(ts) + F.col("slice") * int(duration / n * 1e6)))
+    return d.withColumn("scheduled", F.timestamp_micros(micros(ts) + F.col("slice").cast("long") * int(duration / n * 1e6)))
 
 
 # fixed values: legal order transitions

@@ -37,25 +37,26 @@ def quantiles(df: DataFrame, keys: Sequence[str], column: str | Column, ps: Mapp
         for i, p in enumerate(ps.values())])
     stats = stats.select(*keys, "__n", marks.alias("__m"))
     joined = base.join(stats, keys) if keys else base.crossJoin(F.broadcast(stats))
-    each = joined.select(*keys, "__n", "__v", F.explode("__m").alias("m"))
-    at = each.select(*keys, "__n", "m.i", "m.p", "m.lo", "m.hi", "__v").filter(F.col("__v") <= F.col("hi"))
-    at = at.withColumn("__slot", F.when(F.col("__v") >= F.col("lo"), F.col("__v")))
-    counted = at.groupBy(*keys, "__n", "i", "p", "__slot").agg(F.count(F.lit(1)).alias("c"))
-    by_mark = W.partitionBy(*keys, "i").orderBy(F.col("__slot").asc_nulls_first())
-    upto = counted.withColumn("end", F.sum("c").over(by_mark.rowsBetween(W.unboundedPreceding, 0)))
-    pos = F.col("p") * (F.col("__n") - 1)
+    each = joined.select(*keys, "__n", "__v", F.explode("__m").alias("__mark"))
+    at = each.select(*keys, "__n", "__v", *[F.col(f"__mark.{c}").alias(f"__{c}") for c in ("i", "p", "lo", "hi")]).filter(
+        F.col("__v") <= F.col("__hi"))
+    at = at.withColumn("__slot", F.when(F.col("__v") >= F.col("__lo"), F.col("__v")))
+    counted = at.groupBy(*keys, "__n", "__i", "__p", "__slot").agg(F.count(F.lit(1)).alias("__c"))
+    by_mark = W.partitionBy(*keys, "__i").orderBy(F.col("__slot").asc_nulls_first())
+    upto = counted.withColumn("__end", F.sum("__c").over(by_mark.rowsBetween(W.unboundedPreceding, 0)))
+    pos = F.col("__p") * (F.col("__n") - 1)
     low = F.floor(pos)
-    frac = pos - low
-    upto = upto.withColumn("begin", F.col("end") - F.col("c"))
-    has_low = (F.col("begin") <= low) & (low < F.col("end")) & F.col("__slot").isNotNull()
+    upto = upto.withColumn("__begin", F.col("__end") - F.col("__c"))
+    known = F.col("__slot").isNotNull()
+    has_low = (F.col("__begin") <= low) & (low < F.col("__end")) & known
     high = F.least(low + 1, F.col("__n") - 1)
-    has_high = (F.col("begin") <= high) & (high < F.col("end")) & F.col("__slot").isNotNull()
-    solved = upto.groupBy(*keys, "i").agg(
-        F.max(F.when(has_low, F.col("__slot"))).alias("a"), F.max(F.when(has_high, F.col("__slot"))).alias("b"),
-        F.max(frac).alias("f"), F.max("__n").alias("__n"))
-    solved = solved.withColumn("q", F.col("a") + (F.col("b") - F.col("a")) * F.col("f"))
+    has_high = (F.col("__begin") <= high) & (high < F.col("__end")) & known
+    solved = upto.groupBy(*keys, "__i").agg(
+        F.max(F.when(has_low, F.col("__slot"))).alias("__a"), F.max(F.when(has_high, F.col("__slot"))).alias("__b"),
+        F.max(pos - low).alias("__f"), F.max("__n").alias("__n"))
+    solved = solved.withColumn("__q", F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__f"))
     return solved.groupBy(*keys).agg(F.max("__n").alias("n"), *[
-        F.max(F.when(F.col("i") == i, F.col("q"))).alias(name) for i, name in enumerate(names)])
+        F.max(F.when(F.col("__i") == i, F.col("__q"))).alias(name) for i, name in enumerate(names)])
 
 
 def median_mad(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:

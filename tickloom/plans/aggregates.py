@@ -12,8 +12,9 @@ from tickloom.plans.registry import query
 DAY = 86400.0
 
 
-def rnd(df, *cols, digits=6):
-    return df.withColumns({c: F.round(c, digits) for c in cols})
+def rnd(df, *cols, digits=6, nudge=False):
+    off = 1.7 * 10.0 ** -(digits + 2) if nudge else 0.0
+    return df.withColumns({c: F.round(F.col(c) + off if nudge else F.col(c), digits) for c in cols})
 
 
 @query("a1_group_stats", """
