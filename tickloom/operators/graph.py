@@ -197,26 +197,26 @@ def temporal_summary(df: DataFrame, axis: Axis, price: str, volume: str | None =
     return out.withColumn("persistence", persist).drop("__all")
 
 
-def composite_signal(R: Column, coherence: Column, temporal: Column, transition: Column, static: Column, *, strong: float = 0.8,
-                     proto: float = 0.4, ricci_negative: float = -0.3, temporal_limit: float = -0.2, transition_limit: float = 0.7,
-                     min_confidence: float = 0.5) -> dict[str, Column]:
-    """Market phase with confidence, entry, exit and risk columns."""
-    phase = (F.when((R > strong) & (static < ricci_negative) & (temporal < temporal_limit) & (transition < 0.5), "strong_emergent")
-             .when(transition > transition_limit, "transition")
-             .when((R > proto) & (R <= strong) & (transition < 0.5) & (static < 0), "proto_emergent")
-             .when((R > proto) & ((static > 0) | (temporal > 0)), "post_emergent").otherwise("chaotic"))
-    near = F.least(F.abs(R - strong), F.abs(R - proto)) < 0.1
-    factor = (F.when(phase == "strong_emergent", 1.0 + R).when(phase == "chaotic", 0.5)
-              .when(phase == "transition", 0.5 + 0.5 * transition).otherwise(1.0))
-    conf = clip(coherence * factor * F.when(near, 0.8).otherwise(1.0), 0.0, 1.0)
-    lean = F.when(phase == "strong_emergent", clip(-temporal, 0.0, 1.0)).when(phase == "proto_emergent", 0.5 * R).when(
-        phase == "post_emergent", -0.3).otherwise(0.0)
-    entry = F.when(conf < min_confidence, 0.0).otherwise(clip(lean * conf, -1.0, 1.0))
-    leave = F.when(phase == "post_emergent", 0.7).when(phase == "transition", clip(transition, 0.0, 1.0)).when(
-        phase == "chaotic", 0.5).when(phase == "strong_emergent", 0.1).otherwise(0.3)
-    base = F.when(phase == "strong_emergent", 1.0 + 0.5 * conf).when(phase == "proto_emergent", 0.7 + 0.3 * conf).when(
-        phase == "post_emergent", 0.2).otherwise(0.3)
-    return {"phase": phase, "confidence": conf, "entry_signal": entry, "exit_signal": leave, "risk_multiplier": clip(base * coherence, 0.1, 2.0)}
+def composite_signal(df: DataFrame, *, R: str, coherence: str, temporal: str, transition: str, static: str, strong: float = 0.8, proto: float = 0.4,
+                     ricci_negative: float = -0.3, temporal_limit: float = -0.2, transition_limit: float = 0.7, min_confidence: float = 0.5) -> DataFrame:
+    """Market phase with confidence, entry, exit and risk columns, added one upon the other."""
+    r, coh, kt, tr, st = (F.col(c) for c in (R, coherence, temporal, transition, static))
+    phase = F.col("phase")
+    d = df.withColumn("phase", F.when((r > strong) & (st < ricci_negative) & (kt < temporal_limit) & (tr < 0.5), "strong_emergent")
+                      .when(tr > transition_limit, "transition").when((r > proto) & (r <= strong) & (tr < 0.5) & (st < 0), "proto_emergent")
+                      .when((r > proto) & ((st > 0) | (kt > 0)), "post_emergent").otherwise("chaotic"))
+    factor = F.when(phase == "strong_emergent", 1.0 + r).when(phase == "chaotic", 0.5).when(phase == "transition", 0.5 + 0.5 * tr).otherwise(1.0)
+    near = F.least(F.abs(r - strong), F.abs(r - proto)) < 0.1
+    unit = lambda c: F.greatest(F.least(c, F.lit(1.0)), F.lit(0.0))
+    d = d.withColumn("confidence", unit(coh * factor * F.when(near, 0.8).otherwise(1.0)))
+    conf = F.col("confidence")
+    lean = F.when(phase == "strong_emergent", unit(-kt)).when(phase == "proto_emergent", 0.5 * r).when(phase == "post_emergent", -0.3).otherwise(0.0)
+    base = F.when(phase == "strong_emergent", 1.0 + 0.5 * conf).when(phase == "proto_emergent", 0.7 + 0.3 * conf).when(phase == "post_emergent", 0.2).otherwise(0.3)
+    return d.withColumns({
+        "entry_signal": F.when(conf < min_confidence, 0.0).otherwise(F.greatest(F.least(lean * conf, F.lit(1.0)), F.lit(-1.0))),
+        "exit_signal": F.when(phase == "post_emergent", 0.7).when(phase == "transition", unit(tr)).when(phase == "chaotic", 0.5).when(
+            phase == "strong_emergent", 0.1).otherwise(0.3),
+        "risk_multiplier": F.greatest(F.least(base * coh, F.lit(2.0)), F.lit(0.1))})
 
 
 def phase_flag(R: Column, dH: Column, kappa: Column, *, proto_max: float = 0.4, slope_min: float = 0.0, emergent_min: float = 0.75,

@@ -139,7 +139,7 @@ def x13(t):
 
 for _kind, _sql in (("twap", "target_quantity / 4"), ("vwap", "target_quantity * [1, 2, 3, 4][i + 1] / 10"),
                     ("pov", "least(target_quantity, [10, 20, 30, 40][i + 1] * 0.5) + CASE WHEN i = 3 THEN greatest(0, target_quantity - least(target_quantity, 5) - least(target_quantity, 10) - least(target_quantity, 15) - least(target_quantity, 20)) ELSE 0 END")):
-    @query(f"x14_schedule_{_kind}", f"SELECT order_id, i AS slice, round({_sql}, 6) AS child_quantity, epoch_us(ts) + i * 900000000 AS scheduled FROM parents, (VALUES (0), (1), (2), (3)) v(i)")
+    @query(f"x14_schedule_{_kind}", f"SELECT order_id, i AS slice, round({_sql}, 6) AS child_quantity, epoch_us(ts) + CAST(i AS BIGINT) * 900000000 AS scheduled FROM parents, (VALUES (0), (1), (2), (3)) v(i)")
     def x14(t, kind=_kind):
         profile = {"twap": 4, "vwap": [1, 2, 3, 4], "pov": [10, 20, 30, 40]}[kind]
         d = X.schedule(t.parents, kind, duration=3600.0, profile=profile, participation=0.5, quantity="target_quantity")

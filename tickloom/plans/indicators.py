@@ -171,8 +171,10 @@ SELECT seq, phase, round(conf, 6) AS confidence, round(CASE WHEN conf < 0.5 THEN
   round(least(greatest(coh * CASE phase WHEN 'strong_emergent' THEN 1 + 0.5 * conf WHEN 'proto_emergent' THEN 0.7 + 0.3 * conf WHEN 'post_emergent' THEN 0.2 ELSE 0.3 END, 0.1), 2), 6) AS risk_multiplier FROM c""")
 def composite(t):
     p, v = F.col("price"), F.col("volume")
-    cols = G.composite_signal(p / 500, v / 100, p / 400 - 0.6, v / 110, 0.3 - p / 300)
-    return rnd(t.ticks.select("seq", *[c.alias(n) for n, c in cols.items()]), "confidence", "entry_signal", "exit_signal", "risk_multiplier")
+    d = t.ticks.select("seq", (p / 500).alias("R"), (v / 100).alias("coh"), (p / 400 - 0.6).alias("kt"), (v / 110).alias("tr"), (0.3 - p / 300).alias("st"))
+    out = G.composite_signal(d, R="R", coherence="coh", temporal="kt", transition="tr", static="st")
+    names = ["confidence", "entry_signal", "exit_signal", "risk_multiplier"]
+    return rnd(out.select("seq", "phase", *names), *names)
 
 
 @query("i20_phase_flags", """
