@@ -47,7 +47,13 @@ def rows_of(pdf: pd.DataFrame):
     return cols, sorted(rows, key=repr)
 
 
-def compare(spark_pdf: pd.DataFrame, duck_pdf: pd.DataFrame) -> str | None:
+def same(a, b, tol: float) -> bool:
+    if isinstance(a, float) and isinstance(b, float):
+        return a == b or abs(a - b) <= tol
+    return a == b
+
+
+def compare(spark_pdf: pd.DataFrame, duck_pdf: pd.DataFrame, tol: float = 0.0) -> str | None:
     """None when equal, otherwise the first difference found."""
     sc, sr = rows_of(spark_pdf)
     dc, dr = rows_of(duck_pdf)
@@ -56,7 +62,7 @@ def compare(spark_pdf: pd.DataFrame, duck_pdf: pd.DataFrame) -> str | None:
     if len(sr) != len(dr):
         return f"row counts differ: spark {len(sr)} sql {len(dr)}"
     for a, b in zip(sr, dr):
-        if a != b:
+        if not all(same(x, y, tol) for x, y in zip(a, b)):
             return f"rows differ ({sum(x != y for x, y in zip(sr, dr))}): cols {sc}\n  spark {a}\n  sql   {b}"
     kinds = {"i": "int", "u": "int", "f": "float", "O": "obj", "M": "time", "b": "bool"}
     for c in sc:
