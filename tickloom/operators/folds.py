@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.exprs import micros, ratio
-from tickloom.operators.axis import Axis, row_numbers
+from tickloom.operators.axis import Axis, row_numbers, settle
+from tickloom.session import materialise
 
 
 def _embargo_and_purge(d: DataFrame, fold: Sequence[str], label_end: str | None, ts: str, embargo: float) -> DataFrame:
@@ -102,9 +105,6 @@ def default_candidates(label: str = "target") -> Mapping[str, Callable]:
 
 def least_squares(train: DataFrame, keys: Sequence[str], features: Sequence[str], target: str) -> DataFrame:
     """Coefficients (intercept first) of every fold at once from its cross-product sums; the small system is solved per row."""
-    import numpy as np
-    import pandas as pd
-
     cols = ["__one", *features]
     d = train.withColumn("__one", F.lit(1.0))
     sums = [F.sum(F.col(a) * F.col(b)).alias(f"x{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j]
@@ -129,7 +129,7 @@ def least_squares(train: DataFrame, keys: Sequence[str], features: Sequence[str]
 def evaluate_linear(splits: DataFrame, keys: Sequence[str], features: Sequence[str], target: str) -> DataFrame:
     """Least squares fitted on the train rows and scored on the test rows of all folds in one job."""
     fold = [*keys, "fold"]
-    clean = splits.na.drop(subset=[*features, target])
+    clean = settle(splits).na.drop(subset=[*features, target])
     coef = least_squares(clean.filter("role = 'train'"), fold, features, target)
     test = clean.filter("role = 'test'").join(coef, fold)
     pred = F.col("coef")[0]
@@ -143,6 +143,7 @@ def evaluate_models(splits: DataFrame, features: Sequence[str], target: str, can
     """Every candidate fitted with Spark ML on every fold (a driver loop over folds, each fit distributed), metrics per fold."""
     from pyspark.ml.feature import VectorAssembler
 
+    splits = materialise(splits, "folds")  # read once per fold and candidate below
     clean = VectorAssembler(inputCols=list(features), outputCol="features").transform(splits.na.drop(subset=[*features, target]))
     names = prediction_metrics("prediction", target)
     folds = [r[0] for r in clean.select("fold").distinct().orderBy("fold").limit(max_folds + 1).collect()]
