@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -27,6 +28,24 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+TRAINING = "crc32(cast(doc_id as string)) % 5 <> 0"
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm.toxicity import toxicity_scores
+
+    got = toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), training=TRAINING)
+    return got.select("doc_id", (~F.expr(TRAINING)).alias("held_out"), "score", "predicted")
+
+
+@query
+def op9_setsketch_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm.setsketch import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 @query
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickloom.llm.bpe import encode_decode
