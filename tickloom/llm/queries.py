@@ -39,6 +39,14 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", (~F.expr(TRAINING)).alias("held_out"), "score", "predicted")
 
 
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm.quality import quality_scores
+
+    got = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), training=TRAINING, threshold=0.3)
+    return got.select("doc_id", (~F.expr(TRAINING)).alias("held_out"), "score", "predicted")
+
+
 @query
 def op9_setsketch_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickloom.llm.setsketch import near_duplicates
