@@ -35,6 +35,13 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+@query
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm.secrets import secret_digests
+
+    return secret_digests(table(spark, sf_dir, "documents"))
+
+
 TRAINING = "crc32(cast(doc_id as string)) % 5 <> 0"
 
 
