@@ -7,12 +7,13 @@ as their Jaccard similarity. Five registers make a band, forty bands a sketch: t
 likelihood of every similarity; if 0.8 or more is possible at all, the full sets decide.
 
 Pairs are never spelled out in a bucket. Equal sets are one class, stood for by its smallest id. In a bucket every class is held against one
-hub; what is then still in different components is held against the bucket's other members. A pair inside one component cannot change
+hub; what is then still outside its hub's component is held, in blocks, against the other members of its buckets. A pair inside one component cannot change
 the result and is not looked at.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ ROWS, BANDS = 5, 40
 M = ROWS * BANDS
 RATE, SPACING = 20.0, 1.001
 IMPOSSIBLE = 30.0  # log likelihood that a similarity must lose against the best to be given up: odds of 1e13
+BLOCK_BYTES = 16 << 20  # of texts and registers that are broadcast at once
+_blocks: dict = {}  # the block last built in this worker
 _rng = np.random.default_rng(0x5E75)
 FACTOR = (_rng.integers(0, 1 << 32, M, dtype=np.uint32) | np.uint32(1))[:, None]
 SHIFT = _rng.integers(0, 1 << 32, M, dtype=np.uint32)[:, None]
@@ -143,6 +146,90 @@ def confirmed(pairs: DataFrame, members: DataFrame, k: int, percent: int) -> Dat
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a bigint, b bigint")
 
 
+class Outside:
+    """A bounded block of texts with their sets, registers and buckets, to be held against others."""
+
+    def __init__(self, rows: list, k: int):
+        self.node = np.array([r.node for r in rows], np.int64)
+        self.label = np.array([r.label for r in rows], np.int64)
+        self.size = np.array([r.n for r in rows], np.int64)
+        self.drawn = np.stack([np.frombuffer(r.registers, np.uint16) for r in rows])
+        self.sets = list(sets(pa.array([r.text for r in rows], pa.string()), k))
+        self.at: dict[int, list[int]] = {}
+        for i, r in enumerate(rows):
+            for bucket in r.buckets:
+                self.at.setdefault(bucket, []).append(i)
+
+    def links(self, label: int, met: list[int], drawn: np.ndarray, elements: np.ndarray, percent: int) -> np.ndarray:
+        """Nodes of the block, in other components, that share a bucket and reach the threshold."""
+        near = np.unique(np.array([i for bucket in met for i in self.at.get(bucket, ())], np.int64))
+        near = near[self.label[near] != label]
+        n, size = len(elements), self.size[near]
+        near = near[100 * np.minimum(size, n) >= percent * np.maximum(size, n)]
+        maybe = []
+        for i, agree in zip(near, (self.drawn[near] == drawn).sum(1)):
+            if agree >= 0.9 * percent / 100 * M:
+                maybe.append(i)
+                continue
+            grid, log = log_likelihood(drawn, self.drawn[i], n, int(self.size[i]))
+            high = log[grid >= percent / 100 - 1e-9]
+            if not len(high) or high.max() >= log.max() - IMPOSSIBLE:
+                maybe.append(i)
+        out = []
+        for i in maybe:
+            at = np.searchsorted(elements, self.sets[i])
+            at[at == n] = 0
+            both = int((elements[at] == self.sets[i]).sum())
+            if 100 * both >= percent * (n + int(self.size[i]) - both):
+                out.append(int(self.node[i]))
+        return np.array(out, np.int64)
+
+
+def rest(shared: DataFrame, labels: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between components that hubs did not find.
+
+    Members outside their hub's component are held, in blocks of bounded size, against every member of the buckets they are in. Members
+    stay where they are: no pair becomes a row unless it is a link, and no bucket is gathered in one place.
+    """
+    placed = shared.join(labels, "node", "left").select("node", "bucket", "hub", F.coalesce("label", "node").alias("label"))
+    of_hub = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
+    outside = written(placed.join(of_hub, "hub", "left").where(F.col("label") != F.coalesce("hub_label", "hub")).select("node", "bucket", "label"), "outside")
+    if outside.isEmpty():
+        return outside.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    gathered = lambda rows: rows.groupBy("node", "label").agg(F.collect_list("bucket").alias("buckets")).join(members, "node")  # noqa: E731  at most BANDS buckets each
+    asked = written(gathered(outside), "asked")
+    against = written(gathered(placed.join(outside.select("bucket").distinct(), "bucket", "left_semi")), "against")
+    total = asked.agg(F.sum(F.octet_length("text") + 3 * M)).first()[0]
+    blocks = -(-total // BLOCK_BYTES)
+    out = None
+    for b in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("node"), F.lit(blocks)) == b).collect()
+        if not rows:
+            continue
+        got = against.mapInArrow(_held_against(members.sparkSession.sparkContext.broadcast(rows), k, percent), "a bigint, b bigint")
+        out = got if out is None else out.union(got)
+    return out
+
+
+def _held_against(shared, k: int, percent: int):
+    name = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if _blocks.get("name") != name:
+                _blocks.update(name=name, block=Outside(shared.value, k))
+            block = _blocks["block"]
+            a, b = [], []
+            columns = [column(batch, c) for c in ("node", "label", "buckets", "registers")]
+            for node, label, met, drawn, elements in zip(*(c.to_pylist() for c in columns), sets(column(batch, "text"), k)):
+                found = block.links(label, met, np.frombuffer(drawn, np.uint16), elements, percent)
+                a += [node] * len(found)
+                b += found.tolist()
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row: its set of distinct ``k``-word shingles, and the smallest id reachable over links of
     Jaccard similarity ``percent`` / 100 or more.
@@ -178,14 +265,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: s
         links = links.union(more)
         labels = components(links)
 
-    # What a hub did not join: members outside their hub's component against the others of the bucket.
-    placed = shared.join(labels, "node", "left").select("node", "bucket", "hub", F.coalesce("label", "node").alias("label"))
-    of_hub = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
-    outside = placed.join(of_hub, "hub", "left").where(F.col("label") != F.coalesce("hub_label", "hub"))
-    outside = written(outside.select("bucket", F.col("node").alias("a"), F.col("label").alias("label_a")), "outside")
-    against = placed.where("node <> hub").select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"))
-    rest = outside.join(against, "bucket").where("label_a <> label_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = written(confirmed(rest, members, k, percent), "links")
+    more = written(rest(shared, labels, members, k, percent), "links")
     if not more.isEmpty():
         labels = components(links.union(more))
 
