@@ -53,6 +53,13 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", (~F.expr(TRAINING)).alias("held_out"), "score", "predicted")
 
 
+@query
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm.neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
+
+
 @query
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickloom.llm.quality import quality_scores
