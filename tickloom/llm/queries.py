@@ -42,6 +42,13 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm.passages import repeated
+
+    return repeated(table(spark, sf_dir, "documents"))
+
+
 TRAINING = "crc32(cast(doc_id as string)) % 5 <> 0"
 
 
