@@ -59,14 +59,17 @@ class Pieces(dict):
 
 
 class Codec:
-    """Encoder and decoder of one vocabulary file, with bounded caches. One lives in each Python worker."""
+    """Encoder and decoder of one vocabulary file, with bounded caches. One lives in each Python worker.
 
-    def __init__(self, path: str):
+    ``size``: only tokens of smaller ids, which is the vocabulary after its first merges.
+    """
+
+    def __init__(self, path: str, size: int | None = None):
         import ahocorasick
 
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
-        vocab = model["vocab"]
+        vocab = {t: i for t, i in model["vocab"].items() if size is None or i < size}
         back = {c: b for b, c in byte_alphabet().items()}
         raw = {t: bytes(back[c] for c in t) for t in vocab}
         self.splitter = Splitter(path, PATTERN, fold=False)
@@ -82,7 +85,9 @@ class Codec:
         self.halves: dict[int, tuple[int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            whole = vocab[left + right]
+            whole = vocab.get(left + right)
+            if whole is None:
+                break
             self.merged[vocab[left], vocab[right]] = whole
             if whole not in self.halves:
                 self.halves[whole], self.order[whole] = (vocab[left], vocab[right]), rank
@@ -116,7 +121,10 @@ class Codec:
 
     def ids(self, piece: str) -> list[int]:
         """Ids of one pre-token."""
-        text = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1")
+        return self.ids_of_bytes(piece if piece.isascii() else piece.encode("utf-8").decode("latin-1"))
+
+    def ids_of_bytes(self, text: str) -> list[int]:
+        """Ids of one pre-token, given as one character for each byte."""
         last: list[int] = [-1] * (len(text) + 1)
         width = last.copy()
         pairs = self.pairs

@@ -42,6 +42,15 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm.lm_score import lm_scores
+
+    held_out = "crc32(cast(doc_id as string)) % 5 = 1"
+    got = lm_scores(table(spark, sf_dir, "documents"), f"not ({held_out})", public_tokenizers.path("byte_bpe_50k.json"))
+    return got.select("doc_id", F.expr(held_out).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query
 def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickloom.llm.passages import repeated
