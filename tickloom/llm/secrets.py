@@ -161,10 +161,10 @@ def redacted(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     pair = "struct<start:bigint,end:bigint>"
     zero = F.struct(F.array().cast(f"array<{pair}>").alias("done"), F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end")).alias("last"))
     ranges = F.aggregate("found", zero, merged, lambda s: F.concat(s["done"], F.array(s["last"])))
-    found = small(written(found.select("id", ranges.alias("_ranges")).dropDuplicates(["id"]), "ranges"), 50_000)
+    found = small(written(found.select(F.col("id.id").alias("_secret_id"), F.col("id.hash").alias("_secret_hash"), ranges.alias("_ranges")).dropDuplicates(["_secret_id", "_secret_hash"]), "ranges"), 50_000)
     pieces = F.transform("_ranges", lambda r, i: F.concat(
         F.when(r["end"] > r["start"], F.lit(MASK)).otherwise(F.lit("")),
         F.col(text_column).substr((r["end"] + 1).cast("int"), (F.coalesce(F.get("_ranges", i + 1)["start"], F.length(text_column).cast("long")) - r["end"]).cast("int"))))
-    joined = docs.join(found, F.col(id_column).eqNullSafe(F.col("id.id")) & (key == F.col("id.hash")), "left")
+    joined = docs.join(found, docs[id_column].eqNullSafe(F.col("_secret_id")) & (key == F.col("_secret_hash")), "left")
     changed = F.when(F.col("_ranges").isNotNull(), F.array_join(pieces, "")).otherwise(F.col(text_column))
     return joined.select(*(changed.alias(c) if c == text_column else docs[c] for c in docs.columns))
