@@ -19,7 +19,7 @@ GRAMS = (4, 5, 6)
 BITS = 19
 SAMPLE_ROWS = 2_000  # labelled rows of each class that a fit uses at most
 SMOOTH, RIDGE, STEPS, STEP = 0.5, 1.0, 200, 0.02
-SIGNIFICANT = 5.0  # standard errors that a bin's log ratio must be away from 0
+SIGNIFICANT = 4.0  # standard errors that a bin's rates in the two classes must be apart
 _stamp: list[np.ndarray] = []
 
 
@@ -32,20 +32,27 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
     spaced = np.full(len(data) + len(sizes) + 1, 0x20, np.uint8)
     spaced[np.arange(len(data)) + np.repeat(np.arange(1, len(sizes) + 1), sizes)] = LOWER[data]
     blank = IS_SPACE[spaced]
-    keep = np.flatnonzero(~blank | np.concatenate([[True], ~blank[:-1]]))
-    first = np.searchsorted(keep, offsets + np.arange(len(offsets)))  # each row's own blank is kept unless the row before ended in one
+    own = offsets + np.arange(len(offsets))  # the blanks around rows are always kept, any others of their runs never
+    begins = blank & ~np.concatenate([[False], blank[:-1]])
+    run = np.cumsum(begins)
+    outer, between = np.zeros(run[-1] + 1, bool), np.zeros(len(blank), bool)
+    outer[run[own]] = between[own] = True
+    keep = np.flatnonzero(~blank | between | (begins & ~outer[run]))
+    first = np.searchsorted(keep, own)
     text = np.where(blank[keep], np.uint8(0x20), spaced[keep])
     up, down = powers(len(text) + 1)
     sums = np.concatenate([[np.uint64(0)], np.cumsum((text.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)])
     starts = np.flatnonzero((text & 0xC0) != 0x80)  # of characters
+    ends = np.append(starts, len(text))
     made = []
     for n in GRAMS:
-        at, end = starts[:-n], starts[n:]
+        end = ends[n:]
+        at = starts[:len(end)]
         made.append((mix((sums[end] - sums[at]) * down[at] + np.uint64(n)) >> np.uint64(64 - BITS)).astype(np.int64))
     at = np.searchsorted(starts, first)
     for d in range(len(sizes)):
         low, high = at[d], at[d + 1] + 1  # up to the next row's blank
-        bins = np.concatenate([m[low:max(low, high - n)] for n, m in zip(GRAMS, made)])
+        bins = np.concatenate([m[low:max(low, high - n + 1)] for n, m in zip(GRAMS, made)])
         order = np.arange(len(bins), dtype=np.int32)
         stamp[bins] = order
         yield bins[stamp[bins] == order]
@@ -69,7 +76,9 @@ def fit(bins: list[np.ndarray], labels: np.ndarray, prior: float) -> tuple[np.nd
     for b, label in zip(bins, labels):  # the bins of a text are distinct
         (in_one if label else in_zero)[b] += 1
     ratio = np.log((in_one + SMOOTH) / (ones + 2 * SMOOTH)) - np.log((in_zero + SMOOTH) / (zeros + 2 * SMOOTH))
-    ratio[np.abs(ratio) < SIGNIFICANT * np.sqrt(1 / (in_one + SMOOTH) + 1 / (in_zero + SMOOTH))] = 0
+    pooled = np.clip((in_one + in_zero) / len(y), 1e-9, 1 - 1e-9)
+    apart = np.abs(in_one / ones - in_zero / zeros) / np.sqrt(pooled * (1 - pooled) * (1 / ones + 1 / zeros))
+    ratio[apart < SIGNIFICANT] = 0
     used = [b[ratio[b] != 0] for b in bins]
     flat, row = np.concatenate(used), np.repeat(np.arange(len(used)), [len(b) for b in used])
     value = ratio[flat]
