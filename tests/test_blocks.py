@@ -69,6 +69,23 @@ def test_ewm_matches_pandas_with_gaps(spark, frame, alpha):
     close(m["e"].fillna(-9), want.fillna(-9))
 
 
+@pytest.mark.parametrize("nulls", [0.1, 0.5, 0.9, 0.98])
+@pytest.mark.parametrize("block_rows", [20, 500, 1_000_000])
+def test_ewm_does_not_depend_on_blocks(spark, nulls, block_rows):
+    """Long runs of NULLs, many NULLs, and a count that must reach over blocks."""
+    rng = np.random.default_rng(int(nulls * 100))
+    n = 1500
+    x = np.where(rng.random(n) < nulls, np.nan, rng.normal(size=n))
+    x[300:1000] = np.nan
+    pdf = pd.DataFrame({"k": "hot", "t": np.arange(n), "seq": np.arange(n), "x": x})
+    d = ewm(spark_frame(spark, pdf), axis(block_rows), {"e": ("x", 0.05), "f": ("x", 0.3)}, min_periods={"f": 12})
+    m = merged(pdf, d, ["e", "f"])
+    for name, alpha, least in (("e", 0.05, 1), ("f", 0.3, 12)):
+        want = m["x"].ewm(alpha=alpha, adjust=False, min_periods=least).mean()
+        assert (m[name].isna() == want.isna()).all()
+        close(m[name].fillna(-9), want.fillna(-9))
+
+
 def test_row_numbers_and_interpolation(spark, frame):
     d = interpolate(row_numbers(spark_frame(spark, frame), axis(), "p"), axis(), ["x"], at=F.col("p"))
     m = merged(frame, d, ["x", "p"])

@@ -200,49 +200,82 @@ def ewm(df: DataFrame, axis: Axis, columns: Mapping[str, tuple[str, float]], *,
     ``y = (decay*y' + alpha*x) / (decay + alpha)`` over non-NULL x, where ``decay`` is ``(1-alpha)`` to the number of
     rows since the last non-NULL one; y' seeds with the first value and NULL rows repeat y'. The recurrence is
     linear, so inside a cell whose total decay stays representable it is a running sum of ``b*x/A`` with A the
-    running product of the decays; the only thing a cell needs from before is the end value of the
-    cell in front of it, since older weight is below 1e-60. The halo covers the rows whose weight is above 1e-18.
-    """
-    import math
+    running product of the decays; a cell needs only the end value of the cell in front of it, since older weight is below 1e-60.
 
+    A block runs as if its first value were the series' first. What that gets wrong is a shift of its start, which
+    fades with A; the shifts follow from one row of each block (``_shifts``), as does the number of values before the block.
+    """
     need = min_periods or {}
-    back = max(max(math.ceil(41.5 / -math.log1p(-a)) if a < 1 else 1 for _, a in columns.values()),
-               max([1, *need.values()]))
-
-    def build(d: DataFrame, w: WindowSpec) -> DataFrame:
-        before = w.rowsBetween(W.unboundedPreceding, -1)
-        upto = w.rowsBetween(W.unboundedPreceding, 0)
-        d = d.withColumn("__rn", F.row_number().over(w))
-        for out, (column, alpha) in columns.items():
-            x, keep = F.col(column), 1.0 - alpha
-            p = f"__{out}_"
-            if keep <= 0:
-                d = d.withColumn(p + "y", F.last(x, ignorenulls=True).over(upto))
-            else:
-                prev = F.last(F.when(x.isNotNull(), F.col("__rn")), ignorenulls=True).over(before)
-                d = d.withColumn(p + "gap", F.when(x.isNotNull(), F.col("__rn") - prev))
-                decay = F.pow(F.lit(keep), F.col(p + "gap"))
-                d = d.withColumn(p + "la", F.when(F.col(p + "gap").isNotNull(),
-                                                  F.log(decay / (decay + F.lit(alpha)))).otherwise(F.lit(0.0)))
-                d = d.withColumn(p + "s", F.sum(p + "la").over(upto))
-                d = d.withColumn(p + "cell", F.floor(-F.col(p + "s") / F.lit(140.0)))
-                cell = W.partitionBy(*axis.keys, BLOCK, p + "cell").orderBy(*axis.order)
-                base = F.col(p + "cell") * F.lit(140.0)
-                weight = F.when(F.col(p + "gap").isNull(), F.lit(1.0)).otherwise(
-                    F.lit(alpha) / (F.pow(F.lit(keep), F.col(p + "gap")) + F.lit(alpha)))
-                term = F.when(x.isNotNull(), weight * x * F.exp(-(F.col(p + "s") + base)))
-                d = d.withColumn(p + "c", F.sum(term).over(cell.rowsBetween(W.unboundedPreceding, 0)))
-                d = d.withColumn(p + "c", F.col(p + "c") * F.exp(F.col(p + "s") + base))
-                d = d.withColumn(p + "end", F.when(
-                    F.lead(p + "cell").over(w) != F.col(p + "cell"), F.struct(
-                        F.col(p + "c").alias("y"), F.col(p + "s").alias("s"))))
-                d = d.withColumn(p + "in", F.last(p + "end", ignorenulls=True).over(before))
-                d = d.withColumn(p + "y", F.when(F.col(p + "in").isNull() | F.col(p + "in.y").isNull(), F.col(p + "c")).otherwise(
-                    F.coalesce(F.col(p + "c"), F.lit(0.0)) + F.col(p + "in.y") * F.exp(F.col(p + "s") - F.col(p + "in.s"))))
-            if need.get(out, 1) > 1:
-                d = d.withColumn(p + "y", F.when(F.count(x).over(upto) >= need[out], F.col(p + "y")))
-        drop = [c for c in d.columns if c.startswith("__") and c not in (BLOCK, HALO, HOT) and c not in df.columns]
-        named = d.withColumns({out: F.col(f"__{out}_y") for out in columns})
-        return named.drop(*drop)
-
-    return windowed(df, axis, build, back=back)
+    keys = list(axis.keys)
+    rows = unsplit(df) if BLOCK in df.columns else df
+    d, w = split(rows, axis), block_window(axis)
+    before, upto = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(W.unboundedPreceding, 0)
+    d = d.withColumn("__rn", F.row_number().over(w))
+    stats = [F.count("*").alias("rows")]
+    for out, (column, alpha) in columns.items():
+        x, keep, p = F.col(column), 1.0 - alpha, f"__{out}_"
+        if keep <= 0:
+            d = d.withColumn(p + "s", F.lit(0.0)).withColumn(p + "y", F.last(x, ignorenulls=True).over(upto))
+        else:
+            prev = F.last(F.when(x.isNotNull(), F.col("__rn")), ignorenulls=True).over(before)
+            d = d.withColumn(p + "gap", F.when(x.isNotNull(), F.col("__rn") - prev))
+            decay = F.pow(F.lit(keep), F.col(p + "gap"))
+            d = d.withColumn(p + "la", F.when(F.col(p + "gap").isNotNull(),
+                                              F.log(decay / (decay + F.lit(alpha)))).otherwise(F.lit(0.0)))
+            d = d.withColumn(p + "la", F.greatest(F.col(p + "la"), F.lit(-700.0)))  # a gap whose decay is 0 starts anew
+            d = d.withColumn(p + "s", F.sum(p + "la").over(upto))
+            d = d.withColumn(p + "cell", F.floor(-F.col(p + "s") / F.lit(140.0)))
+            cell = W.partitionBy(*keys, BLOCK, p + "cell").orderBy(*axis.order)
+            base = F.col(p + "cell") * F.lit(140.0)
+            weight = F.when(F.col(p + "gap").isNull(), F.lit(1.0)).otherwise(
+                F.lit(alpha) / (F.pow(F.lit(keep), F.col(p + "gap")) + F.lit(alpha)))
+            term = F.when(x.isNotNull(), weight * x * F.exp(-(F.col(p + "s") + base)))
+            d = d.withColumn(p + "c", F.sum(term).over(cell.rowsBetween(W.unboundedPreceding, 0)))
+            d = d.withColumn(p + "c", F.col(p + "c") * F.exp(F.col(p + "s") + base))
+            d = d.withColumn(p + "end", F.when(
+                F.lead(p + "cell").over(w) != F.col(p + "cell"), F.struct(
+                    F.col(p + "c").alias("y"), F.col(p + "s").alias("s"))))
+            d = d.withColumn(p + "in", F.last(p + "end", ignorenulls=True).over(before))
+            d = d.withColumn(p + "y", F.when(F.col(p + "in").isNull() | F.col(p + "in.y").isNull(), F.col(p + "c")).otherwise(
+                F.coalesce(F.col(p + "c"), F.lit(0.0)) + F.col(p + "in.y") * F.exp(F.col(p + "s") - F.col(p + "in.s"))))
+        d = d.withColumn(p + "n", F.count(x).over(upto))
+        held = F.when(x.isNotNull(), F.col("__rn"))
+        stats.append(F.struct(F.min(held).alias("first"), F.max(held).alias("last"), F.count(x).alias("n"), F.min_by(x, held).alias("x"),
+                              F.max_by(p + "y", "__rn").alias("y"), F.max_by(p + "s", "__rn").alias("s")).alias(out))
+    blocks = d.filter(HOT).groupBy(*keys, BLOCK).agg(*stats)
+    d = d.join(_shifts(blocks, keys, {out: alpha for out, (_, alpha) in columns.items()}), [*keys, BLOCK], "left")
+    values = {}
+    for out in columns:
+        p = f"__{out}_"
+        y = F.coalesce(F.col(p + "y") + F.exp(F.col(p + "s")) * F.coalesce(F.col(f"__before.{out}.shift"), F.lit(0.0)), F.col(f"__before.{out}.y"))
+        enough = F.col(p + "n") + F.coalesce(F.col(f"__before.{out}.n"), F.lit(0)) >= need.get(out, 1)
+        values[out] = F.when(enough, y)
+    return d.select(*[c for c in rows.columns if c not in values], *[v.alias(out) for out, v in values.items()])
+
+
+def _shifts(blocks: DataFrame, keys: Sequence[str], alphas: Mapping[str, float]) -> DataFrame:
+    """(keys, block, __before): for each mean, how far a block's first value is from the true mean there, and value and count before the block.
+
+    Folds the blocks of a series in order; there is one row for each ``block_rows`` rows of it.
+    """
+    ordered = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(BLOCK, "rows", *alphas))).alias("__b"))
+
+    def fold(out: str, alpha: float) -> Column:
+        entry = "array<struct<shift:double,y:double,n:bigint>>"
+        zero = F.struct(F.lit(None).cast("double").alias("y"), F.lit(0).cast("bigint").alias("gap"), F.lit(0).cast("bigint").alias("n"), F.array().cast(entry).alias("done"))
+
+        def step(s: Column, b: Column) -> Column:
+            own = b[out]
+            decay = F.pow(F.lit(1.0 - alpha), s["gap"] + own["first"])
+            shift = F.when(s["y"].isNull() | (own["n"] == 0), F.lit(0.0)).otherwise(decay / (decay + F.lit(alpha)) * (s["y"] - own["x"]))
+            here = F.struct(shift.alias("shift"), s["y"].alias("y"), s["n"].alias("n"))
+            return F.struct(
+                F.when(own["n"] == 0, s["y"]).otherwise(own["y"] + F.exp(own["s"]) * shift).alias("y"),
+                F.when(own["n"] == 0, s["gap"] + b["rows"]).otherwise(b["rows"] - own["last"]).cast("bigint").alias("gap"),
+                (s["n"] + own["n"]).alias("n"), F.concat(s["done"], F.array(here)).alias("done"))
+
+        return F.aggregate("__b", zero, step, lambda s: s["done"]).alias(out)
+
+    folded = ordered.select(*keys, F.transform("__b", lambda b: b[BLOCK]).alias(BLOCK), *[fold(o, a) for o, a in alphas.items()])
+    each = folded.select(*keys, F.explode(F.arrays_zip(BLOCK, *alphas)).alias("__before"))
+    return each.select(*keys, F.col(f"__before.{BLOCK}").alias(BLOCK), "__before")
