@@ -4,14 +4,15 @@ Inner products become distances on a sphere: vectors are scaled by the largest n
 queries are scaled to 1 with that coordinate 0. Each of ``PROJECTIONS`` random directions keeps the vectors of a block sorted by their
 projection. A query looks at a window around its own projection in every such array. Widening all windows by a factor (virtual rehashing: no
 table is built anew) makes vectors collide with the query in more and more arrays; those that collide in ``THRESHOLD`` of the arrays are
-verified by their exact inner product, until the k-th best found is better than what a vector outside all windows can be expected to reach.
+verified by their exact inner product, until the k-th best found is better than what a vector outside all windows can be expected to reach. Where
+most of a block has collided already, the rest is verified at once.
 
 Queries and vectors are dealt to blocks of bounded size, and each pair of blocks is one task; a query's best of all blocks are merged.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +22,16 @@ from pyspark.sql import functions as F
 from tickloom.llm.scratch import written
 from tickloom.llm.text import column
 
-PROJECTIONS = 64
+PROJECTIONS = 32
 THRESHOLD = 0.5  # share of the arrays in which a vector must collide
-WIDEN = 1.25  # factor of each round
+NARROW, WIDEN = 0.5, 1.4  # half width of the first windows, on the unit sphere, and factor of each round
+MOST = 0.5  # share of a block's vectors beyond which the rest is verified too instead of being counted further
 CERTAINTY = 1.3  # how far the windows must go beyond the k-th best distance, in its standard deviations along a projection
+SPREAD = 64.0  # no projection of a unit vector is beyond it, short of one chance in very many; what is, is clipped
 BLOCK_VECTORS, BLOCK_QUERIES = 12_000, 4_000
 
 
+@lru_cache
 def directions(width: int) -> np.ndarray:
     return np.random.default_rng(width).standard_normal((width, PROJECTIONS))
 
@@ -41,42 +45,45 @@ class Index:
         scaled = self.vectors / norm
         rest = np.sqrt(np.maximum(1 - (scaled**2).sum(1), 0))
         self.projected = np.concatenate([scaled, rest[:, None]], 1) @ directions(vectors.shape[1] + 1)
-        self.order = np.argsort(self.projected, axis=0, kind="stable").T.astype(np.int32)
-        self.sorted = np.sort(self.projected, axis=0).T
+        self.order = np.argsort(self.projected, axis=0, kind="stable").T.astype(np.int32).copy()
+        # One ascending array: projections lie within -SPREAD..SPREAD, and array j is moved up by 2 * j * SPREAD.
+        self.shift = 2 * SPREAD * np.arange(PROJECTIONS)
+        self.sorted = (np.clip(np.sort(self.projected, axis=0).T, -SPREAD, SPREAD) + self.shift[:, None]).ravel()
+        self.flat = self.order.ravel()
 
     def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and inner products of the best ``k`` found, best first, ties by smaller id; the query's own id is left out."""
         n, need = len(self.ids), int(np.ceil(THRESHOLD * PROJECTIONS))
         length = np.sqrt((query**2).sum())
         at = np.concatenate([query / length, [0.0]]) @ directions(len(query) + 1)
-        half = 0.25
-        counted, done = np.zeros(n, np.int32), np.zeros(n, bool)
-        low = np.array([np.searchsorted(s, p) for s, p in zip(self.sorted, at)])
-        high = low.copy()
-        score = np.full(n, -np.inf)
-        own = self.ids == query_id
-        while True:
-            fresh = []
-            for j in range(PROJECTIONS):
-                a, b = np.searchsorted(self.sorted[j], (at[j] - half, at[j] + half))
-                fresh += [self.order[j, a:low[j]], self.order[j, high[j]:b]]  # only what the wider window adds
-                low[j], high[j] = min(a, low[j]), max(b, high[j])
-            counted += np.bincount(np.concatenate(fresh), minlength=n).astype(np.int32)
-            verify = np.flatnonzero((counted >= need) & ~done & ~own)
-            done[verify] = True
-            score[verify] = (self.vectors[verify] * query).sum(1)
-            found = int(done.sum())
-            if found >= n - int(own.sum()):
-                break
+        half, own = NARROW, self.ids == query_id
+        counted, score = np.zeros(n, np.int64), np.full(n, -np.inf)
+        todo, others = ~own, n - int(own.sum())
+        low = high = np.searchsorted(self.sorted, np.clip(at, -SPREAD, SPREAD) + self.shift)
+        found = 0
+        while found < others:
+            a, b = np.searchsorted(self.sorted, np.stack([np.maximum(at - half, -SPREAD) + self.shift, np.minimum(at + half, SPREAD) + self.shift]))
+            fresh = [self.flat[x:y] for x, y in zip(np.concatenate([a, high]), np.concatenate([low, b])) if y > x]  # what the wider window adds
+            low, high = a, b
+            if fresh:
+                counted += np.bincount(np.concatenate(fresh), minlength=n)
+            verify = np.flatnonzero(todo & (counted >= need))
+            if found + len(verify) > MOST * others:
+                verify = np.flatnonzero(todo)
+            score[verify] = self.vectors[verify] @ query
+            todo[verify] = False
+            found += len(verify)
             if found >= k:
                 kth = np.partition(score, n - k)[n - k]
-                distance = np.sqrt(max(2 - 2 * kth / (length * self.norm), 0))
-                if half >= CERTAINTY * distance:
+                if half >= CERTAINTY * np.sqrt(max(2 - 2 * kth / (length * self.norm), 0)):
                     break
             half *= WIDEN
-        seen = np.flatnonzero(done)
-        best = seen[np.lexsort((self.ids[seen], -score[seen]))[:k]]
-        return self.ids[best], score[best]
+        seen = np.flatnonzero(~todo & ~own)
+        if len(seen) > k:  # all that can be among the best, whatever the rounding of the products above
+            seen = seen[score[seen] >= np.partition(score[seen], len(seen) - k)[len(seen) - k] - 1e-9 * length * self.norm]
+        exact = (self.vectors[seen] * query).sum(1)
+        best = np.lexsort((self.ids[seen], -exact))[:k]
+        return self.ids[seen[best]], exact[best]
 
 
 def nearest(vectors: DataFrame, queries: str, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
