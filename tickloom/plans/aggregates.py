@@ -12,9 +12,11 @@ from tickloom.plans.registry import query
 DAY = 86400.0
 
 
-def rnd(df, *cols, digits=6, nudge=False):
-    off = 1.7 * 10.0 ** -(digits + 2) if nudge else 0.0
-    return df.withColumns({c: F.round(F.col(c) + off if nudge else F.col(c), digits) for c in cols})
+def rnd(df, *cols, digits=6, twice=False):
+    """Round to ``digits``; ``twice``: as decimals of three digits more first, see ``rounded_twice``."""
+    def one(c):
+        return F.round(F.col(c).cast(f"decimal(38,{digits + 3})"), digits).cast("double") if twice else F.round(F.col(c), digits)
+    return df.withColumns({c: one(c) for c in cols})
 
 
 @query("a1_group_stats", """

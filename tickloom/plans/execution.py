@@ -6,7 +6,7 @@ from tickloom.functions.exprs import micros
 from tickloom.operators import execution as X
 from tickloom.operators.axis import Axis
 from tickloom.plans.aggregates import rnd
-from tickloom.plans.registry import nudged, query
+from tickloom.plans.registry import query, rounded_twice
 
 DAY, WEEK = 86400.0, 604800.0
 SEQ = ("ts", "line", "part", "broker")
@@ -25,14 +25,14 @@ def costs(t):
     return X.order_costs(t.parents, t.fills, seq=SEQ, benchmarks=bench, market=t.fills.select("order_id", (F.col("quantity") * 4).alias("volume")))
 
 
-@query("x1_implementation_shortfall", nudged(f"WITH {COST} SELECT order_id, round(sf, 4) AS shortfall, round(sf / q, 4) AS per_share_shortfall FROM c"))
+@query("x1_implementation_shortfall", rounded_twice(f"WITH {COST} SELECT order_id, round(sf, 4) AS shortfall, round(sf / q, 4) AS per_share_shortfall FROM c"))
 def x1(t):
-    return rnd(costs(t).select("order_id", "shortfall", "per_share_shortfall"), "shortfall", "per_share_shortfall", digits=4, nudge=True)
+    return rnd(costs(t).select("order_id", "shortfall", "per_share_shortfall"), "shortfall", "per_share_shortfall", digits=4, twice=True)
 
 
-@query("x2_vwap_slippage", nudged(f"WITH {COST} SELECT order_id, round(vs, 6) + 0.0 AS vwap_slippage FROM c"))
+@query("x2_vwap_slippage", rounded_twice(f"WITH {COST} SELECT order_id, round(vs, 6) + 0.0 AS vwap_slippage FROM c"))
 def x2(t):
-    return rnd(costs(t).select("order_id", "vwap_slippage"), "vwap_slippage", nudge=True).withColumn("vwap_slippage", F.col("vwap_slippage") + 0.0)
+    return rnd(costs(t).select("order_id", "vwap_slippage"), "vwap_slippage", twice=True).withColumn("vwap_slippage", F.col("vwap_slippage") + 0.0)
 
 
 @query("x3_fill_rate", f"WITH {COST} SELECT order_id, round(least(1, q / target_quantity), 6) AS fill_rate FROM c")
@@ -50,10 +50,10 @@ def x4(t):
     return rnd(latency_report(d.filter("d IS NOT NULL"), ["venue"], "d"), "mean", "p50", "p95", "max")
 
 
-@query("x5_cost_breakdown", nudged(f"WITH {COST} SELECT order_id, round(fees, 4) AS fees, round(vs * q, 4) + 0.0 AS slippage_cost, round(oc, 4) AS opportunity_cost, round(fees + vs * q + oc, 4) AS total_cost, round(least(1, q / (q * 4)), 6) AS participation FROM c"))
+@query("x5_cost_breakdown", rounded_twice(f"WITH {COST} SELECT order_id, round(fees, 4) AS fees, round(vs * q, 4) + 0.0 AS slippage_cost, round(oc, 4) AS opportunity_cost, round(fees + vs * q + oc, 4) AS total_cost, round(least(1, q / (q * 4)), 6) AS participation FROM c"))
 def x5(t):
     d = costs(t).select("order_id", "fees", "slippage_cost", "opportunity_cost", "total_cost", "participation")
-    return rnd(rnd(d, "fees", "slippage_cost", "opportunity_cost", "total_cost", digits=4, nudge=True), "participation", nudge=True).withColumn("slippage_cost", F.col("slippage_cost") + 0.0)
+    return rnd(rnd(d, "fees", "slippage_cost", "opportunity_cost", "total_cost", digits=4, twice=True), "participation", twice=True).withColumn("slippage_cost", F.col("slippage_cost") + 0.0)
 
 
 @query("x6_order_latency", """
@@ -66,13 +66,13 @@ def x6(t):
     return rnd(X.order_latency(o, ["p"], "a", "b", "c"), "mean", "p50", "p95", digits=4)
 
 
-@query("x7_liquidity_report", nudged("""
+@query("x7_liquidity_report", rounded_twice("""
 WITH b AS (SELECT part, epoch_us(ts) // 604800000000 AS w, avg(quantity * 2) AS a, sum(quantity) AS q FROM fills GROUP BY 1, 2)
 SELECT part, round(avg(quantity * 2), 6) AS average_displayed, round(sum(quantity) / sum(quantity * 2), 6) AS coverage, round(any_value(pr), 6) AS book_pressure, round(quantile_cont(fees / quantity, 0.5), 6) AS median_spread
 FROM fills JOIN (SELECT part, max(q / a) AS pr FROM b GROUP BY 1) USING (part) GROUP BY part"""))
 def x7(t):
     s = t.fills.select("part", "ts", (F.col("quantity") * 2).alias("displayed_volume"), (F.col("fees") / F.col("quantity")).alias("spread_bps"))
-    return rnd(X.liquidity_report(s, t.fills, ["part"], WEEK), "average_displayed", "coverage", "book_pressure", "median_spread", nudge=True)
+    return rnd(X.liquidity_report(s, t.fills, ["part"], WEEK), "average_displayed", "coverage", "book_pressure", "median_spread", twice=True)
 
 
 @query("x8_broker_comparison", """
@@ -83,7 +83,7 @@ def x8(t):
     return rnd(rnd(d, "average_price", "cost_per_share"), "fees", digits=3)
 
 
-@query("x9_periodic_costs", nudged("""
+@query("x9_periodic_costs", rounded_twice("""
 WITH f AS (SELECT part, epoch_us(ts) // 604800000000 * 604800 AS bucket, sum(quantity) AS q, sum(quantity * price) / sum(quantity) AS v FROM fills WHERE status = 'F' GROUP BY 1, 2),
 m AS (SELECT part, epoch_us(ts) // 604800000000 * 604800 AS bucket, sum(quantity) AS v FROM fills GROUP BY 1, 2),
 b AS (SELECT part, epoch_us(ts) // 604800000000 * 604800 AS bucket, sum(price * quantity) / sum(quantity) AS p FROM fills WHERE status = 'O' GROUP BY 1, 2)
@@ -92,7 +92,7 @@ def x9(t):
     f = t.fills
     d = X.periodic_costs(f.filter("status = 'F'"), f.select("part", "ts", F.col("quantity").alias("volume")), f.filter("status = 'O'").select("part", "ts", "price", F.col("quantity").alias("volume")),
                          ["part"], WEEK, F.lit("buy"))
-    return rnd(d, "vwap", "participation", "slippage", nudge=True).withColumn("slippage", F.col("slippage") + 0.0)
+    return rnd(d, "vwap", "participation", "slippage", twice=True).withColumn("slippage", F.col("slippage") + 0.0)
 
 
 @query("x10_recommendations", """
@@ -115,9 +115,9 @@ def walked(t):
     return X.walk_book(o, lv, book=["part"], order=["part"])
 
 
-@query("x11_walk_book", nudged(f"WITH {WALK} SELECT part, round(fl, 6) AS filled, round(short, 6) AS shortfall, round(ap, 6) AS average_price, round(coalesce(depth, 0) / quantity, 6) AS liquidity_score FROM k"))
+@query("x11_walk_book", rounded_twice(f"WITH {WALK} SELECT part, round(fl, 6) AS filled, round(short, 6) AS shortfall, round(ap, 6) AS average_price, round(coalesce(depth, 0) / quantity, 6) AS liquidity_score FROM k"))
 def x11(t):
-    return rnd(walked(t).select("part", "filled", "shortfall", "average_price", "liquidity_score"), "filled", "shortfall", "average_price", "liquidity_score", nudge=True)
+    return rnd(walked(t).select("part", "filled", "shortfall", "average_price", "liquidity_score"), "filled", "shortfall", "average_price", "liquidity_score", twice=True)
 
 
 FC = WALK + ", e AS (SELECT *, greatest(0, ap - mid) AS base, mid * 0.05 * pow(0.1, 0.6) AS pc, mid * 0.04 * 0.02 AS vc, coalesce(depth, 0) / quantity AS ls FROM k), g AS (SELECT *, base + pc + vc AS es, (base + pc + vc) / mid * 1e4 AS bps FROM e)"
@@ -235,8 +235,8 @@ def x22(t):
     return X.book_state(u, ["symbol"], depth=3).withColumn("level", F.col("level").cast("long"))
 
 
-@query("x23_quote_stats", nudged("""
+@query("x23_quote_stats", rounded_twice("""
 SELECT seq, price AS mid, round(volume, 6) AS spread, round(avg(volume / 50) OVER (PARTITION BY venue ORDER BY ts, seq ROWS 255 PRECEDING), 6) AS mean_latency FROM ticks"""))
 def x23(t):
     d = t.ticks.withColumns({"bid": F.col("price") - F.col("volume") / 2, "ask": F.col("price") + F.col("volume") / 2, "received": F.timestamp_micros(micros("ts") + (F.col("volume") * 20000).cast("long"))})
-    return rnd(X.quote_stats(d, t.by_venue).select("seq", F.round("mid", 6).alias("mid"), "spread", "mean_latency"), "spread", "mean_latency", nudge=True)
+    return rnd(X.quote_stats(d, t.by_venue).select("seq", F.round("mid", 6).alias("mid"), "spread", "mean_latency"), "spread", "mean_latency", twice=True)

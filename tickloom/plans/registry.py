@@ -33,11 +33,11 @@ def with_tables(sql: str) -> str:
     return f"WITH {heads} {body}"
 
 
-def nudged(sql: str) -> str:
-    """Add a small offset inside every ``round(x, n)``.
+def rounded_twice(sql: str) -> str:
+    """Make every ``round(x, n)`` round ``x`` as a decimal of n + 3 digits.
 
-    Averages of cents often end exactly on a rounding boundary, where two engines may go either way; both sides of such a
-    check are moved off the boundary by the same amount (see ``rnd``).
+    Averages of cents often end exactly on a rounding boundary, where the last bit of a float sum decides. As a decimal the boundary is met
+    exactly and goes up in every engine.
     """
     out, i = "", 0
     while (at := sql.find("round(", i)) >= 0:
@@ -47,7 +47,7 @@ def nudged(sql: str) -> str:
             comma = j if sql[j] == "," and depth == 1 else comma
             j += 1
         digits = int(sql[comma + 1:j - 1])
-        out += sql[i:at] + f"round(({nudged(sql[at + 6:comma])}) + {1.7 * 10.0 ** -(digits + 2)!r}, {digits})"
+        out += sql[i:at] + f"CAST(round(CAST(({rounded_twice(sql[at + 6:comma])}) AS DECIMAL(38, {digits + 3})), {digits}) AS DOUBLE)"
         i = j
     return out + sql[i:]
 

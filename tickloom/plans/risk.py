@@ -7,7 +7,7 @@ from tickloom.operators import risk as R
 from tickloom.operators.axis import Axis, windowed
 from tickloom.operators.windows import pct_change
 from tickloom.plans.aggregates import rnd
-from tickloom.plans.registry import nudged, query
+from tickloom.plans.registry import query, rounded_twice
 
 DAY = 86400.0
 BY_NAME = Axis(("name",), "date", (), grain=DAY)
@@ -164,12 +164,12 @@ def d10(t):
     return R.retraining(t.ticks.filter("price > 60"), t.by_venue, "symbol", span=14400.0).select("seq", "events", F.col("features").cast("long").alias("features"))
 
 
-@query("d11_cost_advice", nudged("""
+@query("d11_cost_advice", rounded_twice("""
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, seq DESC) AS k FROM ticks)
 SELECT symbol, round(avg(volume) / 100, 6) AS utilisation, max(price) FILTER (WHERE k = 1) AS latest, round(quantile_cont(price, 0.5) FILTER (WHERE k > 1), 6) AS median FROM r GROUP BY symbol"""))
 def d11(t):
     d = R.cost_advice(t.ticks.withColumn("u", F.col("volume") / 100), ["symbol"], ["ts", "seq"], cost="price", utilisation="u")
-    return rnd(d.select("symbol", "utilisation", "latest", "median"), "utilisation", "median", nudge=True)
+    return rnd(d.select("symbol", "utilisation", "latest", "median"), "utilisation", "median", twice=True)
 
 
 @query("d12_budget_alerts")

@@ -8,7 +8,7 @@ from tickloom.operators import signals as SG
 from tickloom.operators.axis import Axis, running, windowed
 from tickloom.operators.windows import pct_change
 from tickloom.plans.aggregates import rnd
-from tickloom.plans.registry import nudged, query
+from tickloom.plans.registry import query, rounded_twice
 from tickloom.plans.windows import MACD, features
 
 DAY = 86400.0
@@ -110,7 +110,7 @@ def g9(t):
 COSTS = "(VALUES ('A', 0.01, 2.0, 0.0, 0.02, 0.0, 0.0, 0.001, 0.0, 0.0, 300.0, 500.0, 252.0, 1.0), ('N', 0.0, 5.0, 0.1, 0.0, 3.0, 0.01, 0.0, 0.0, 0.0, 200.0, 400.0, 252.0, 1.5), ('R', 0.0, 0.0, 0.2, 0.0, 1.0, 0.0, 0.0, 0.0001, 0.0002, 0.0, 100.0, 365.0, 1.0)) c(venue, fpu, cb, cp, sf, sb, slf, slu, sa, slb, lr, shr, per, ex)"
 
 
-@query("g10_transaction_costs", nudged(f"""
+@query("g10_transaction_costs", rounded_twice(f"""
 SELECT order_id, line, part, broker, round(quantity * fpu + quantity * price * (cb * 1e-4 + cp * 0.01), 6) AS commission, round(sf + price * sb * 1e-4, 11) AS spread,
   round(slf + quantity * slu + price * (sa + slb * sqrt(quantity)), 6) AS slippage, round(CASE WHEN status = 'F' THEN lr ELSE shr END * 1e-4 * quantity * price * pow(quantity, ex - 1) / per, 6) AS financing
 FROM fills JOIN {COSTS} USING (venue)"""))
@@ -122,7 +122,7 @@ def g10(t):
     costs = t.spark.createDataFrame(rows, "venue string, " + ", ".join(f"{n} double" for n in names))
     d = t.fills.withColumn("position", F.when(F.col("status") == "F", F.col("quantity")).otherwise(-F.col("quantity")))
     out = SG.trade_costs(d, costs, "venue", position="position")
-    return rnd(rnd(out.select("order_id", "line", "part", "broker", "commission", "spread", "slippage", "financing"), "commission", "slippage", "financing", nudge=True), "spread", digits=11, nudge=True)
+    return rnd(rnd(out.select("order_id", "line", "part", "broker", "commission", "spread", "slippage", "financing"), "commission", "slippage", "financing", twice=True), "spread", digits=11, twice=True)
 
 
 def curve(t):
