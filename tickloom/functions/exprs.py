@@ -68,5 +68,14 @@ def lookup(x: Column, table: Mapping[str, str]) -> Column:
     return F.try_element_at(F.create_map(*flat), x)
 
 
+def join_back(df, stats, keys: Sequence[str], how: str = "inner"):
+    """``df`` with the columns of per-key ``stats``; a NULL key meets the NULL key, so no row is lost. Without keys ``stats`` is one row."""
+    if not keys:
+        return df.crossJoin(F.broadcast(stats))
+    right = stats.withColumnsRenamed({k: f"__key_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys])
+    return df.join(right, same, how).drop(*[f"__key_{k}" for k in keys])
+
+
 def population_skew(n: Column, mean: Column, m2: Column, m3: Column) -> Column:
     return ratio(m3 / n, F.pow(m2 / n, 1.5), 0.0)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickloom.functions.exprs import finite, micros, ratio
+from tickloom.functions.exprs import finite, join_back, micros, ratio
 from tickloom.operators.quantiles import quantiles
 
 
@@ -18,7 +18,7 @@ def latency_report(df: DataFrame, keys: Sequence[str], value: Column | str, ps:
     d = df.select(*keys, F.greatest(x, F.lit(0.0)).alias("__x")).filter(F.col("__x").isNotNull())
     q = quantiles(d, keys, "__x", ps or {"p50": 0.5, "p95": 0.95}).drop("n")
     base = d.groupBy(*keys).agg(F.count("__x").alias("count"), F.avg("__x").alias("mean"), F.max("__x").alias("max"))
-    return base.join(q, list(keys)) if keys else base.crossJoin(q)
+    return join_back(base, q, list(keys))
 
 
 def robust_z(df: DataFrame, keys: Sequence[str], column: str, out: str = "robust_z") -> DataFrame:
@@ -26,7 +26,7 @@ def robust_z(df: DataFrame, keys: Sequence[str], column: str, out: str = "robust
     from tickloom.operators.quantiles import median_mad
 
     stats = median_mad(df, keys, column).drop("n")
-    joined = df.join(stats, list(keys)) if keys else df.crossJoin(F.broadcast(stats))
+    joined = join_back(df, stats, list(keys))
     unit = F.coalesce(F.nullif(F.col("mad"), F.lit(0.0)), F.nullif(F.col("mean_dev"), F.lit(0.0)), F.lit(1e-8))
     return joined.withColumn(out, (F.col(column) - F.col("median")) / unit).drop("median", "mad", "mean_dev")
 
@@ -64,7 +64,7 @@ def histogram(df: DataFrame, keys: Sequence[str], column: str, bins: Column | in
     d = df.withColumn("__x", finite(F.col(column).cast("double"))).filter(F.col("__x").isNotNull())
     n = bins if isinstance(bins, Column) else F.lit(bins)
     ends = d.groupBy(*keys).agg(F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
-    j = d.join(ends, keys) if keys else d.crossJoin(F.broadcast(ends))
+    j = join_back(d, ends, keys)
     pos = F.floor(ratio(F.col("__x") - F.col("__lo"), F.col("__hi") - F.col("__lo"), 0.0) * n)
     bin_ = F.least(pos, (n - 1).cast("long"))
     return j.groupBy(*keys, bin_.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
@@ -125,7 +125,7 @@ def microstructure_report(df: DataFrame, keys: Sequence[str], *, bid="bid_volume
     pair = r.isNotNull() & q.isNotNull()
     d = df.withColumn("__r", F.when(pair, r)).withColumn("__q", F.when(pair, q))
     means = d.groupBy(*keys).agg(F.avg("__q").alias("__m"))
-    d = d.join(means, keys)
+    d = join_back(d, means, keys)
     c = F.col("__q") - F.col("__m")
     d = d.withColumn("__c", F.signum(c) * F.sqrt(F.abs(c)))
     b, a = F.sum(F.greatest(F.col(bid), F.lit(0.0))), F.sum(F.greatest(F.col(ask), F.lit(0.0)))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.functions.exprs import any_of, finite, ratio
+from tickloom.functions.exprs import any_of, finite, join_back, ratio
 from tickloom.operators.axis import Axis, row_numbers, split, unsplit, windowed
 from tickloom.operators.bars import interpolate
 
@@ -75,7 +75,7 @@ def scale(df: DataFrame, keys: Sequence[str], column: str, method: str = "zscore
         stats = df.groupBy(*keys).agg(F.min(x).alias("__a"), (F.max(x) - F.min(x)).alias("__b"))
     else:
         raise ValueError(f"unknown scaling method {method!r}")
-    joined = df.join(stats, keys) if keys else df.crossJoin(F.broadcast(stats))
+    joined = join_back(df, stats, keys)
     return joined.withColumn(out, ratio(x - F.col("__a"), F.col("__b"), 0.0)).drop("__a", "__b")
 
 

@@ -191,8 +191,8 @@ def temporal_summary(df: DataFrame, axis: Axis, price: str, volume: str | None =
         F.when(n < 3, 0.0).otherwise(score).alias("transition_score"),
         F.coalesce(F.avg(new(F.col("__sim"))), F.lit(1.0)).alias("stability"),
         F.collect_list("edges").alias("__all"))
-    every = F.aggregate(F.slice("__all", 2, 1 << 20), F.col("__all")[0], lambda a, e: F.array_union(a, e))
-    always = F.aggregate(F.slice("__all", 2, 1 << 20), F.col("__all")[0], lambda a, e: F.array_intersect(a, e))
+    every = F.aggregate(F.slice("__all", F.lit(2), F.size("__all")), F.col("__all")[0], lambda a, e: F.array_union(a, e))
+    always = F.aggregate(F.slice("__all", F.lit(2), F.size("__all")), F.col("__all")[0], lambda a, e: F.array_intersect(a, e))
     persist = F.when((F.col("snapshots") < 2) | (F.size(every) == 0), 1.0).otherwise(F.size(always) / F.nullif(F.size(every).cast("double"), F.lit(0.0)))
     return out.withColumn("persistence", persist).drop("__all")
 

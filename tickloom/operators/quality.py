@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.functions.exprs import any_of, micros
+from tickloom.functions.exprs import any_of, join_back, micros
 from tickloom.operators.axis import Axis, running, windowed
 from tickloom.operators.quantiles import median_mad, quantiles
 
@@ -41,7 +41,7 @@ def quarantine(df: DataFrame, axis: Axis, column: str, *, threshold: float, wind
     All copies of a duplicated time are listed as ``duplicate``; the first copy is judged again as spike or clean.
     """
     keys = [*axis.keys, axis.ts]
-    dups = df.join(duplicate_counts(df, keys), keys).drop("copies").withColumn("verdict", F.lit("duplicate")).withColumn(
+    dups = join_back(df, duplicate_counts(df, keys), keys).drop("copies").withColumn("verdict", F.lit("duplicate")).withColumn(
         "z", F.lit(None).cast("double"))
     unique = first_copies(df, keys, axis.seq) if axis.seq else df.dropDuplicates(keys)
     scored = prior_zscore(unique, axis, column, window)

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tickloom.functions.exprs import join_back
+
 SMALL = 20_000
 
 
@@ -36,7 +38,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], column: str | Column, ps: Mapp
         F.when(F.col("__n") <= small, F.col("__hi")).otherwise(F.col("__cuts")[2 * i + 1]).alias("hi"))
         for i, p in enumerate(ps.values())])
     stats = stats.select(*keys, "__n", marks.alias("__m"))
-    joined = base.join(stats, keys) if keys else base.crossJoin(F.broadcast(stats))
+    joined = join_back(base, stats, keys)
     each = joined.select(*keys, "__n", "__v", F.explode("__m").alias("__mark"))
     at = each.select(*keys, "__n", "__v", *[F.col(f"__mark.{c}").alias(f"__{c}") for c in ("i", "p", "lo", "hi")]).filter(
         F.col("__v") <= F.col("__hi"))
@@ -63,10 +65,8 @@ def median_mad(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     """Median, median absolute deviation and mean absolute deviation per key."""
     keys = list(keys)
     med = quantiles(df, keys, column, {"median": 0.5})
-    with_med = df.join(med.drop("n"), keys) if keys else df.crossJoin(F.broadcast(med.drop("n")))
+    with_med = join_back(df, med.drop("n"), keys)
     dev = with_med.withColumn("__dev", F.abs(F.col(column) - F.col("median")))
     mad = quantiles(dev, keys, "__dev", {"mad": 0.5})
     mean = dev.groupBy(*keys).agg(F.avg("__dev").alias("mean_dev"))
-    if keys:
-        return med.join(mad.drop("n"), keys).join(mean, keys)
-    return med.crossJoin(F.broadcast(mad.drop("n"))).crossJoin(F.broadcast(mean))
+    return join_back(join_back(med, mad.drop("n"), keys), mean, keys)

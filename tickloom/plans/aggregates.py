@@ -28,9 +28,9 @@ def stats(t):
         F.count_distinct("venue").alias("venues"), F.round(F.stddev_samp("price"), 6).alias("std"))
 
 
-@query("a2_arg_min_max", "SELECT symbol, arg_min(price, ts) AS first_price, arg_max(price, ts) AS last_price FROM ticks GROUP BY symbol")
+@query("a2_arg_min_max", "SELECT symbol, arg_min(price, (ts, seq)) AS first_price, arg_max(price, (ts, seq)) AS last_price FROM ticks GROUP BY symbol")
 def arg(t):
-    return t.ticks.groupBy("symbol").agg(F.min_by("price", "ts").alias("first_price"), F.max_by("price", "ts").alias("last_price"))
+    return t.ticks.groupBy("symbol").agg(F.min_by("price", F.struct("ts", "seq")).alias("first_price"), F.max_by("price", F.struct("ts", "seq")).alias("last_price"))
 
 
 @query("a3_exact_quantiles", """
@@ -105,10 +105,14 @@ def hist(t):
     return A.histogram(t.ticks, ["venue"], "price", 20)
 
 
+PIVOT = ["click", "view", "error", "purchase", "signup"]
+
+
 @query("a10_pivot_mean", """
-SELECT symbol, round(avg(price) FILTER (WHERE venue = 'click'), 6) AS click, round(avg(price) FILTER (WHERE venue = 'view'), 6) AS view FROM ticks GROUP BY symbol""")
+SELECT symbol, round(avg(price) FILTER (WHERE venue = 'click'), 6) AS click, round(avg(price) FILTER (WHERE venue = 'view'), 6) AS view,
+  round(avg(price) FILTER (WHERE venue = 'error'), 6) AS error, round(avg(price) FILTER (WHERE venue = 'purchase'), 6) AS purchase, round(avg(price) FILTER (WHERE venue = 'signup'), 6) AS signup FROM ticks GROUP BY symbol""")
 def pivot(t):
-    return rnd(A.pivot_mean(t.ticks, ["symbol"], "venue", "price", ["click", "view"]), "click", "view")
+    return rnd(A.pivot_mean(t.ticks, ["symbol"], "venue", "price", PIVOT), *PIVOT)
 
 
 REG = "CAST(quality AS DOUBLE) AS t, CAST(toxic AS DOUBLE) * 0.5 + 0.25 AS p FROM labels"

@@ -51,7 +51,7 @@ def grid(t):
 
 
 FILLED = """
-WITH b AS (SELECT venue, time_bucket(INTERVAL '30 minutes', ts) AS ts, arg_max(price, ts) AS price, sum(volume) AS volume
+WITH b AS (SELECT venue, time_bucket(INTERVAL '30 minutes', ts) AS ts, arg_max(price, (ticks.ts, seq)) AS price, sum(volume) AS volume
   FROM ticks GROUP BY 1, 2),
 g AS (SELECT venue, unnest(generate_series(min(ts), max(ts), INTERVAL '30 minutes')) AS ts FROM b GROUP BY venue),
 j AS (SELECT g.venue, g.ts, b.price, b.volume FROM g LEFT JOIN b USING (venue, ts))"""
@@ -59,7 +59,7 @@ j AS (SELECT g.venue, g.ts, b.price, b.volume FROM g LEFT JOIN b USING (venue, t
 
 def gappy(t):
     last = t.ticks.groupBy("venue", F.window("ts", "30 minutes").start.alias("ts")).agg(
-        F.max_by("price", "ts").alias("price"), F.sum("volume").alias("volume"))
+        F.max_by("price", F.struct("ts", "seq")).alias("price"), F.sum("volume").alias("volume"))
     return B.grid_of(t.ticks, t.by_venue, 1800.0).join(last, ["venue", "ts"], "left")
 
 

@@ -141,7 +141,7 @@ p AS (SELECT DISTINCT venue, epoch_us(time_bucket(INTERVAL '30 minutes', ts)) AS
 SELECT venue, count(*) FILTER (WHERE p.venue IS NULL) AS missing, count(*) FILTER (WHERE e.venue IS NULL) AS extra, CAST(0 AS BIGINT) AS repeated,
   false AS aligned FROM (SELECT venue, t, e, p FROM e FULL JOIN p USING (venue, t)) GROUP BY venue""")
 def alignment(t):
-    grid = K.session_grid(session_table(t), 1800.0).select("ts").crossJoin(F.broadcast(t.ticks.select("venue").distinct()))
+    grid = K.session_grid(session_table(t), 1800.0).select("ts").crossJoin(t.ticks.select("venue").distinct())
     have = t.ticks.select("venue", F.window("ts", "30 minutes").start.alias("ts")).distinct()
     return K.alignment(have, grid, ["venue"])
 

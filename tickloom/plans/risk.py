@@ -115,14 +115,13 @@ def d4(t):
 
 
 @query("d5_fusion", """
-WITH m AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS h, arg_max(price, ts) AS p FROM ticks WHERE ts < TIMESTAMP '2024-01-03' GROUP BY 1), n AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS h, max(n_chars) AS c FROM news WHERE ts < TIMESTAMP '2024-01-03' GROUP BY 1)
+WITH m AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS h, arg_max(price, (ts, seq)) AS p FROM ticks GROUP BY 1), n AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS h, max(n_chars) AS c FROM news GROUP BY 1)
 SELECT epoch_us(h) AS ts, p AS market_price, CAST(c AS DOUBLE) AS news_chars FROM m FULL JOIN n USING (h)""")
 def d5(t):
     from tickloom.operators.joins import concat_columns
     hour = F.window("ts", "1 hour").start.alias("ts")
-    early = F.col("ts") < F.lit("2024-01-03").cast("timestamp")
-    out = concat_columns({"market": t.ticks.filter(early).groupBy(hour).agg(F.max_by("price", "ts").alias("price")),
-                          "news": t.news.filter(early).groupBy(hour).agg(F.max("n_chars").cast("double").alias("chars"))}, ["ts"])
+    out = concat_columns({"market": t.ticks.groupBy(hour).agg(F.max_by("price", F.struct("ts", "seq")).alias("price")),
+                          "news": t.news.groupBy(hour).agg(F.max("n_chars").cast("double").alias("chars"))}, ["ts"])
     return out.withColumn("ts", micros("ts"))
 
 

@@ -42,7 +42,6 @@ def csv_dead(t):
 
 @query("s2_csv_chunked", "SELECT symbol, count(*) AS rows, round(sum(price), 4) AS total FROM ticks WHERE seq % 50 <> 7 GROUP BY symbol")
 def csv_chunked(t):
-    t.spark.conf.set("spark.sql.files.maxPartitionBytes", "64m")
     rows = S.good_rows(S.scan_csv_ticks(t.spark, csv_dir(t)))
     out = rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("price"), 4).alias("total"))
     return out
@@ -187,12 +186,12 @@ def offline(t):
     return S.read_table(t.spark, path).groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("s20_feature_view_sync", "SELECT symbol, seq, price FROM ticks WHERE venue IN ('click', 'view')")
+@query("s20_feature_view_sync", "SELECT symbol, seq, price FROM ticks")
 def sync(t):
     path = scratch_dir(t.spark, "view")
     d = t.ticks.select("symbol", "seq", "price", "venue")
     S.sync_view(d.filter("venue = 'click'").drop("venue"), path, mode="overwrite")
-    S.sync_view(d.filter("venue = 'view'").drop("venue"), path)
+    S.sync_view(d.filter("venue <> 'click'").drop("venue"), path)
     return S.read_table(t.spark, path)
 
 

@@ -35,6 +35,12 @@ def drain(df: DataFrame, label: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table's folder is there, by its own file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def merge_streams(streams: Iterable[DataFrame]) -> DataFrame:
     """Union of tick streams. With several watermarks the smallest one counts (Spark's default policy)."""
     out = None
@@ -187,12 +193,9 @@ def materialise_features(df: DataFrame, keys: Sequence[str], seq: Sequence[str],
 
     def write(batch: DataFrame, batch_id: int) -> None:
         fresh = keep_last(batch, list(keys), list(seq))
-        try:
+        if exists(batch.sparkSession, table):
             stored = batch.sparkSession.read.parquet(table).filter(F.col("batch") != batch_id).select(*keys)
             fresh = fresh.join(stored, list(keys), "left_anti")
-        except Exception as exc:
-            if "PATH_NOT_FOUND" not in str(exc) and "UNABLE_TO_INFER_SCHEMA" not in str(exc):
-                raise
         fresh.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
 
     df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
