@@ -98,3 +98,12 @@ def test_components(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(31)}, 100: 100, 101: 100, 102: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_query_equals_its_sql(spark):
+    from oracle import compare, duck
+
+    from tickloom.llm.queries import all_queries, all_sql
+
+    for name, sql in all_sql().items():
+        assert compare(all_queries()[name](spark, SF).toPandas(), duck(SF).execute(sql).df()) is None
