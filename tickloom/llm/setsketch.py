@@ -244,7 +244,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: s
     nodes = classes.where("node is not null")
     laid = spread(nodes)
     hubs = laid.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("bucket", "hub")
-    shared = written(laid.join(hubs, "bucket"), "buckets")
+    shared = written(laid.join(written(hubs, "hubs"), "bucket"), "buckets")  # written, so that Spark can split the join at a large bucket
     wanted = small(written(shared.select("node").distinct(), "wanted"))
     members = written(plain.join(wanted.withColumnRenamed("node", "id"), "id").join(nodes.select(F.col("node").alias("id"), "n", "registers"), "id")
                       .withColumnRenamed("id", "node"), "members")
