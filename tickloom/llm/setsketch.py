@@ -29,7 +29,7 @@ ROWS, BANDS = 5, 40
 M = ROWS * BANDS
 RATE, SPACING = 20.0, 1.001
 IMPOSSIBLE = 30.0  # log likelihood that a similarity must lose against the best to be given up: odds of 1e13
-BLOCK_BYTES = 16 << 20  # of texts and registers that are broadcast at once
+BLOCK_BYTES = 8 << 20  # of texts and registers that are broadcast at once
 _blocks: dict = {}  # the block last built in this worker
 _rng = np.random.default_rng(0x5E75)
 FACTOR = (_rng.integers(0, 1 << 32, M, dtype=np.uint32) | np.uint32(1))[:, None]
@@ -123,7 +123,7 @@ def confirmed(pairs: DataFrame, members: DataFrame, k: int, percent: int) -> Dat
         for batch in batches:
             rows = range(batch.num_rows)
             size = [column(batch, f"n_{s}").to_numpy() for s in "ab"]
-            drawn = [[np.frombuffer(x.as_py(), np.uint16) for x in column(batch, f"registers_{s}")] for s in "ab"]
+            drawn = [[np.frombuffer(x.as_buffer(), np.uint16) for x in column(batch, f"registers_{s}")] for s in "ab"]
             maybe = []
             for i in rows:
                 x, y = int(size[0][i]), int(size[1][i])
@@ -141,6 +141,7 @@ def confirmed(pairs: DataFrame, members: DataFrame, k: int, percent: int) -> Dat
                     keep.append(i)
             kept = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_pydict({"a": column(batch, "a").take(kept), "b": column(batch, "b").take(kept)})
+            pa.default_memory_pool().release_unused()
 
     side = lambda s: members.select(F.col("node").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("n", "registers", "text")))
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a bigint, b bigint")
@@ -160,13 +161,16 @@ class Outside:
             for bucket in r.buckets:
                 self.at.setdefault(bucket, []).append(i)
 
-    def links(self, label: int, met: list[int], drawn: np.ndarray, elements: np.ndarray, percent: int) -> np.ndarray:
-        """Nodes of the block, in other components, that share a bucket and reach the threshold."""
+    def near(self, label: int, n: int, met: list[int], percent: int) -> np.ndarray:
+        """Places of the block in other components that share a bucket and are of like size."""
         near = np.unique(np.array([i for bucket in met for i in self.at.get(bucket, ())], np.int64))
         near = near[self.label[near] != label]
-        n, size = len(elements), self.size[near]
-        near = near[100 * np.minimum(size, n) >= percent * np.maximum(size, n)]
-        maybe = []
+        size = self.size[near]
+        return near[100 * np.minimum(size, n) >= percent * np.maximum(size, n)]
+
+    def links(self, near: np.ndarray, drawn: np.ndarray, elements: np.ndarray, percent: int) -> np.ndarray:
+        """Nodes of those places that reach the threshold."""
+        n, maybe = len(elements), []
         for i, agree in zip(near, (self.drawn[near] == drawn).sum(1)):
             if agree >= 0.9 * percent / 100 * M:
                 maybe.append(i)
@@ -220,12 +224,16 @@ def _held_against(shared, k: int, percent: int):
                 _blocks.update(name=name, block=Outside(shared.value, k))
             block = _blocks["block"]
             a, b = [], []
-            columns = [column(batch, c) for c in ("node", "label", "buckets", "registers")]
-            for node, label, met, drawn, elements in zip(*(c.to_pylist() for c in columns), sets(column(batch, "text"), k)):
-                found = block.links(label, met, np.frombuffer(drawn, np.uint16), elements, percent)
-                a += [node] * len(found)
+            node, label, size = (column(batch, c).to_numpy() for c in ("node", "label", "n"))
+            met = [block.near(int(label[i]), int(size[i]), m, percent) for i, m in enumerate(column(batch, "buckets").to_pylist())]
+            some = [i for i, m in enumerate(met) if len(m)]  # only their texts are looked at
+            kept = pa.array(some, pa.int64())
+            for i, drawn, elements in zip(some, column(batch, "registers").take(kept), sets(column(batch, "text").take(kept), k)):
+                found = block.links(met[i], np.frombuffer(drawn.as_buffer(), np.uint16), elements, percent)
+                a += [node[i]] * len(found)
                 b += found.tolist()
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            pa.default_memory_pool().release_unused()
 
     return run
 

@@ -120,7 +120,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", tr
     def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, y = [], []
         for batch in batches:
-            bins += [np.frombuffer(x.as_py(), np.int32) for x in column(batch, "bins")]
+            bins += [np.frombuffer(x.as_buffer(), np.int32) for x in column(batch, "bins")]
             y += column(batch, "label").to_pylist()
         order = sorted(range(len(y)), key=lambda i: (y[i], len(bins[i]), bins[i].tobytes()))  # whatever order tasks ended in
         w, b = fit([bins[i] for i in order], np.array([y[i] for i in order], np.int64), prior)
