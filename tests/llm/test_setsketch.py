@@ -82,6 +82,14 @@ def test_odd_rows(odd, nothing):
     assert by[7].n_shingles == 1 and by[7].component_id == 7
 
 
+def test_one_id_with_several_texts(spark):
+    rng = random.Random(17)
+    a, b = text_of(rng, 90), text_of(rng, 90)
+    rows = [(5, a), (5, b), (6, a + " x"), (7, b + " y"), (8, text_of(rng, 90))]
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {5: 5, 6: 5, 7: 5, 8: 8}
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
