@@ -9,7 +9,7 @@ from tickloom.operators.axis import Axis, running, windowed
 from tickloom.operators.windows import pct_change
 from tickloom.plans.aggregates import rnd
 from tickloom.plans.registry import query, rounded_twice
-from tickloom.plans.windows import MACD, features
+from tickloom.plans.windows import MACD, ema, features
 
 DAY = 86400.0
 W = "WINDOW w AS (PARTITION BY symbol ORDER BY ts, seq)"
@@ -37,12 +37,15 @@ def g3(t):
 
 @query("g4_heuristic_signal", f"""
 WITH {MACD}, x AS (SELECT *, price / lag(price) OVER w - 1 AS ret FROM ticks {W}),
-l AS (SELECT x.symbol, macd, sig, ret, (volume - price) / (volume + price) AS q, row_number() OVER (PARTITION BY x.symbol ORDER BY x.ts DESC, x.seq DESC) AS k FROM x JOIN s USING (seq)),
-c AS (SELECT symbol, tanh(macd) * 0.28 + tanh(macd - sig) * 0.24 + tanh((macd - sig) * 2) * 0.18 + tanh(ret * 120) * 0.1 + tanh(q) * 0.06 AS score FROM l WHERE k = 1)
+vo AS (SELECT seq, CASE WHEN count(ret) OVER h = 20 THEN stddev_samp(ret) OVER h ELSE 0 END AS vol FROM x WINDOW h AS (PARTITION BY symbol ORDER BY ts, seq ROWS 19 PRECEDING)),
+st AS (SELECT *, price - lag(price) OVER w AS s FROM ticks {W}), gs AS (SELECT * FROM st WHERE s IS NOT NULL),
+ud AS (SELECT seq, count(*) OVER w AS k, {ema('greatest(s, 0)', '(1.0 / 14)')} AS u, {ema('greatest(-s, 0)', '(1.0 / 14)')} AS v FROM gs {W}),
+rs AS (SELECT seq, 100 - 100 / (1 + u / (v + 1e-12)) AS rsi FROM ud WHERE k >= 14),
+l AS (SELECT x.symbol, macd, sig, ret, (volume - price) / (volume + price) AS q, row_number() OVER (PARTITION BY x.symbol ORDER BY x.ts DESC, x.seq DESC) AS k, rsi, vol FROM x JOIN s USING (seq) JOIN vo USING (seq) LEFT JOIN rs USING (seq)),
+c AS (SELECT symbol, tanh(macd) * 0.28 + tanh(macd - sig) * 0.24 + tanh((macd - sig) * 2) * 0.18 + tanh(ret * 120) * 0.1 + tanh(q) * 0.06 + (coalesce(rsi, 50) - 50) / 50 * 0.12 - abs(vol) * 0.04 AS score FROM l WHERE k = 1)
 SELECT symbol, round(score, 6) AS score, CASE WHEN score > 0.12 THEN 'BUY' WHEN score < -0.12 THEN 'SELL' ELSE 'HOLD' END AS action, round(least(abs(score) / 0.85, 1), 6) AS confidence FROM c""")
 def g4(t):
-    f = features(t).drop("rsi", "volatility_20")
-    return rnd(SG.heuristic_signal(f, ["symbol"], ["ts", "seq"]).select("symbol", "score", "action", "confidence"), "score", "confidence")
+    return rnd(SG.heuristic_signal(features(t, (20,)), ["symbol"], ["ts", "seq"]).select("symbol", "score", "action", "confidence"), "score", "confidence")
 
 
 @query("g5_signals_from_scores", """

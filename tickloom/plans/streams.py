@@ -119,9 +119,12 @@ def f5(t):
     return t.spark.read.parquet(f"{base}/table").select("symbol", micros("ts").alias("ts"), "price")
 
 
-@query("t12_hot_buffer", "SELECT symbol, count(*) // 10 AS flushes FROM ticks GROUP BY symbol HAVING count(*) >= 10")
+@query("t12_hot_buffer", """
+WITH n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) AS k, count(*) OVER (PARTITION BY symbol) AS n FROM ticks)
+SELECT symbol, CAST(max(n) // 10 AS BIGINT) AS flushes, round(sum(price), 2) AS flushed, max(price) AS highest FROM n WHERE k <= n // 10 * 10 GROUP BY symbol""")
 def t12(t):
-    return S.drain(S.hot_buffer(ticks(t), ["symbol"], ["ts", "seq"], "price", 10), "t12").groupBy("symbol").agg(F.count(F.lit(1)).alias("flushes"))
+    return S.drain(S.hot_buffer(ticks(t), ["symbol"], ["ts", "seq"], "price", 10), "t12").groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("flushes"), F.round(F.sum(F.aggregate("values", F.lit(0.0), lambda a, x: a + x)), 2).alias("flushed"), F.max(F.array_max("values")).alias("highest"))
 
 
 @query("t13_route_dead_letters", "SELECT count(*) FILTER (WHERE seq % 20 <> 3) AS good, count(*) FILTER (WHERE seq % 20 = 3) AS dead FROM ticks")

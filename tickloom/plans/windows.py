@@ -192,8 +192,8 @@ a AS (SELECT seq, CASE WHEN count(price) OVER s5 = 5 THEN avg(price) OVER s5 END
 SHOWN = ["return_1", "sma_5", "volatility_5", "ema_5", "queue_imbalance", "macd", "macd_signal"]
 
 
-def features(t):
-    return TE.signal_features(t.ticks, t.by_symbol, volume="volume", bid="volume", ask="price", signed="volume", windows=(5,), micro_window=10)
+def features(t, windows=(5,)):
+    return TE.signal_features(t.ticks, t.by_symbol, volume="volume", bid="volume", ask="price", signed="volume", windows=windows, micro_window=10)
 
 
 @query("i1_signal_features", f"WITH {FEATS}, {MACD} SELECT a.seq, {', '.join(f'round({c}, 6) AS {c}' for c in SHOWN[:5])}, round(macd, 6) AS macd, round(sig, 6) AS macd_signal FROM a JOIN s USING (seq)")
