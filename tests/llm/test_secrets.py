@@ -55,6 +55,33 @@ def test_spans(spark):
         assert masked[i] == text
 
 
+def key(spark, seed, n, low, high):
+    """Drawn base 64 strings of n to n + 11 characters with low <= p < high."""
+    rng = random.Random(seed)
+    made = ["".join(rng.choice(S.ALPHABETS["base64"]) for _ in range(rng.randint(n, n + 11))) for _ in range(500)]
+    made = [m for m in made if "+" in m or "/" in m]
+    tested = S.randomness(spark.createDataFrame([(m,) for m in made], "run string")).select("run", "p").collect()
+    return [r.run for r in tested if low <= r.p < high]
+
+
+def accepted(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id for r in S.secret_digests(docs).collect() if r.n_random}
+
+
+def test_a_lone_secret_needs_no_company(spark):
+    low = key(spark, 31, 33, 0.1, 0.4)
+    assert accepted(spark, [f"see {low[0]} there"]) == {0}
+    assert accepted(spark, [f"see {low[0]} there", f"see {low[1]} there", "see " + "/nothing" * 5 + " there"]) == {0, 1}  # a word alone is none
+
+
+def test_copies_of_a_secret_count_once(spark):
+    drawn = key(spark, 32, 33, 0.0, 1.1)[:200]
+    copied = key(spark, 33, 33, 0.2, 0.3)[0]
+    got = accepted(spark, [f"see {x} there" for x in drawn + [copied] * 1000])
+    assert set(range(200, 1200)) <= got and len(got & set(range(200))) >= 180
+
+
 def test_odd_rows(odd, nothing):
     got = S.secret_digests(odd)
     assert got.count() == odd.count() and S.secret_digests(nothing).count() == 0

@@ -5,8 +5,9 @@ what a battery of randomness tests finds among long runs of key characters. An a
 and three statistics are tested against uniform drawing from it: chi-squared of the character counts, runs above and below the middle of the
 alphabet, and correlation of neighbours. Fisher's sum joins the three p-values into one. For drawn strings it is uniform, for words it
 is near 0, so in each class of encoding and length the p-values above one half tell how many strings are drawn; the cut of the class is the
-lowest at which no more than ``FDR`` of the accepted are estimated to be words (counts within two standard errors pass). Cuts come from a
-histogram of at most a few thousand cells over the whole input.
+lowest at which no more than ``FDR`` of the accepted are estimated to be words (counts within two standard errors pass). A class with fewer than
+``FEW`` strings above one half is too small to tell; its cut is not below ``SMALL_CUT``. Each distinct string counts once, however often it
+stands in the texts. Cuts come from a histogram of at most a few thousand cells over the whole input.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ KINDS = ("assign", "access", "hex", "random")
 MASK = "[SECRET]"
 
 FDR, BINS = 0.01, 50
+FEW, SMALL_CUT = 10, 0.02
 ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
              "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
 
@@ -90,18 +92,20 @@ def _length_class() -> Column:
 
 
 def cuts(tested: DataFrame) -> DataFrame:
-    """(encoding, class, cut) from the histogram of p in each class of encoding and length."""
+    """(encoding, class, cut) from the histogram of the p of distinct strings in each class of encoding and length."""
     from pyspark.sql import Window
 
     cell = F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).cast("int")
-    cells = tested.groupBy("encoding", _length_class().alias("class"), cell.alias("cell")).agg(F.count("*").alias("c"))
+    distinct = tested.groupBy(F.xxhash64("run").alias("run"), "encoding", _length_class().alias("class")).agg(F.max("p").alias("p"))  # p is the same for equal strings
+    cells = distinct.groupBy("encoding", "class", cell.alias("cell")).agg(F.count("*").alias("c"))
     whole = Window.partitionBy("encoding", "class")
     above = whole.orderBy(F.desc("cell"))
     cells = cells.withColumn("drawn", 2 * F.sum(F.when(F.col("cell") >= BINS // 2, F.col("c")).otherwise(0)).over(whole)).withColumn("accepted", F.sum("c").over(above))
     words = F.col("accepted") - F.col("drawn") * (1 - F.col("cell") / BINS)
     fine = words <= FDR * F.col("accepted") + 2 * F.sqrt("accepted")
-    cells = cells.withColumn("broken", F.max(F.when(~fine | (F.col("drawn") == 0), F.col("cell")).otherwise(-1)).over(above))
-    return cells.where("broken < cell").groupBy("encoding", "class").agg((F.min("cell") / BINS).alias("cut"))
+    cells = cells.withColumn("broken", F.max(F.when(~fine, F.col("cell")).otherwise(-1)).over(above))
+    least = F.when(F.max("drawn") < 2 * FEW, F.lit(SMALL_CUT)).otherwise(F.lit(0.0))
+    return cells.where("broken < cell").groupBy("encoding", "class").agg(F.greatest(F.min("cell") / BINS, least).alias("cut"))
 
 
 def spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
