@@ -19,21 +19,22 @@ from tickloom.llm.toxicity import toxicity_scores
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` less the rows whose doc_id is in ``ids`` (written, and broadcast if they are few)."""
-    gone = small(written(ids.select(F.col("doc_id").alias("_gone")).distinct(), "rejected"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose doc_id and hash of the text are in ``rows`` (written, and broadcast if they are few): a null or repeated id
+    does not spread a verdict to other texts."""
+    gone = small(written(rows.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct(), "rejected"))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")) & F.xxhash64(docs["text"].cast("string")).eqNullSafe(F.col("_hash")), "left_anti")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learnt from all labelled ones, does not call toxic."""
-    scores = toxicity_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scores = toxicity_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), text_hash=True)
     return without(docs, scores.where("predicted = 1"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of near duplicates; empty texts are in no group and stay."""
-    return without(docs, near_duplicates(docs, SHINGLE_WORDS, SIMILAR_PERCENT).where("not kept"))
+    return without(docs, near_duplicates(docs, SHINGLE_WORDS, SIMILAR_PERCENT, text_hash=True).where("not kept"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

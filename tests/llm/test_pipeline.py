@@ -1,9 +1,11 @@
 """The pipeline against a brute-force version of its stages, and its stages' contracts."""
 
 import hashlib
+import random
 
 import public_tokenizers
-from conftest import SF
+from conftest import SF, text_of
+from pyspark.sql import functions as F
 from test_setsketch import brute
 from tokenizers import Tokenizer
 
@@ -51,3 +53,20 @@ def test_empty_input(spark):
     for _, stage in C.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_verdicts_stay_with_their_rows(spark, tmp_path):
+    rng = random.Random(41)
+    item, twin, clean = text_of(rng, 40), text_of(rng, 90), [text_of(rng, 60) for _ in range(4)]
+    leak = text_of(rng, 20) + " " + item + " " + text_of(rng, 20)
+    rows = [(1, twin), (None, twin), (None, leak), (None, clean[0]), (None, None), (7, twin), (7, leak), (7, clean[1]), (8, clean[2]), (None, clean[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = C.decontaminate(spark, C.near_dedup(spark, docs, str(tmp_path)), str(tmp_path))
+    want = [(1, twin), (None, clean[0]), (None, None), (7, clean[1]), (8, clean[2]), (None, clean[3])]
+    assert sorted(map(str, left.collect())) == sorted(str(r) for r in spark.createDataFrame(want, "doc_id long, text string").collect())
+    alone = C.decontaminate(spark, docs, str(tmp_path)).collect()
+    assert len(alone) == 8 and all(r.text != leak for r in alone)
+    scores = toxicity_scores(docs, spark.read.parquet(f"{SF}/labels.parquet"), text_hash=True)
+    gone = scores.join(docs.where(F.col("text") == clean[0]).select(F.xxhash64("text").alias("text_hash")), "text_hash")
+    assert gone.count() == 1 and C.without(docs, gone).count() == 9

@@ -196,6 +196,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text holds no item of the benchmark; all columns stay. Matches are few, so they are written once and anti-joined."""
-    hit = written(leaks(docs, benchmark, id_column, text_column).select(F.col(id_column).alias("_hit")).distinct(), "leaks")
-    return docs.join(small(hit), docs[id_column].eqNullSafe(F.col("_hit")), "left_anti")
+    """The rows of ``docs`` whose text holds no item of the benchmark; all columns stay. Matches are few, so they are written once and anti-joined
+    by id and text hash: rows of one id, or of none, are judged each by its own text."""
+    text = F.col(text_column).cast("string")
+    named = docs.select(F.struct(F.col(id_column).alias("id"), F.xxhash64(text).alias("hash")).alias("_key"), text.alias("_text"))
+    hit = written(leaks(named, benchmark, "_key", "_text").select(F.col("_key.id").alias("_hit"), F.col("_key.hash").alias("_hash")).distinct(), "leaks")
+    return docs.join(small(hit), docs[id_column].eqNullSafe(F.col("_hit")) & F.xxhash64(docs[text_column].cast("string")).eqNullSafe(F.col("_hash")), "left_anti")

@@ -88,7 +88,7 @@ def sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
 
 
 def sketch(docs: DataFrame, k: int) -> DataFrame:
-    """(id, n, fa, fb, registers) of each row: set size, a 128-bit fingerprint of the set, and its registers."""
+    """(id, text_hash, n, fa, fb, registers) of each row: set size, a 128-bit fingerprint of the set, and its registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,10 +98,10 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                 prints.append((int(mix(s ^ np.uint64(0xA5A5)).sum(dtype=np.uint64).astype(np.int64)), int(mix(s ^ np.uint64(0x5A5A5A)).sum(dtype=np.uint64).astype(np.int64))))
                 made.append(registers(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_pydict({
-                "id": column(batch, "id"), "n": pa.array(size, pa.int64()), "fa": pa.array([x for x, _ in prints], pa.int64()),
+                "id": column(batch, "id"), "text_hash": column(batch, "text_hash"), "n": pa.array(size, pa.int64()), "fa": pa.array([x for x, _ in prints], pa.int64()),
                 "fb": pa.array([x for _, x in prints], pa.int64()), "registers": pa.array(made, pa.binary())})
 
-    return docs.mapInArrow(run, "id bigint, n bigint, fa bigint, fb bigint, registers binary")
+    return docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "id bigint, text_hash bigint, n bigint, fa bigint, fb bigint, registers binary")
 
 
 def spread(classes: DataFrame) -> DataFrame:
@@ -238,13 +238,15 @@ def _held_against(shared, k: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text",
+                    text_hash: bool = False) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row: its set of distinct ``k``-word shingles, and the smallest id reachable over links of
     Jaccard similarity ``percent`` / 100 or more.
 
     Words are lower-cased (A-Z) runs between white space. A text with fewer than ``k`` words is one shingle; a null or empty text has none and
     is linked with nothing, so it is its own component. Rows with one id are one document; a null id counts as linked only as a copy (its
-    component is the smallest id of its equals, or null). Other columns are not read. An empty table gives no rows.
+    component is the smallest id of its equals, or null). Other columns are not read. An empty table gives no rows. With ``text_hash`` a column of that name (xxhash64 of the text) tells
+    rows of one id apart.
     """
     plain = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     drawn = written(sketch(plain, k), "sketches")
@@ -278,7 +280,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: s
         labels = components(links.union(more))
 
     named = classes.join(labels, "node", "left").select("fa", "fb", F.coalesce("label", "node").alias("component_id"))
-    got = drawn.select("id", "n", "fa", "fb").join(named, ["fa", "fb"], "left")
+    got = drawn.select("id", "text_hash", "n", "fa", "fb").join(named, ["fa", "fb"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return got.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"),
-                      component.eqNullSafe(F.col("id")).alias("kept"))
+                      component.eqNullSafe(F.col("id")).alias("kept"), *(["text_hash"] if text_hash else []))

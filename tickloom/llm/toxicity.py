@@ -96,20 +96,21 @@ def fit(bins: list[np.ndarray], labels: np.ndarray, prior: float) -> tuple[np.nd
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", training: str = "true", id_column: str = "doc_id",
-                    text_column: str = "text") -> DataFrame:
+                    text_column: str = "text", text_hash: bool = False) -> DataFrame:
     """(id, score, predicted) of every row: the probability of label 1, and 1 where it is at least 0.5.
 
     Learns from rows of ``labels`` (id, ``label`` 0/1) for which the SQL condition ``training`` holds, at most ``SAMPLE_ROWS`` of each class,
     chosen by a hash of the id; other rows and columns are never looked at. A null or empty text has no features and so the score of the
     bias. Null ids or labels teach nothing; with no labelled text, or one class only, every score is the (smoothed) share of label 1.
-    Repeated rows are scored each.
+    Repeated rows are scored each. With ``text_hash`` a column of that name (xxhash64 of the text) tells rows of one id apart.
     """
     spark = docs.sparkSession
     known = labels.where(training).select(F.col(id_column).alias("id"), F.col(label).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     sums = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("ones")).first()
     prior = (sums.ones + 0.5) / (sums.n + 1)
     picked = [known.where(F.col("label") == v).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS) for v in (0, 1)]
-    plain = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
+    plain = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"),
+                        F.xxhash64(F.col(text_column).cast("string")).alias("text_hash"))
     sample = plain.join(F.broadcast(picked[0].union(picked[1])), "id").select("label", "text")  # at most 2 * SAMPLE_ROWS ids
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,8 +134,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", tr
         w, b = np.frombuffer(shared.value[0], np.float32), shared.value[1]
         for batch in batches:
             z = np.array([b + float(w[f].sum(dtype=np.float64)) for f in features(column(batch, "text"))])
-            yield pa.RecordBatch.from_pydict({"id": column(batch, "id"), "score": pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))), pa.float64())})
+            yield pa.RecordBatch.from_pydict({"id": column(batch, "id"), "text_hash": column(batch, "text_hash"), "score": pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))), pa.float64())})
 
     kind = docs.schema[id_column].dataType.simpleString()
-    got = plain.mapInArrow(scored, f"id {kind}, score double")
-    return got.select(F.col("id").alias(id_column), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    got = plain.mapInArrow(scored, f"id {kind}, text_hash bigint, score double")
+    return got.select(F.col("id").alias(id_column), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *(["text_hash"] if text_hash else []))
