@@ -144,6 +144,15 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) A
   CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM g"""
 
 
+@query
+def op12_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm.langid import predicted_languages
+
+    held_out = "crc32(cast(doc_id as string)) % 3 = 1"
+    got = predicted_languages(table(spark, sf_dir, "documents"), f"not ({held_out})")
+    return got.select("doc_id", F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
