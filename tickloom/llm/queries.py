@@ -153,6 +153,34 @@ def op12_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm.spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+_CRC_STEP = "list_transform({}, lambda x: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+_CRC_TABLE = "range(256)"
+for _ in range(8):
+    _CRC_TABLE = _CRC_STEP.format(_CRC_TABLE)
+_SQL["op13_spelling_variants"] = rf"""
+WITH RECURSIVE k AS (SELECT {_CRC_TABLE} AS k),
+r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+p AS (SELECT id, run, count(*) AS n FROM r WHERE length(run) >= 7 GROUP BY 1, 2),
+b AS (SELECT run, n, flatten(list_transform(string_split(id || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END)) AS b FROM p),
+h AS (SELECT run, n, xor(list_reduce(b, lambda c, x: xor(c >> 8, k[(xor(c, x) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS h FROM b, k),
+c AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM c WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+d AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+e AS (SELECT x.word AS a, y.word AS b, y.n FROM d x JOIN d y ON x.less = y.less AND x.i = y.i AND x.word <> y.word
+  UNION SELECT d.word, w.word, w.n FROM d JOIN w ON w.word = d.less UNION SELECT w.word, d.word, d.n FROM d JOIN w ON w.word = d.less),
+f AS (SELECT a, count(*) AS n_near, first(b ORDER BY n DESC, b) AS b, max(n) AS n FROM e GROUP BY a),
+t AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN f.n >= 10 * w.n THEN f.b END AS form, CASE WHEN f.n >= 10 * w.n THEN f.n END AS form_n FROM w LEFT JOIN f ON f.a = w.word),
+q AS (SELECT word, word AS root, form AS onward FROM t UNION ALL SELECT q.word, t.word, t.form FROM q JOIN t ON t.word = q.onward)
+SELECT t.word, t.form, q.root, t.n, t.n_near, t.form_n FROM t JOIN q ON q.word = t.word WHERE q.onward IS NULL"""
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
