@@ -31,7 +31,7 @@ def test_codec_equals_library(text):
 
 
 def test_codec_cache_may_be_tiny(monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 4)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 2000)
     codec, library = bpe.Codec(BYTE), Tokenizer.from_file(BYTE)
     text = "many words that do not fit into so small a cache, many words"
     assert codec.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids

@@ -11,7 +11,6 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.pretokens import LETTER, NUMBER, Splitter, byte_alphabet
-from tickloom.llm.text import column
+from tickloom.llm.text import column, release
 
 PATTERN = rf" ?[{LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[{NUMBER}]+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+"
-CACHE_ENTRIES = 600_000
-PAIR_ENTRIES = 400_000
+CACHE_BYTES = 72 << 20  # of pre-tokens and their ids in a worker
+ENTRY_BYTES = 220  # of the objects and the dictionary's slot of an entry, beside its letters and ids
+PAIR_ENTRIES = 150_000
+SENT_BYTES = 4 << 20  # of text whose ids are held before they are sent on
 _codecs: dict[str, Codec] = {}
 
 
@@ -44,17 +45,22 @@ class Flat:
 
 
 class Pieces(dict):
-    """Pre-token to its ids as bytes of uint32; encoded when first asked for, the older half forgotten when full."""
+    """Pre-token to its ids as bytes of uint32; encoded when first asked for. At half of ``CACHE_BYTES`` what is here becomes the old generation, and the
+    old one before it is forgotten but for the pre-tokens asked for since."""
 
     def __init__(self, ids):
         super().__init__()
-        self.ids = ids
+        self.ids, self.old, self.bytes = ids, {}, 0
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
-            for old in list(islice(self, CACHE_ENTRIES // 2)):
-                del self[old]
-        made = self[piece] = np.array(self.ids(piece), np.uint32).tobytes()
+        made = self.old.get(piece)
+        if made is None:
+            made = np.array(self.ids(piece), np.uint32).tobytes()
+        self.bytes += len(piece) + len(made) + ENTRY_BYTES
+        if 2 * self.bytes > CACHE_BYTES:
+            self.old, self.bytes = dict(self), 0
+            self.clear()
+        self[piece] = made
         return made
 
 
@@ -91,7 +97,7 @@ class Codec:
             self.merged[vocab[left], vocab[right]] = whole
             if whole not in self.halves:
                 self.halves[whole], self.order[whole] = (vocab[left], vocab[right]), rank
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # left << 32 | right
         self.cache = Pieces(self.ids)
 
     def compatible(self, left: int, right: int) -> bool:
@@ -116,7 +122,7 @@ class Codec:
                 until, b = at_b + 1, self.halves[b][0]  # across the border comes first, being further left
         if len(self.pairs) >= PAIR_ENTRIES:
             self.pairs.clear()
-        self.pairs[left, right] = fine
+        self.pairs[left << 32 | right] = fine
         return fine
 
     def ids(self, piece: str) -> list[int]:
@@ -135,7 +141,7 @@ class Codec:
             if end == size:
                 last[end], width[end] = token, size
             elif (left := last[end - size]) >= 0:
-                fine = pairs.get((left, token))
+                fine = pairs.get(left << 32 | token)
                 if fine is None:
                     fine = self.compatible(left, token)
                 if fine:
@@ -174,21 +180,23 @@ def encode_decode(docs: DataFrame, path: str, id_column: str = "doc_id", text_co
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         c = codec(path)
         for batch in batches:
-            counts, ids_of, ids_sha, text_sha = [], [], [], []
-            for text in column(batch, "text"):
-                text = text.as_py() or ""
+            texts, ids_column = column(batch, "text"), column(batch, "id")
+            low, held, rows = 0, 0, []
+            for high in range(1, batch.num_rows + 1):
+                text = texts[high - 1].as_py() or ""
                 ids = c.encode(text)
-                counts.append(len(ids))
-                ids_sha.append(hashlib.sha256(c.decimals(ids)).hexdigest())
-                text_sha.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
-                if keep_ids:
-                    ids_of.append(ids.astype(np.int32))
-            out = {"id": column(batch, "id"), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
-            if keep_ids:
-                out["ids"] = pa.array(ids_of, pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_pydict(out)
+                held += len(text)
+                rows.append((len(ids), hashlib.sha256(c.decimals(ids)).hexdigest(), hashlib.sha256(c.decode(ids).encode()).hexdigest(), ids.astype(np.int32) if keep_ids else None))
+                if held >= SENT_BYTES or high == batch.num_rows:
+                    counts, ids_sha, text_sha, ids_of = zip(*rows)
+                    out = {"id": ids_column[low:high], "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
+                    if keep_ids:
+                        out["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(np.concatenate(ids_of)))
+                    yield pa.RecordBatch.from_pydict(out)
+                    low, held, rows = high, 0, []
 
     kind = docs.schema[id_column].dataType.simpleString()
     schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.components import components
 from tickloom.llm.scratch import small, written
-from tickloom.llm.text import column, mix, shingles, slices, words
+from tickloom.llm.text import column, droppers, mix, shingles, slices, words
 
 ROWS, BANDS = 5, 40
 M = ROWS * BANDS
@@ -31,6 +31,7 @@ RATE, SPACING = 20.0, 1.001
 IMPOSSIBLE = 30.0  # log likelihood that a similarity must lose against the best to be given up: odds of 1e13
 BLOCK_BYTES = 8 << 20  # of texts and registers that are broadcast at once
 _blocks: dict = {}  # the block last built in this worker
+droppers.append(_blocks.clear)
 _rng = np.random.default_rng(0x5E75)
 FACTOR = (_rng.integers(0, 1 << 32, M, dtype=np.uint32) | np.uint32(1))[:, None]
 SHIFT = _rng.integers(0, 1 << 32, M, dtype=np.uint32)[:, None]
