@@ -18,11 +18,6 @@ VENUE_SPELLINGS = {
     "ALPACA": ("ALPACA", "ALPACA-MARKETS"),
     "CSV": ("CSV",),
 }
-# Symbols whose two legs are known.
-KNOWN_PAIRS = {
-    "BTCUSD": "BTC USD", "BTCUSDT": "BTC USDT", "XBTUSD": "XBT USD", "ETHUSD": "ETH USD",
-    "ETHUSDT": "ETH USDT", "SOLUSD": "SOL USD", "SOLUSDT": "SOL USDT", "AAPLUSD": "AAPL USD",
-}
 # Quote currencies in matching order, contract markers, separators.
 QUOTES = ("USDT", "USDC", "USD", "EUR", "GBP", "JPY", "AUD", "CAD", "CHF", "BTC", "ETH", "BNB", "BUSD", "TRY", "BRL")
 DERIVATIVE_MARKS = ("PERP", "PERPETUAL", "SWAP", "FUT", "FUTURE", "FUTURES", "QUARTER", "THISWEEK", "NEXTWEEK")
@@ -38,14 +33,13 @@ def venue_code(venue: Column) -> Column:
 
 def _legs(part: Column) -> Column:
     """One symbol part as an array of one or two legs."""
-    known = F.split(lookup(part, KNOWN_PAIRS), " ")
     by_quote = None
     for quote in QUOTES:
         base = F.regexp_extract(part, f"^(.+){quote}$", 1)
         pair = F.array(base, F.lit(quote))
         cond = part.endswith(quote) & (F.length(part) > len(quote))
         by_quote = F.when(cond, pair) if by_quote is None else by_quote.when(cond, pair)
-    return F.coalesce(known, by_quote, F.array(part))
+    return F.coalesce(by_quote, F.array(part))
 
 
 def symbol_code(symbol: Column, kind: Column | None = None) -> Column:
@@ -59,9 +53,7 @@ def symbol_code(symbol: Column, kind: Column | None = None) -> Column:
         parts = F.filter(F.split(clean, f"[{sep}]"), lambda p: F.length(p) > 0)
         hit = F.contains(clean, F.lit(sep)) & (F.size(parts) > 0)
         splitter = F.when(hit, parts) if splitter is None else splitter.when(hit, parts)
-    whole = F.split(lookup(clean, KNOWN_PAIRS), " ")
-    expanded = F.flatten(F.transform(splitter, _legs))
-    legs = F.coalesce(whole, expanded, _legs(clean))
+    legs = F.coalesce(F.flatten(F.transform(splitter, _legs)), _legs(clean))
     marked = F.lit(False)
     for mark in DERIVATIVE_MARKS:
         marked = marked | F.contains(clean, F.lit(mark))

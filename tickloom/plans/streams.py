@@ -15,28 +15,38 @@ from tickloom.streaming import core as S
 
 
 VENUES = ("click", "error", "purchase", "signup", "view")
-FILES = 8  # that the events arrive in, one for each micro-batch
-_arrived: dict[tuple[str, str], str] = {}
+FILES = 8  # micro-batches that the events arrive in
+FILE_ROWS = 5_000_000
+_arrived: dict[tuple, tuple[str, int]] = {}
 
 
-def event_files(t) -> str:
-    """The events in arrival order as about ``FILES`` files, written once a session; a source takes them in the order they were written."""
-    key = (t.spark.sparkContext.applicationId, t.dir)
+def in_slots(t, name: str, rows, slot: str) -> tuple[str, int]:
+    """``rows`` as a folder of files that a source takes slot by slot (column ``slot``, from 0), and the files of a slot. Written once for each state of the table ``events``.
+
+    Slots are written by the executors, in as many files as their rows need.
+    """
+    state = t.raw("events").select(F.max("_metadata.file_modification_time").cast("string"), F.count("*")).first()
+    key = (t.spark.sparkContext.applicationId, t.dir, name, *state)
     if key not in _arrived:
-        path = scratch_dir(t.spark, "events")
-        rows = t.raw("events")
-        day = F.unix_micros(F.date_trunc("day", "ts"))  # a day is in one file, so daily values have one batch to come from
-        cuts = sorted(set(rows.select(F.percentile_approx(day, [i / FILES for i in range(1, FILES)], 10_000)).first()[0]))
-        at = F.unix_micros("ts")
-        for low, high in zip([None, *cuts], [*cuts, None]):
-            part = rows if low is None else rows.where(at >= low)
-            (part if high is None else part.where(at < high)).coalesce(1).write.mode("append").parquet(path)
-        _arrived[key] = path
+        path, files = scratch_dir(t.spark, name), -(-state[1] // (FILES * FILE_ROWS)) or 1
+        part = F.pmod(F.xxhash64("event_id"), F.lit(files))
+        rows.repartition(FILES * files, slot, part).write.partitionBy(slot).parquet(path)
+        _arrived[key] = path, S.stamp_files(t.spark, path)
     return _arrived[key]
 
 
+def event_files(t) -> tuple[str, int]:
+    """The events in time order; a day is in one slot, so daily values have one batch to come from. Events without a time are in the first."""
+    rows = t.raw("events")
+    day = F.unix_micros(F.date_trunc("day", "ts"))
+    cuts = sorted(set(rows.select(F.percentile_approx(day, [i / FILES for i in range(1, FILES)], 10_000)).first()[0] or []))
+    slot = sum((F.coalesce(day >= c, F.lit(False)).cast("int") for c in cuts), F.lit(0))
+    return in_slots(t, "events", rows.withColumn("slot", slot), "slot")
+
+
 def ticks(t):
-    raw = S.stream_table(t.spark, event_files(t), files_per_batch=1)
+    path, files = event_files(t)
+    raw = S.stream_table(t.spark, path, files_per_batch=files)
     return raw.select(F.col("user_id").cast("string").alias("symbol"), F.col("event_type").alias("venue"), F.col("ts").cast("timestamp").alias("ts"),
                       F.col("event_id").alias("seq"), F.col("value").alias("price"), F.get_json_object("props", "$.k").cast("double").alias("volume"))
 

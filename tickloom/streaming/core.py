@@ -41,6 +41,23 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+def stamp_files(spark: SparkSession, path: str) -> int:
+    """Give the files of a folder's partitions (``.../name=0``, ``name=1``, ...) modification times in the partitions' order, in which a file source takes them; returns
+    how many files the largest partition has. Writers finish in any order."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(conf)
+    folders = sorted((f.getPath() for f in fs.listStatus(top) if f.isDirectory()), key=lambda p: int(p.getName().split("=")[1]))
+    begin, most, place = fs.getFileStatus(top).getModificationTime() - 3_600_000, 0, 0
+    for folder in folders:
+        files = [f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().endswith(".parquet")]
+        for file in files:
+            fs.setTimes(file, begin + place * 1000, -1)
+            place += 1
+        most = max(most, len(files))
+    return most
+
+
 def merge_streams(streams: Iterable[DataFrame]) -> DataFrame:
     """Union of tick streams. With several watermarks the smallest one counts (Spark's default policy)."""
     out = None
