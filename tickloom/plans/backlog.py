@@ -6,12 +6,14 @@ Delays, repetitions and a source that falls silent are derived from the events'
 from pyspark.sql import functions as F
 
 from tickloom.functions.exprs import micros
+from tickloom.operators.axis import Axis, row_numbers
 from tickloom.plans.aggregates import rnd
 from tickloom.plans.registry import query
 from tickloom.plans.streams import FILES, in_slots
 from tickloom.plans.tables import SQL_TABLES
 from tickloom.session import scratch_dir
 from tickloom.streaming import backlog as B
+from tickloom.streaming import book as K
 from tickloom.streaming import core as S
 
 LATENESS, EXPIRATION = 6 * 3600, 5 * 86400
@@ -78,3 +80,64 @@ WITH a AS (SELECT *, (arrival - event) / 1000000.0 AS lag, row_number() OVER (PA
 SELECT venue, count(*) AS n, round(avg(lag) FILTER (WHERE k <= 512), 6) AS mean, round(max(lag), 6) AS worst, round(quantile_cont(lag, 0.95) FILTER (WHERE k <= 512), 6) AS p95 FROM a GROUP BY venue""")
 def t6b(t):
     return rnd(B.lag_summary(t.spark, run(t), SPEC).withColumnRenamed("event_type", "venue"), "mean", "worst", "p95")
+
+
+# Messages of one book for each symbol: a snapshot of two levels a side at every 40th, single-level diffs between, some lost, some sent again.
+SQL_TABLES["messages"] = f"""SELECT symbol, CASE WHEN n % 40 = 7 THEN 'snapshot' ELSE 'diff' END AS kind, n, epoch_us(ts) AS us, price, volume, n % 97 = 60 AS lost, n % 13 = 0 AS twice
+    FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) AS n FROM ticks)"""
+IMAGES = {"interval": 2 * 86400.0, "diffs": 15}
+
+
+def messages(t):
+    """One row for each message of ``messages``: the lost ones missing, the repeated ones twice (the second a microsecond later)."""
+    n, level = F.col("n"), F.floor(F.col("price") / 10) * 10
+    levels = F.when(n % 40 == 7, F.array(*[F.struct(F.lit(side).alias("side"), (level + d).cast("double").alias("price"), (F.col("volume") + q).alias("quantity")) for side, d, q in
+                                           (("bid", -10, 1), ("bid", -20, 2), ("ask", 10, 3), ("ask", 20, 4))])).otherwise(
+        F.array(F.struct(F.when(n % 2 == 0, "bid").otherwise("ask").alias("side"), level.cast("double").alias("price"), F.when(F.col("volume") < 30, 0.0).otherwise(F.col("volume")).alias("quantity"))))
+    rows = row_numbers(t.raw("events").select(F.col("user_id").cast("string").alias("symbol"), "ts", "event_id", F.col("value").alias("price"), F.get_json_object("props", "$.k").cast("double").alias("volume")),
+                       Axis(("symbol",), "ts", ("event_id",)), "n").where(n % 97 != 60)
+    copies = F.explode(F.when(n % 13 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return rows.withColumn("copy", copies).select("symbol", "event_id", F.when(n % 40 == 7, "snapshot").otherwise("diff").alias("kind"), n.alias("sequence_start"), n.alias("sequence_end"),
+                                                  F.timestamp_micros(micros("ts") + F.col("copy")).alias("ts"), levels.alias("levels"), F.least(F.floor(n / 10), F.lit(FILES - 1)).cast("int").alias("slot"))
+
+
+_books: dict[str, object] = {}
+
+
+def books(t):
+    path, files = in_slots(t, "messages", messages(t), "slot")
+    if path not in _books:
+        _books[path] = S.drain(K.live_books(S.stream_table(t.spark, path, files_per_batch=files), ["symbol"], K.Images(**IMAGES)), "books")
+    return _books[path]
+
+
+APPLIED = """
+sent AS (SELECT *, max(CASE WHEN kind = 'snapshot' THEN n END) OVER w AS base, max(CASE WHEN lost THEN n END) OVER w AS missing FROM messages WINDOW w AS (PARTITION BY symbol ORDER BY n)),
+state AS (SELECT *, CASE WHEN base IS NULL THEN 'baseline' WHEN missing > base THEN 'gap' ELSE 'applied' END AS state FROM sent WHERE NOT lost)"""
+
+
+@query("t14_book_events", f"""
+WITH {APPLIED}
+SELECT symbol, state AS kind, n AS sequence, CASE WHEN state = 'gap' THEN (SELECT min(m.n) FROM sent m WHERE m.lost AND m.symbol = s.symbol AND m.n > s.base) END AS expected, us + c AS event_us
+FROM state s, range(2) r(c) WHERE state <> 'applied' AND (c = 0 OR twice)
+UNION ALL SELECT symbol, 'stale', n, n + 1, us + 1 FROM state WHERE state = 'applied' AND twice AND kind = 'diff'""")
+def t14b(t):
+    return books(t).where("kind <> 'image'").select("symbol", "kind", "sequence", "expected", "event_us")
+
+
+@query("t14_live_book", f"""
+WITH RECURSIVE {APPLIED},
+a AS (SELECT symbol, n, us, kind, row_number() OVER (PARTITION BY symbol ORDER BY n) AS k FROM state WHERE state = 'applied'),
+f AS (SELECT symbol, k, us AS image, CAST(0 AS BIGINT) AS diffs, false AS due FROM a WHERE k = 1
+  UNION ALL SELECT a.symbol, a.k, CASE WHEN a.kind = 'snapshot' OR a.us - f.image >= {int(IMAGES["interval"] * 1e6)} OR f.diffs + 1 >= {IMAGES["diffs"]} THEN a.us ELSE f.image END,
+    CASE WHEN a.kind = 'snapshot' OR a.us - f.image >= {int(IMAGES["interval"] * 1e6)} OR f.diffs + 1 >= {IMAGES["diffs"]} THEN 0 ELSE f.diffs + 1 END,
+    a.kind <> 'snapshot' AND (a.us - f.image >= {int(IMAGES["interval"] * 1e6)} OR f.diffs + 1 >= {IMAGES["diffs"]}) FROM f JOIN a ON a.symbol = f.symbol AND a.k = f.k + 1),
+i AS (SELECT a.symbol, a.n, a.us, s.base FROM f JOIN a USING (symbol, k) JOIN state s ON s.symbol = a.symbol AND s.n = a.n WHERE f.due),
+u AS (SELECT symbol, n, 0 AS o, CASE WHEN n % 2 = 0 THEN 'bid' ELSE 'ask' END AS side, floor(price / 10) * 10 AS price, CASE WHEN volume < 30 THEN 0 ELSE volume END AS quantity FROM state WHERE state = 'applied' AND kind = 'diff'
+  UNION ALL SELECT symbol, n, 0, v.side, floor(price / 10) * 10 + v.d, volume + v.q FROM state, (VALUES ('bid', -10, 1), ('bid', -20, 2), ('ask', 10, 3), ('ask', 20, 4)) v(side, d, q) WHERE kind = 'snapshot'),
+l AS (SELECT i.symbol, i.n, i.us, u.side, u.price, arg_max(u.quantity, u.n) AS quantity FROM i JOIN u ON u.symbol = i.symbol AND u.n BETWEEN i.base AND i.n GROUP BY ALL HAVING arg_max(u.quantity, u.n) > 0)
+SELECT symbol, n AS sequence, us AS event_us, side, CAST(price AS DOUBLE) AS price, CAST(quantity AS DOUBLE) AS quantity,
+  CAST(row_number() OVER (PARTITION BY symbol, n, side ORDER BY CASE WHEN side = 'bid' THEN -price ELSE price END) AS INTEGER) AS level FROM l
+UNION ALL SELECT symbol, n, us, NULL, NULL, NULL, NULL FROM i WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.symbol = i.symbol AND l.n = i.n)""")
+def t14c(t):
+    return books(t).where("kind = 'image'").select("symbol", "sequence", "event_us", "side", "price", "quantity", "level")

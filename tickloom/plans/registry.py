@@ -28,8 +28,9 @@ def with_tables(sql: str) -> str:
     body = sql.strip()
     if not heads:
         return body
-    if body[:5].upper() == "WITH ":
-        return f"WITH {heads}, {body[5:]}"
+    for opening in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(opening):
+            return f"{opening}{heads}, {body[len(opening):]}"
     return f"WITH {heads} {body}"
 
 
