@@ -266,58 +266,6 @@ def with_benchmarks(features: DataFrame, expected: Mapping[str, float]) -> DataF
     return features.withColumns({f"{n}_diff": F.col(n) - v for n, v in expected.items()})
 
 
-def regime_signal(df: DataFrame, axis: Axis, price: str = "price", window: int = 200, delta: float = 0.005, chunk: int = 256) -> DataFrame:
-    """-1/0/1 per row from synchrony, entropy change and curvature of the expanding prefix; neutral rows hold the last signal.
-
-    Every row looks at its whole prefix, so the work is quadratic by definition. Rows are cut into chunks that each get
-    the prefix they need, so one long series spreads over many tasks.
-    """
-    from tickloom.operators.graph import curvature_of
-
-    keys = list(axis.keys)
-    numbered = row_numbers(df.select(*keys, *axis.order, F.col(price).cast("double").alias("__p")), axis, "__n")
-    size = numbered.groupBy(*keys).agg(F.max("__n").alias("__size"))
-    d = numbered.join(size, keys).withColumn("__own", F.floor((F.col("__n") - 1) / chunk))
-    d = d.withColumn("__chunk", F.explode(F.sequence(F.col("__own"), F.floor((F.col("__size") - 1) / chunk))))
-    slim = d.select(*keys, "__chunk", "__n", "__own", *axis.order, "__p")
-    schema = T.StructType([slim.schema[c] for c in [*keys, *axis.order]] + [T.StructField("raw", T.IntegerType())])
-
-    def shannon(x, bins):
-        if x.size == 0 or x.max() == x.min():
-            return 0.0
-        c = np.histogram(x, bins=bins)[0]
-        q = c[c > 0] / x.size
-        return float(-(q * np.log(q)).sum())
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__n")
-        x, own = pdf["__p"].to_numpy(dtype=float), (pdf["__own"] == pdf["__chunk"]).to_numpy()
-        bins = int(min(max(window // 3, 10), 50))
-        raw = []
-        for t in np.flatnonzero(own):
-            if t < window:
-                raw.append(0)
-                continue
-            a = analytic_phase(x[:t + 1])[-window:]
-            R = float(np.hypot(np.cos(a).sum(), np.sin(a).sum()) / a.size)
-            part = x[:t + 1][-window:]
-            dH = 0.0 if t + 1 < 2 * window else shannon(part, bins) - shannon(x[t + 1 - 2 * window:t + 1 - window], bins)
-            scale = abs(part[0]) or 1.0
-            lv = np.rint((part - part[0]) / (scale * delta)).astype(np.int64)
-            edges = {}
-            for i in range(1, part.size):
-                edges[(min(lv[i - 1], lv[i]), max(lv[i - 1], lv[i]))] = abs(part[i] - part[i - 1]) + 1.0
-            k = curvature_of([(int(s), int(e), float(w)) for (s, e), w in edges.items()])
-            kappa = float(np.mean(k)) if k else 0.0
-            comp = 0.4 * R - 0.3 * dH - 0.3 * kappa
-            raw.append(1 if comp > 0.15 and dH < 0 and kappa < 0 else -1 if comp < -0.15 and dH > 0 else 0)
-        return pdf.loc[own, [*keys, *axis.order]].assign(raw=np.array(raw, dtype=np.int32))
-
-    got = slim.groupBy(*keys, "__chunk").applyInPandas(run, schema)
-    held = running(got, axis, {"signal": ("last", F.when(F.col("raw") != 0, F.col("raw")))})
-    return held.withColumn("signal", F.coalesce("signal", F.lit(0))).drop("raw")
-
-
 def snapshot(df: DataFrame, axis: Axis, price: str = "price", *, window: int = 100, bins: int = 30, delta: float = 0.005) -> DataFrame:
     """Synchrony, entropy, entropy change, curvature, Hurst exponent and phase label of each series' trailing window."""
     from tickloom.operators.aggregates import newest

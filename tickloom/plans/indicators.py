@@ -102,9 +102,24 @@ def vpin(t):
 STEPS = {"15m": 900.0, "1h": 3600.0, "4h": 14400.0}
 
 
-@query("i12_multiscale_kuramoto")
+def hilbert(src: str) -> str:
+    """The analytic signal (re, im) of series (k, i from 0, n, x) of any length."""
+    m = "(a.i - b.i)"
+    return f"""SELECT a.k, a.i, any_value(a.n) AS n, any_value(a.x) AS re, sum(CASE WHEN {m} = 0 THEN 0 WHEN a.n % 2 = 0 THEN CASE WHEN {m} % 2 <> 0 THEN 2 * b.x / a.n / tan(pi() * {m} / a.n) ELSE 0 END
+    ELSE b.x * (cos(pi() * {m} / a.n) - CASE WHEN {m} % 2 = 0 THEN 1 ELSE -1 END) / (a.n * sin(pi() * {m} / a.n)) END) AS im FROM {src} a JOIN {src} b ON a.k = b.k GROUP BY 1, 2"""
+
+
+@query("i12_multiscale_kuramoto", f"""
+WITH l AS (SELECT venue, tf, w, epoch_us(ts) // (w * CAST(1000000 AS BIGINT)) AS b, arg_max(price, (ts, seq)) AS price FROM ticks, (VALUES {', '.join(f"('{n}', {int(s)})" for n, s in STEPS.items())}) v(tf, w) GROUP BY 1, 2, 3, 4),
+g AS (SELECT venue, tf, unnest(range(min(b), max(b) + 1)) AS b FROM l GROUP BY 1, 2),
+f AS (SELECT g.venue || '/' || g.tf AS k, b, last_value(price IGNORE NULLS) OVER (PARTITION BY g.venue, g.tf ORDER BY b) AS p FROM g LEFT JOIN l USING (venue, tf, b)),
+n AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY b) - 1 AS i, count(*) OVER (PARTITION BY k) AS n, p FROM f), fit AS (SELECT k, regr_slope(p, i) AS s, regr_intercept(p, i) AS c FROM n GROUP BY k),
+x AS MATERIALIZED (SELECT k, i, n, p - s * i - c AS x FROM n JOIN fit USING (k)), h AS ({hilbert("x")}),
+r AS (SELECT split_part(k, '/', 1) AS venue, split_part(k, '/', 2) AS tf, least(any_value(n), 256) AS w, sqrt(sum(cos(atan2(im, re))) ** 2 + sum(sin(atan2(im, re))) ** 2) / count(*) AS R FROM h WHERE i >= n - 256 GROUP BY k)
+SELECT venue, round(coalesce(avg(R) FILTER (WHERE w >= 64), 0), 6) AS "consensus_R", round(CASE count(*) FILTER (WHERE w >= 64) WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE least(greatest(1 - stddev_pop(R) FILTER (WHERE w >= 64), 0), 1) END, 6) AS coherence,
+  arg_max(tf, R) FILTER (WHERE w >= 64) AS dominant, coalesce(string_agg(tf, ',' ORDER BY tf) FILTER (WHERE w < 64), '') AS skipped FROM r GROUP BY venue""")
 def multiscale(t):
-    return P.multiscale(t.ticks, t.by_venue, STEPS)
+    return rnd(P.multiscale(t.ticks, t.by_venue, STEPS), "consensus_R", "coherence").withColumn("skipped", F.array_join("skipped", ","))
 
 
 EDGES = """lv AS (SELECT symbol, ts, seq, price, CAST(round_even((price - p0) / (abs(p0) * 0.05), 0) AS BIGINT) AS l FROM ticks JOIN (SELECT symbol, first(price ORDER BY ts, seq) AS p0 FROM ticks GROUP BY 1) USING (symbol)),
@@ -199,11 +214,6 @@ def hierarchical(t):
     return rnd(P.with_benchmarks(out, {"entropy": 1.0}), "entropy", "hurst", "kuramoto", "coherence", "entropy_diff")
 
 
-@query("i23_regime_signal")
-def regime_signal(t):
-    return P.regime_signal(t.ticks, t.by_symbol, "price", 16).select("symbol", "seq", "signal")
-
-
 def amm_input(t):
     return t.ticks.select("symbol", "ts", "seq", (F.col("price") / 5000 - 0.01).alias("x"), (F.col("volume") / 100).alias("R"), (0.2 - F.col("price") / 1000).alias("kappa"))
 

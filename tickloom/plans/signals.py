@@ -8,6 +8,7 @@ from tickloom.operators import signals as SG
 from tickloom.operators.axis import Axis, running, windowed
 from tickloom.operators.windows import pct_change
 from tickloom.plans.aggregates import rnd
+from tickloom.plans.indicators import hilbert
 from tickloom.plans.registry import query, rounded_twice
 from tickloom.plans.windows import MACD, ema, features
 
@@ -23,7 +24,11 @@ def g1(t):
     return SG.moving_average_signal(t.ticks, t.by_symbol).select("seq", "signal", SG.threshold_signal(F.col("price"), 50.0).alias("above"))
 
 
-@query("g2_kuramoto_strategy")
+@query("g2_kuramoto_strategy", f"""
+WITH x AS MATERIALIZED (SELECT venue AS k, seq, row_number() OVER (PARTITION BY venue ORDER BY ts, seq) - 1 AS i, count(*) OVER (PARTITION BY venue) AS n, price AS x FROM ticks), h AS ({hilbert("x")}),
+s AS (SELECT k, i, CASE WHEN i >= 9 THEN least(sqrt((sum(cos(atan2(im, re))) OVER w) ** 2 + (sum(sin(atan2(im, re))) OVER w) ** 2) / count(*) OVER w, 1) ELSE 0 END AS r FROM h WINDOW w AS (PARTITION BY k ORDER BY i ROWS 49 PRECEDING))
+SELECT k AS venue, seq, round(r, 6) AS kuramoto, CASE WHEN i >= 9 AND r >= 0.7 THEN 'Buy' WHEN i >= 9 AND r <= 0.3 THEN 'Sell' ELSE 'Hold' END AS signal,
+  round(CASE WHEN i >= 9 AND r >= 0.7 THEN least((r - 0.7) / 0.3, 1) WHEN i >= 9 AND r <= 0.3 THEN (0.3 - r) / 0.3 ELSE 0 END, 6) AS confidence FROM s JOIN x USING (k, i)""")
 def g2(t):
     return rnd(SG.kuramoto_strategy(t.ticks, t.by_venue, "price", 50).select("venue", "seq", "kuramoto", "signal", "confidence"), "kuramoto", "confidence")
 
