@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.exprs import micros, ratio
+from tickloom.functions.exprs import finite, micros, ratio
 from tickloom.operators.axis import Axis, row_numbers, settle
 from tickloom.session import materialise
 
@@ -94,17 +94,15 @@ def prediction_metrics(pred: str, truth: str) -> dict[str, Column]:
     return out | {k: v for k, v in regression_metrics(truth, pred).items() if k in ("mae", "mse", "rmse", "r2")}
 
 
-def default_candidates(label: str = "target") -> Mapping[str, Callable]:
-    """Spark ML estimators: least squares, ridge, random forest, boosted trees."""
-    from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+def default_candidates() -> dict[str, object]:
+    """Least squares, ridge (``alpha``), a forest and boosted trees."""
+    from tickloom.operators.trees import Grow
 
-    return {"ols": lambda: LinearRegression(labelCol=label, solver="normal"), "ridge": lambda: LinearRegression(labelCol=label, regParam=1.0, solver="normal"),
-            "random_forest": lambda: RandomForestRegressor(labelCol=label, numTrees=200, maxDepth=6, seed=42),
-            "boosted": lambda: GBTRegressor(labelCol=label, maxDepth=5, stepSize=0.05, subsamplingRate=0.8, seed=42)}
+    return {"ols": 0.0, "ridge": 1.0, "random_forest": Grow(trees=200, depth=6), "boosted": Grow(trees=20, depth=5, boosted=True, rate=0.05, sample=0.8)}
 
 
-def least_squares(train: DataFrame, keys: Sequence[str], features: Sequence[str], target: str) -> DataFrame:
-    """Coefficients (intercept first) of every fold at once from its cross-product sums; the small system is solved per row."""
+def least_squares(train: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, alpha: float = 0.0) -> DataFrame:
+    """Coefficients (intercept first) of every fold at once from its cross-product sums; the small system is solved per row. ``alpha`` is a penalty on all but the intercept."""
     cols = ["__one", *features]
     d = train.withColumn("__one", F.lit(1.0))
     sums = [F.sum(F.col(a) * F.col(b)).alias(f"x{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j]
@@ -118,6 +116,7 @@ def least_squares(train: DataFrame, keys: Sequence[str], features: Sequence[str]
         for _, r in rows.iterrows():
             m = np.array([[r[f"x{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
             v = np.array([r[f"y{i}"] for i in range(k)])
+            m[np.arange(1, k), np.arange(1, k)] += alpha
             scale = np.sqrt(np.maximum(np.diag(m), 1e-300))
             out.append((np.linalg.lstsq(m / np.outer(scale, scale), v / scale, rcond=None)[0] / scale).tolist())
         return pd.Series(out)
@@ -126,35 +125,35 @@ def least_squares(train: DataFrame, keys: Sequence[str], features: Sequence[str]
     return g.select(*keys, solve(packed).alias("coef"))
 
 
-def evaluate_linear(splits: DataFrame, keys: Sequence[str], features: Sequence[str], target: str) -> DataFrame:
+def _scored(predictions: DataFrame, fold: Sequence[str], target: str) -> DataFrame:
+    return predictions.groupBy(*fold).agg(*[c.alias(n) for n, c in prediction_metrics("__pred", target).items()])
+
+
+def evaluate_linear(splits: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, alpha: float = 0.0) -> DataFrame:
     """Least squares fitted on the train rows and scored on the test rows of all folds in one job."""
     fold = [*keys, "fold"]
     clean = settle(splits).na.drop(subset=[*features, target])
-    coef = least_squares(clean.filter("role = 'train'"), fold, features, target)
-    test = clean.filter("role = 'test'").join(coef, fold)
+    coef = least_squares(clean.filter("role = 'train'"), fold, features, target, alpha)
     pred = F.col("coef")[0]
     for i, f in enumerate(features):
         pred = pred + F.col("coef")[i + 1] * F.col(f)
-    m = prediction_metrics("__pred", target)
-    return test.withColumn("__pred", pred).groupBy(*fold).agg(*[c.alias(n) for n, c in m.items()])
+    return _scored(clean.filter("role = 'test'").join(coef, fold).withColumn("__pred", pred), fold, target)
 
 
-def evaluate_models(splits: DataFrame, features: Sequence[str], target: str, candidates: Mapping[str, Callable] | None = None) -> DataFrame:
-    """Every candidate fitted with Spark ML on every fold (a driver loop over folds, each fit distributed), metrics per fold."""
-    from pyspark.ml.feature import VectorAssembler
+def evaluate_models(splits: DataFrame, features: Sequence[str], target: str, candidates: Mapping[str, object] | None = None) -> DataFrame:
+    """Metrics of every candidate on every fold: a number is a linear model with that penalty, a ``trees.Grow`` a tree model. Each candidate is fitted for all folds at once."""
+    from tickloom.operators.trees import tree_predictions
 
-    splits = materialise(splits, "folds")  # read once per fold and candidate below
-    clean = VectorAssembler(inputCols=list(features), outputCol="features").transform(splits.na.drop(subset=[*features, target]))
-    names = prediction_metrics("prediction", target)
-    folds = [r[0] for r in clean.select("fold").distinct().orderBy("fold").collect()]  # as many as the caller asked for
+    wanted = [finite(F.col(c).cast("double")).alias(c) for c in (*features, target)]
+    clean = materialise(splits.select("fold", "role", *wanted).na.drop(), "folds")  # every candidate reads it
     parts = None
-    for name, make in (candidates or default_candidates(target)).items():
-        for k in folds:
-            part = clean.filter(F.col("fold") == k)
-            model = make().fit(part.filter("role = 'train'"))
-            rows = model.transform(part.filter("role = 'test'")).agg(*[c.alias(n) for n, c in names.items()]).select(
-                F.lit(name).alias("model"), F.lit(k).alias("fold"), "*")
-            parts = rows if parts is None else parts.unionByName(rows)
+    for name, spec in (candidates or default_candidates()).items():
+        if isinstance(spec, (int, float)):
+            rows = evaluate_linear(clean, [], features, target, float(spec))
+        else:
+            rows = _scored(tree_predictions(clean, features, target, spec), ["fold"], target)
+        rows = rows.select(F.lit(name).alias("model"), F.col("fold").cast("long").alias("fold"), *[c for c in rows.columns if c != "fold"])
+        parts = rows if parts is None else parts.unionByName(rows)
     return parts
 
 

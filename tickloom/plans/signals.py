@@ -227,9 +227,18 @@ def g16(t):
 def g16b(t):
     s = learning(t).withColumn("all", F.lit("all"))
     folds = FO.walk_forward(s, Axis(("all",), "ts", ("seq",)), train=15 * DAY, test=7 * DAY)
-    cands = FO.default_candidates("target")
-    per = FO.evaluate_models(folds, ["x", "volume"], "target", {k: cands[k] for k in ("ols", "ridge")})
-    return FO.mean_over_folds(per, ["model"])
+    return FO.mean_over_folds(FO.evaluate_models(folds, ["x", "volume"], "target"), ["model"])
+
+
+@query("g16_ridge_folds", f"""
+WITH {BASE}, f AS (SELECT unnest(range(0, 40)) AS fold), D AS (SELECT 86400000000 AS day),
+y AS (SELECT seq, price / lag(price) OVER w - 1 AS x, lead(volume) OVER w / 100 - 0.5 AS y FROM ticks WINDOW w AS (PARTITION BY venue ORDER BY ts, seq)),
+m AS (SELECT venue, fold, x, y, CASE WHEN o >= (7 + 3 * fold) * day THEN 'test' ELSE 'train' END AS role FROM b JOIN y USING (seq), f, D WHERE (7 + 3 * fold + 3) * day <= span
+  AND o >= 3 * fold * day AND o < (7 + 3 * fold + 3) * day AND x IS NOT NULL AND y IS NOT NULL),
+c AS (SELECT venue, fold, regr_sxy(y, x) / (regr_sxx(y, x) + 1) AS s, avg(y) - regr_sxy(y, x) / (regr_sxx(y, x) + 1) * avg(x) AS i FROM m WHERE role = 'train' GROUP BY 1, 2)
+SELECT venue, fold, round(avg(abs(y - i - s * x)), 6) AS mae, round(sqrt(avg((y - i - s * x) ** 2)), 6) AS rmse FROM m JOIN c USING (venue, fold) WHERE role = 'test' GROUP BY 1, 2""")
+def g16c(t):
+    return rnd(FO.evaluate_linear(splits(t), ["venue"], ["x"], "target", 1.0).select("venue", "fold", "mae", "rmse"), "mae", "rmse")
 
 
 @query("g17_sharpe_objective", f"WITH {EQ} SELECT venue, round(avg(r) / stddev_samp(r), 6) AS sharpe FROM r GROUP BY venue")
