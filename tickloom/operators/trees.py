@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tickloom.session import materialise
 
 MOST_NODES = 1 << 24  # of all trees of a model; its arrays are sent to every worker
+HELD = 1 << 22  # cells that a task holds before it adds them up
 
 
 @dataclass(frozen=True)
@@ -90,39 +91,48 @@ def _arrays(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, ...]:
 
 
 def _histograms(rows: DataFrame, model: Trees, fold_at: np.ndarray, trees: range, level: int, width: int) -> DataFrame:
-    """(cell, w, wy): sums over the training rows; a cell is ((fold x trees + tree) x nodes + node) x features x bins."""
+    """(node, feature, bin, w, wy): sums over the training rows; a node is (fold x trees + tree) x nodes of the level + its place in it."""
     spec, nodes, first = model.spec, 1 << level, (1 << level) - 1
     shared = rows.sparkSession.sparkContext.broadcast((model, fold_at))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, fold_index = shared.value
+        sums: list[tuple[np.ndarray, ...]] = []
+
+        def folded() -> None:
+            cell, w, wy = (np.concatenate(x) for x in zip(*sums))
+            cell, at = np.unique(cell, return_inverse=True)
+            sums[:] = [(cell, *(np.bincount(at, x, minlength=len(cell)) for x in (w, wy)))]
+
         for batch in batches:
             fold, y, row, bins = _arrays(batch, width)
             fold = fold_index[fold]
             if spec.boosted:
                 y = y - held.predict(fold, bins, trees.start)
-            cells, ws, wys = [], [], []
             for t in trees:
                 w, node = held.weights(row, t), held.leaf(fold, t, bins, level)
                 on = (w > 0) & (node >= first) & ((level == 0) | (held.feature[fold, t, (node - 1) // 2] >= 0))
                 key = ((fold[on].astype(np.int64) * spec.trees + t) * nodes + node[on] - first)[:, None] * width + np.arange(width)
-                cells.append((key * spec.bins + bins[on]).ravel())
-                ws.append(np.repeat(w[on], width))
-                wys.append(np.repeat(w[on] * y[on], width))
-            cell, at = np.unique(np.concatenate(cells), return_inverse=True)
-            sums = [np.bincount(at, np.concatenate(x), minlength=len(cell)) for x in (ws, wys)]
-            yield pa.RecordBatch.from_pydict({"cell": pa.array(cell), "w": pa.array(sums[0]), "wy": pa.array(sums[1])})
-
-    got = rows.where("role = 'train'").select("fold", "y", "row", "bins").mapInArrow(run, "cell bigint, w double, wy double")
-    return got.groupBy("cell").agg(F.sum("w").alias("w"), F.sum("wy").alias("wy"))
-
-
-def _cuts(cells: DataFrame, spec: Grow, width: int) -> DataFrame:
-    """(node, w, wy, best) for each node (fold x trees x nodes): its sums, and the cut that lowers the squared error most: (gain, feature, bin, left weight, left sum)."""
-    place = cells.select("w", "wy", (F.col("cell") % spec.bins).alias("bin"), (F.floor(F.col("cell") / spec.bins) % width).alias("feature"), F.floor(F.col("cell") / (spec.bins * width)).alias("node"))
+                sums.append(((key * spec.bins + bins[on]).ravel(), np.repeat(w[on], width), np.repeat(w[on] * y[on], width)))
+                if sum(len(c) for c, _, _ in sums) > HELD:
+                    folded()
+        if sums:
+            folded()
+            cell, w, wy = sums[0]
+            for i in range(0, len(cell), 1 << 16):
+                c = cell[i:i + (1 << 16)]
+                yield pa.RecordBatch.from_pydict({"node": pa.array(c // (spec.bins * width)), "feature": pa.array(c // spec.bins % width), "bin": pa.array(c % spec.bins), "w": pa.array(w[i:i + len(c)]), "wy": pa.array(wy[i:i + len(c)])})
+
+    got = rows.where("role = 'train'").select("fold", "y", "row", "bins").mapInArrow(run, "node bigint, feature bigint, bin bigint, w double, wy double")
+    # a task sends at most one row for each cell; all that follows is within a node
+    return got.repartition("node").groupBy("node", "feature", "bin").agg(F.sum("w").alias("w"), F.sum("wy").alias("wy"))
+
+
+def _cuts(cells: DataFrame, spec: Grow) -> DataFrame:
+    """(node, w, wy, best) for each node: its sums, and the cut that lowers the squared error most: (gain, feature, bin, left weight, left sum)."""
     own = W.partitionBy("node", "feature")
     upto = own.orderBy("bin").rowsBetween(W.unboundedPreceding, 0)  # at most ``bins`` rows
-    sides = place.select("node", "feature", "bin", F.sum("w").over(upto).alias("lw"), F.sum("wy").over(upto).alias("ls"), F.sum("w").over(own).alias("tw"), F.sum("wy").over(own).alias("ts"))
+    sides = cells.select("node", "feature", "bin", F.sum("w").over(upto).alias("lw"), F.sum("wy").over(upto).alias("ls"), F.sum("w").over(own).alias("tw"), F.sum("wy").over(own).alias("ts"))
     rw, rs = F.col("tw") - F.col("lw"), F.col("ts") - F.col("ls")
     gain = F.when((F.col("lw") >= spec.least) & (rw >= spec.least), F.col("ls") * F.col("ls") / F.col("lw") + rs * rs / rw - F.col("ts") * F.col("ts") / F.col("tw"))
     best = F.max(F.when(gain > 1e-9, F.struct(gain.alias("gain"), (-F.col("feature")).alias("feature"), (-F.col("bin")).alias("bin"), "lw", "ls")))
@@ -139,7 +149,7 @@ def grow(rows: DataFrame, folds: Sequence[int], width: int, spec: Grow) -> Trees
             model.base[fold_at[r["fold"]]] = r["y"]
     for trees in ([range(t, t + 1) for t in range(spec.trees)] if spec.boosted else [range(spec.trees)]):
         for level in range(spec.depth):
-            cuts = _cuts(_histograms(rows, model, fold_at, trees, level, width), spec, width).toArrow()
+            cuts = _cuts(_histograms(rows, model, fold_at, trees, level, width), spec).toArrow()
             if not len(cuts):
                 break
             at = cuts["node"].to_numpy()
