@@ -189,17 +189,11 @@ TERMINAL = ("filled", "cancelled", "rejected")
 
 def order_states(events: DataFrame, axis: Axis, *, event: str = "event", correlation: str = "correlation_id") -> DataFrame:
     """Status before and after each event; repeated correlation ids are dropped, illegal events keep the status and are flagged."""
-    from tickloom.operators.amm import keyed_scan
+    from tickloom.operators.automata import run_machine
 
     rest = [c for c in events.columns if c not in (*axis.keys, correlation)]
     once = events.groupBy(*axis.keys, correlation).agg(F.min_by(F.struct(*rest), F.struct(*axis.order)).alias("r")).select(*axis.keys, correlation, "r.*")
-
-    def step(state, row):
-        to = TRANSITIONS.get((state, row[event]))
-        return (to or state), (state, to or state, to is not None)
-
-    out = {"from_status": T.StringType(), "to_status": T.StringType(), "legal": T.BooleanType()}
-    return keyed_scan(once, axis, lambda: "pending", step, out, [event, correlation])
+    return run_machine(once, axis, event, TRANSITIONS, "pending")
 
 
 def latest_states(states: DataFrame, axis: Axis, active_only: bool = False) -> DataFrame:

@@ -148,21 +148,19 @@ def cost_advice(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, cos
 
 
 def budget_alerts(df: DataFrame, axis: Axis, cost: str, *, period: float, limit: float, thresholds: Sequence[float] = (0.8, 1.0)) -> DataFrame:
-    """Rolling spend and the thresholds newly crossed; alerts re-arm below 80 % of the lowest threshold."""
-    from pyspark.sql import types as T
+    """Rolling spend and the thresholds newly crossed; alerts re-arm below 80 % of the lowest threshold.
 
-    from tickloom.operators.amm import keyed_scan
+    A threshold is newly crossed where no earlier row since the last re-arming reached it, so the places of the last such rows decide and no series is walked in one task.
+    """
     from tickloom.operators.windows import time_rolling
 
-    d = time_rolling(df, axis, period, {"spent": F.sum(cost)})
     levels, rearm = sorted(thresholds), 0.8 * min(thresholds)
-
-    def step(seen, row):
-        used = row["spent"] / limit
-        seen = set() if used < rearm else seen
-        new = [t for t in levels if used >= t and t not in seen]
-        return seen | set(new), (float(used), [float(t) for t in new])
-    return keyed_scan(d, axis, set, step, {"used": T.DoubleType(), "crossed": T.ArrayType(T.DoubleType())}, ["spent"])
+    used, place = F.col("used"), F.struct(*axis.order)
+    d = time_rolling(df, axis, period, {"spent": F.sum(cost)}).withColumn("used", (F.col("spent") / limit).cast("double")).drop("spent")
+    marks = {"__armed": ("last", F.when(used < rearm, place))} | {f"__reached{i}": ("last", F.when(used >= t, place)) for i, t in enumerate(levels)}
+    d = running(d, axis, marks, exclusive=True)
+    new = [F.when((used >= t) & (F.col(f"__reached{i}").isNull() | F.coalesce(F.col(f"__reached{i}") < F.col("__armed"), F.lit(False))), F.lit(float(t))) for i, t in enumerate(levels)]
+    return d.withColumn("crossed", F.array_compact(F.array(*new))).drop(*marks)
 
 
 def slo_alerts(df: DataFrame, axis: Axis, failed: Column, latency: str, *, span: float = 300.0, error_limit: float = 0.05, latency_limit: float = 1.0, cooldown: float = 600.0) -> DataFrame:

@@ -155,12 +155,22 @@ def events(t):
                           F.concat(F.lit("c"), F.floor(F.col("seq") / 2)).alias("correlation_id"))
 
 
-@query("x15_order_states")
+STATES = f"""tr(s, e, z) AS (VALUES {", ".join(f"('{a}', '{e}', '{z}')" for (a, e), z in X.TRANSITIONS.items())}),
+ev AS (SELECT symbol AS order_id, ts, seq AS n, ['submit', 'ack', 'fill_partial', 'fill_final', 'cancel'][seq % 5 + 1] AS event FROM ticks QUALIFY row_number() OVER (PARTITION BY symbol, seq // 2 ORDER BY ts, seq) = 1),
+en AS (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY ts, n) AS k FROM ev),
+st AS (SELECT order_id, CAST(0 AS BIGINT) AS k, 'pending' AS s FROM en GROUP BY 1 UNION ALL SELECT en.order_id, en.k, coalesce(tr.z, st.s) FROM st JOIN en ON en.order_id = st.order_id AND en.k = st.k + 1 LEFT JOIN tr ON tr.s = st.s AND tr.e = en.event)"""
+
+
+@query("x15_order_states", f"""WITH RECURSIVE {STATES}
+SELECT en.order_id, en.n, en.event, a.s AS from_status, b.s AS to_status, tr.z IS NOT NULL AS legal FROM en JOIN st a ON a.order_id = en.order_id AND a.k = en.k - 1 JOIN st b ON b.order_id = en.order_id AND b.k = en.k
+LEFT JOIN tr ON tr.s = a.s AND tr.e = en.event""")
 def x15(t):
     return X.order_states(events(t), ORD).select("order_id", "n", "event", "from_status", "to_status", "legal")
 
 
-@query("x24_latest_orders")
+@query("x24_latest_orders", f"""WITH RECURSIVE {STATES}
+SELECT en.order_id, arg_max(b.s, en.k) AS status, count(*) AS transitions FROM en JOIN st a ON a.order_id = en.order_id AND a.k = en.k - 1 JOIN st b ON b.order_id = en.order_id AND b.k = en.k
+JOIN tr ON tr.s = a.s AND tr.e = en.event GROUP BY en.order_id""")
 def x24(t):
     return X.latest_states(X.order_states(events(t), ORD), ORD)
 

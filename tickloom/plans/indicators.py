@@ -44,9 +44,23 @@ def hurst(t):
     return rnd(E.hurst(t.multi_series, t.by_vec, "x", 2, 10), "hurst")
 
 
-@query("i5_hurst_venue_50_lags")
+@query("i5_hurst_venue_50_lags", f"""
+WITH l AS (SELECT venue, price, {", ".join(f"lag(price, {k}) OVER w AS lag{k}" for k in range(2, 51))} FROM ticks WINDOW w AS (PARTITION BY venue ORDER BY ts, seq)),
+s AS (SELECT venue, count(*) AS n, {", ".join(f"stddev_pop(price - lag{k}) AS t{k}" for k in range(2, 51))} FROM l GROUP BY venue),
+u AS ({" UNION ALL ".join(f"SELECT venue, n, ln({k}) AS lx, ln(t{k}) AS ly FROM s" for k in range(2, 51))})
+SELECT venue, round(CASE WHEN any_value(n) < 100 THEN 0.5 ELSE least(greatest(regr_slope(ly, lx), 0), 1) END, 6) AS hurst FROM u GROUP BY venue""")
 def hurst50(t):
-    return E.hurst(t.ticks, t.by_venue, "price")
+    return rnd(E.hurst(t.ticks, t.by_venue, "price"), "hurst")
+
+
+@query("i6_rolling_hurst_100", f"""
+WITH l AS (SELECT venue, seq, price, row_number() OVER w AS n, {", ".join(f"lag(price, {k}) OVER w AS lag{k}" for k in range(2, 51))} FROM ticks WINDOW w AS (PARTITION BY venue ORDER BY ts, seq)),
+s AS (SELECT venue, seq, n, {", ".join(f"stddev_pop(price - lag{k}) OVER (PARTITION BY venue ORDER BY n ROWS {100 - k - 1} PRECEDING) AS t{k}" for k in range(2, 51))} FROM l),
+u AS ({" UNION ALL ".join(f"SELECT venue, seq, ln({k}) AS lx, ln(t{k}) AS ly FROM s WHERE least(n, 100) >= {2 * k} AND least(n, 100) // 2 > 2" for k in range(2, 51))}),
+h AS (SELECT venue, seq, regr_slope(ly, lx) AS h FROM u GROUP BY 1, 2)
+SELECT venue, seq, round(CASE WHEN h IS NULL THEN 0.5 ELSE least(greatest(h, 0), 1) END, 6) AS hurst FROM ticks LEFT JOIN h USING (venue, seq)""")
+def rolling_hurst_100(t):
+    return rnd(E.rolling_hurst(t.ticks, t.by_venue, "price", 100).select("venue", "seq", "hurst"), "hurst")
 
 
 ROLL = ", ".join(f"stddev_pop(x - lag{k}) OVER (PARTITION BY vec_id ORDER BY pos ROWS {20 - k - 1} PRECEDING) AS t{k}" for k in range(2, 11))

@@ -103,15 +103,19 @@ def d3(t):
     return rnd(d.select("lang", micros("ts").alias("ts"), "score", "sources", "momentum"), "score", "momentum")
 
 
-@query("d4_wide_metrics", """
-WITH b AS (SELECT symbol, time_bucket(INTERVAL '1 day', ts) AS ts, avg(price) FILTER (WHERE venue = 'click') AS c, avg(price) FILTER (WHERE venue = 'view') AS v FROM ticks GROUP BY 1, 2),
+VENUES = ("click", "error", "purchase", "signup", "view")
+
+
+@query("d4_wide_metrics", f"""
+WITH b AS (SELECT symbol, time_bucket(INTERVAL '1 day', ts) AS ts, {", ".join(f"avg(price) FILTER (WHERE venue = '{v}') AS {v}" for v in VENUES)} FROM ticks GROUP BY 1, 2),
 g AS (SELECT symbol, unnest(generate_series(min(ts), max(ts), INTERVAL '1 day')) AS ts FROM b GROUP BY 1),
-f AS (SELECT symbol, ts, last_value(c IGNORE NULLS) OVER w AS c, last_value(v IGNORE NULLS) OVER w AS v FROM g LEFT JOIN b USING (symbol, ts) WINDOW w AS (PARTITION BY symbol ORDER BY ts))
-SELECT symbol, epoch_us(ts) AS ts, round(c, 6) AS click, round(v, 6) AS view, round(c - lag(c) OVER w, 6) AS click_delta, round(stddev_samp(v) OVER s, 6) AS view_vol FROM f
+f AS (SELECT symbol, ts, {", ".join(f"last_value({v} IGNORE NULLS) OVER w AS {v}" for v in VENUES)} FROM g LEFT JOIN b USING (symbol, ts) WINDOW w AS (PARTITION BY symbol ORDER BY ts))
+SELECT symbol, epoch_us(ts) AS ts, {", ".join(f"round({v}, 6) AS {v}, round({v} - lag({v}) OVER w, 6) AS {v}_delta, round(stddev_samp({v}) OVER s, 6) AS {v}_vol" for v in VENUES)} FROM f
 WINDOW w AS (PARTITION BY symbol ORDER BY ts), s AS (PARTITION BY symbol ORDER BY ts ROWS 6 PRECEDING)""")
 def d4(t):
-    d = R.wide_metrics(t.ticks, t.by_symbol, DAY, "venue", "price", ["click", "view"])
-    return rnd(d.select("symbol", micros("ts").alias("ts"), "click", "view", "click_delta", "view_vol"), "click", "view", "click_delta", "view_vol")
+    d = R.wide_metrics(t.ticks, t.by_symbol, DAY, "venue", "price", list(VENUES))
+    names = [n for v in VENUES for n in (v, f"{v}_delta", f"{v}_vol")]
+    return rnd(d.select("symbol", micros("ts").alias("ts"), *names), *names)
 
 
 @query("d5_fusion", """
@@ -130,7 +134,16 @@ def halves(t):
     return t.ticks.filter(early), t.ticks.filter(~early)
 
 
-@query("d6_psi")
+def psi(table: str, key: str, column: str) -> str:
+    """(key, psi) of a table with a column ``half`` (0: reference) as in ``risk.psi``."""
+    return f"""SELECT g.{key}, sum((c - r) * ln(c / r)) AS psi FROM (
+  SELECT e.{key}, e.b, greatest(coalesce(count(*) FILTER (WHERE half = 0), 0) / any_value(e.n0), 1e-6) AS r, greatest(coalesce(count(*) FILTER (WHERE half = 1), 0) / any_value(e.n1), 1e-6) AS c
+  FROM (SELECT {key}, e, n0, n1, unnest(range(0, len(e) - 1)) AS b FROM (SELECT {key}, list_sort(list_distinct(quantile_cont({column}, [{", ".join(str(i / 10) for i in range(11))}]) FILTER (WHERE half = 0))) AS e,
+    count(*) FILTER (WHERE half = 0) AS n0, count(*) FILTER (WHERE half = 1) AS n1 FROM {table} GROUP BY {key})) e
+  LEFT JOIN {table} x ON x.{key} = e.{key} AND x.{column} BETWEEN e.e[1] AND e.e[len(e.e)] AND least(len(list_filter(e.e, lambda v: v <= x.{column})) - 1, len(e.e) - 2) = e.b GROUP BY 1, 2) g GROUP BY 1"""
+
+
+@query("d6_psi", f"WITH h AS (SELECT *, seq % 2 AS half FROM ticks), p AS ({psi('h', 'venue', 'price')}) SELECT venue, round(psi, 6) AS psi FROM p")
 def d6(t):
     return rnd(R.psi(*halves(t), ["venue"], "price"), "psi")
 
@@ -143,7 +156,16 @@ def d7(t):
     return rnd(R.ks(*halves(t), ["venue"], "price").select("venue", "ks"), "ks")
 
 
-@query("d8_drift_summary")
+@query("d8_drift_summary", f"""
+WITH h AS (SELECT 'price' AS feature, price AS value, seq % 2 AS half FROM ticks UNION ALL SELECT 'volume', volume, seq % 2 FROM ticks), p AS ({psi('h', 'feature', 'value')}),
+c AS (SELECT feature, value, count(*) FILTER (WHERE half = 0) AS a, count(*) FILTER (WHERE half = 1) AS b FROM h GROUP BY 1, 2),
+k AS (SELECT feature, max(abs(d)) AS ks, any_value(na) AS n_ref, any_value(nb) AS n_cur FROM (SELECT feature, sum(a) OVER w / sum(a) OVER f - sum(b) OVER w / sum(b) OVER f AS d, sum(a) OVER f AS na, sum(b) OVER f AS nb
+  FROM c WINDOW w AS (PARTITION BY feature ORDER BY value), f AS (PARTITION BY feature)) GROUP BY 1),
+l AS (SELECT *, (sqrt(n_ref * n_cur / (n_ref + n_cur)) + 0.12 + 0.11 / sqrt(n_ref * n_cur / (n_ref + n_cur))) * ks AS lam FROM k),
+s AS (SELECT feature, psi, ks, n_ref, n_cur, CASE WHEN lam < 0.2 THEN 1 ELSE least(greatest(list_sum(list_transform(range(1, 31), lambda j: 2 * (CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * j * j * lam * lam))), 0), 1) END AS p FROM l JOIN p USING (feature))
+SELECT feature, round(psi, 6) AS psi, round(ks, 6) AS ks, CAST(n_ref AS BIGINT) AS n_ref, CAST(n_cur AS BIGINT) AS n_cur, round(p, 6) AS p,
+  CASE WHEN psi / 0.2 >= 2 THEN 'critical' WHEN psi / 0.2 >= 1 THEN 'major' WHEN psi / 0.2 >= 0.75 THEN 'warning' ELSE 'none' END AS psi_severity,
+  CASE WHEN (1 - p) / 0.95 >= 2 THEN 'critical' WHEN (1 - p) / 0.95 >= 1 THEN 'major' WHEN (1 - p) / 0.95 >= 0.75 THEN 'warning' ELSE 'none' END AS ks_severity, psi >= 0.2 OR p < 1 - 0.95 AS drifted FROM s""")
 def d8(t):
     return rnd(R.drift_summary(*halves(t), ["price", "volume"]), "psi", "ks", "p")
 
@@ -171,12 +193,20 @@ def d11(t):
     return rnd(d.select("symbol", "utilisation", "latest", "median"), "utilisation", "median", twice=True)
 
 
-@query("d12_budget_alerts")
+@query("d12_budget_alerts", """
+WITH u AS (SELECT symbol, seq, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) AS k, sum(price) OVER (PARTITION BY symbol ORDER BY ts RANGE INTERVAL 7 DAY PRECEDING) / 1000.0 AS used FROM ticks),
+m AS (SELECT *, max(CASE WHEN used < 0.8 * 0.8 THEN k END) OVER w AS armed, max(CASE WHEN used >= 0.8 THEN k END) OVER w AS low, max(CASE WHEN used >= 1 THEN k END) OVER w AS high FROM u
+  WINDOW w AS (PARTITION BY symbol ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT symbol, seq, round(used, 6) AS used, CASE WHEN used >= 0.8 AND (low IS NULL OR low < armed) THEN 1 ELSE 0 END + CASE WHEN used >= 1 AND (high IS NULL OR high < armed) THEN 1 ELSE 0 END AS crossed FROM m""")
 def d12(t):
     return R.budget_alerts(t.ticks, t.by_symbol, "price", period=7 * DAY, limit=1000.0).select("symbol", "seq", F.round("used", 6).alias("used"), F.size("crossed").alias("crossed"))
 
 
-@query("d13_slo_alerts")
+@query("d13_slo_alerts", """
+WITH RECURSIVE r AS (SELECT venue, seq, ts, avg(CASE WHEN price > 100 THEN 1.0 ELSE 0 END) OVER w AS error_rate, quantile_cont(volume, 0.95) OVER w AS p95 FROM ticks WINDOW w AS (PARTITION BY venue ORDER BY ts RANGE INTERVAL 4 HOUR PRECEDING)),
+h AS (SELECT venue, seq, epoch_us(ts) AS us, row_number() OVER (PARTITION BY venue ORDER BY ts, seq) AS k FROM r WHERE error_rate > 0.2 OR p95 > 95),
+f AS (SELECT venue, seq, k, us AS last, true AS alert FROM h WHERE k = 1 UNION ALL SELECT h.venue, h.seq, h.k, CASE WHEN h.us - f.last >= 600000000 THEN h.us ELSE f.last END, h.us - f.last >= 600000000 FROM f JOIN h ON h.venue = f.venue AND h.k = f.k + 1)
+SELECT r.venue, r.seq, round(error_rate, 6) AS error_rate, round(p95, 6) AS p95, error_rate > 0.2 OR p95 > 95 AS breach, coalesce(f.alert, false) AS alert FROM r LEFT JOIN f ON f.venue = r.venue AND f.seq = r.seq""")
 def d13(t):
     return rnd(R.slo_alerts(t.ticks, t.by_venue, F.col("price") > 100, "volume", span=14400.0, error_limit=0.2, latency_limit=95.0).select("venue", "seq", "error_rate", "p95", "breach", "alert"), "error_rate", "p95")
 
