@@ -109,24 +109,28 @@ def walk_book(orders: DataFrame, levels: DataFrame, *, book: Sequence[str], orde
     """Average price, book fill and shortfall of market orders.
 
     ``orders``: book keys, order keys, side, quantity, mid; ``levels``: book keys, side (of the resting orders), price, quantity.
-    Cumulative depth is taken once per book side, then each order meets the levels that it reaches.
+    Cumulative depth and value are taken once per book side. An order is then a point on that depth: the level before it is used up, the level after it gives the rest, so it meets two levels however many
+    the book has. Without a positive quantity nothing is filled.
     """
     buy = F.lower("side") == "buy"
     lv = levels.withColumn("__rank", F.when(F.lower("side") == "ask", F.col("price")).otherwise(-F.col("price")))
-    lv = lv.groupBy(*book, "side", "__rank").agg(F.sum("quantity").alias("__q"), F.first("price").alias("__p"))
-    deep = running(lv, Axis([*book, "side"], "__rank", (), 1e6, numeric=True), {"__to": ("sum", F.col("__q"))}).withColumnRenamed("side", "__side")
-    o = orders.withColumn("__side", F.when(buy, "ask").otherwise("bid"))
-    j = o.join(deep.select(*book, "__side", "__rank", "__q", "__p", "__to"), [*book, "__side"], "left")
-    take = F.greatest(F.lit(0.0), F.least(F.col("quantity") - (F.col("__to") - F.col("__q")), F.col("__q")))
-    hit = F.col("__to") - F.col("__q") < F.col("quantity")
-    g = j.groupBy(*order).agg(F.first("side").alias("side"), F.first("quantity").alias("quantity"), F.first("mid").alias("mid"),
-                              F.coalesce(F.sum(take), F.lit(0.0)).alias("filled"), F.coalesce(F.sum(take * F.col("__p")), F.lit(0.0)).alias("__val"),
-                              F.max_by("__p", F.when(hit, F.col("__rank"))).alias("__last"), F.coalesce(F.sum("__q"), F.lit(0.0)).alias("depth"))
-    g = g.withColumn("shortfall", F.greatest(F.lit(0.0), F.col("quantity") - F.col("filled")))
-    last = F.coalesce("__last", "mid")
+    lv = lv.groupBy(*book, F.col("side").alias("__side"), "__rank").agg(F.sum("quantity").alias("__q"), F.first("price").alias("__p"))
+    deep = running(lv, Axis([*book, "__side"], "__rank", (), 1e6, numeric=True), {"__to": ("sum", F.col("__q")), "__val": ("sum", F.col("__q") * F.col("__p"))})
+    points = deep.select(*book, "__side", F.col("__to").alias("__at"), F.lit(0).alias("__kind"), F.struct("__to", "__val", "__p").alias("__level"))
+    asked = orders.select(*orders.columns, F.when(buy, "ask").otherwise("bid").alias("__side"), F.col("quantity").cast("double").alias("__at"), F.lit(1).alias("__kind"))
+    level = F.col("__level")
+    placed = running(asked.unionByName(points, allowMissingColumns=True), Axis([*book, "__side"], "__at", ("__kind",), 1e6, numeric=True),
+                     {"__before": ("last", level), "__after": ("last", level, True), "__end": ("first", level, True)}).where("__kind = 1")
+    n, used = F.col("quantity"), F.coalesce(F.col("__before.__to"), F.lit(0.0))
+    depth = F.coalesce(F.col("__end.__to"), F.col("__before.__to"), F.lit(0.0))
+    filled = F.when(n > 0, F.least(n, depth)).otherwise(0.0)
+    value = F.when(n > 0, F.coalesce(F.col("__before.__val"), F.lit(0.0)) + F.coalesce((filled - used) * F.col("__after.__p"), F.lit(0.0))).otherwise(0.0)
+    last = F.when((n > 0) & (n > used), F.coalesce("__after.__p", "__before.__p")).when(n > 0, F.col("__before.__p"))
+    g = placed.select(*order, "side", "quantity", "mid", filled.alias("filled"), value.alias("__val"), F.coalesce(last, F.col("mid")).alias("__last"), depth.alias("depth"))
+    g = g.withColumn("shortfall", F.greatest(F.lit(0.0), n - F.col("filled")))
+    last = F.col("__last")
     worse = F.when(F.lower("side") == "buy", last * (1 + penalty_bps * 1e-4)).otherwise(F.greatest(F.lit(0.0), last * (1 - penalty_bps * 1e-4)))
-    return g.withColumn("average_price", ratio(F.col("__val") + F.col("shortfall") * worse, F.col("quantity"))).withColumn(
-        "liquidity_score", ratio(F.col("depth"), F.col("quantity"))).drop("__val", "__last")
+    return g.withColumn("average_price", ratio(F.col("__val") + F.col("shortfall") * worse, n)).withColumn("liquidity_score", ratio(F.col("depth"), n)).drop("__val", "__last")
 
 
 def impact_forecast(walked: DataFrame, participation: Column, volatility: Column, *, sensitivity: float = 0.05, exponent: float = 0.6, vol_sensitivity: float = 0.04) -> DataFrame:
@@ -235,27 +239,6 @@ def cash_rows(ex: DataFrame, *, side: str = "side", gross: str = "gross", fee: s
     return ex.select(*keep, F.explode(F.array_compact(F.array(trade, charge))).alias("x")).select(*keep, "x.*")
 
 
-def arbitrage(quotes: DataFrame, axis: Axis, venues: Sequence[str], *, venue: str = "venue", max_age: float = 5.0, max_skew: float = 1.0, fee: float = 0.001,
-              min_edge: float = 0.0, min_profit: float = 0.0) -> DataFrame:
-    """At every quote of a symbol: best fresh bid and ask over the venues, kept when selling one and buying the other pays.
-
-    ``quotes`` has bid, ask, bid_size, ask_size. The latest quote of each venue is a running value, one column per venue.
-    """
-    q = F.struct(micros(axis.ts).alias("t"), F.lit(0).alias("o"), "bid", "ask", "bid_size", "ask_size", F.col(venue).alias("v"))
-    d = running(quotes, axis, {f"__v{i}": ("last", F.when(F.col(venue) == v, q)) for i, v in enumerate(venues)})
-    now = micros(axis.ts)
-    fresh = F.filter(F.array(*[f"__v{i}" for i in range(len(venues))]), lambda x: x.isNotNull() & (now - x["t"] <= int(max_age * 1e6)))
-    d = d.withColumn("__f", fresh)
-    best = lambda key: F.reduce("__f", F.col("__f")[0], lambda a, x: F.when(key(x, a), x).otherwise(a))
-    d = d.filter(F.size("__f") > 1).withColumn("__b", best(lambda x, a: x["bid"] > a["bid"])).withColumn("__a", best(lambda x, a: x["ask"] < a["ask"]))
-    b, a = F.col("__b"), F.col("__a")
-    d = d.filter((b["v"] != a["v"]) & (b["bid"] > a["ask"]) & (F.abs(b["t"] - a["t"]) <= int(max_skew * 1e6)))
-    d = d.withColumn("size", F.least(a["ask_size"], b["bid_size"])).filter("size > 0")
-    d = d.withColumn("notional", F.col("size") * a["ask"]).withColumn("profit", (b["bid"] - a["ask"]) * F.col("size") - fee * (F.col("notional") + F.col("size") * b["bid"]))
-    d = d.filter((F.col("profit") > 0) & (F.col("profit") >= min_profit) & (F.col("profit") / F.col("notional") >= min_edge))
-    return d.select(*axis.keys, *axis.order, a["v"].alias("buy_venue"), b["v"].alias("sell_venue"), "size", "notional", "profit")
-
-
 def venue_latency(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, n: int = 2048) -> DataFrame:
     return quantiles(newest(df, keys, order, n), keys, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 

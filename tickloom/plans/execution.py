@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tickloom.functions.exprs import micros
+from tickloom.operators import arbitrage as A
 from tickloom.operators import execution as X
 from tickloom.operators.axis import Axis
 from tickloom.plans.aggregates import rnd
@@ -197,11 +198,38 @@ def x17(t):
     return rnd(X.cash_rows(d), "amount", digits=4)
 
 
-@query("x18_arbitrage")
-def x18(t):
+RULE = A.Rule(max_age=DAY, max_skew=DAY, fee=0.001, fees={"view": 0.002, "click": 0.0}, min_edge=0.01, min_profit=1.0)
+
+
+def quotes_and_balances(ticks):
+    """Quotes around the price, and at every 7th tick a balance of the venue before them."""
     p = F.col("price")
-    q = t.ticks.select("symbol", "ts", "seq", "venue", (p - 0.5).alias("bid"), (p + 0.5).alias("ask"), F.col("volume").alias("bid_size"), (F.col("volume") + 1).alias("ask_size"))
-    return rnd(X.arbitrage(q, t.by_symbol, ["click", "error", "purchase", "signup", "view"], max_age=DAY, max_skew=DAY), "notional", "profit")
+    quotes = ticks.select("symbol", "ts", (F.col("seq") * 2 + 1).alias("seq"), "venue", (p - 0.5).alias("bid"), (p + 0.5).alias("ask"), F.col("volume").alias("bid_size"), (F.col("volume") + 1).alias("ask_size"))
+    held = ticks.where("seq % 7 = 0").select("symbol", "ts", (F.col("seq") * 2).alias("seq"), "venue", (F.col("volume") - 10).alias("base_available"), (F.col("price") * 20).alias("quote_available"))
+    return quotes, held
+
+
+TRADES = rounded_twice("""
+WITH q AS (SELECT symbol, venue, ts, seq * 2 + 1 AS seq, (ts, seq * 2 + 1) AS at, price - 0.5 AS bid, price + 0.5 AS ask, volume AS bs, volume + 1 AS az FROM ticks),
+h AS (SELECT symbol, venue, (ts, seq * 2) AS at, volume - 10 AS base, price * 20 AS cash FROM ticks WHERE seq % 7 = 0), v AS (SELECT DISTINCT symbol, venue FROM ticks),
+s AS (SELECT q.symbol, q.ts, q.seq, q.at, v.venue FROM q JOIN v USING (symbol)), l AS (SELECT s.*, q.ts AS qt, q.bid, q.ask, q.bs, q.az FROM s ASOF JOIN q ON s.symbol = q.symbol AND s.venue = q.venue AND s.at >= q.at),
+b AS (SELECT l.*, h.base, h.cash FROM l ASOF LEFT JOIN h ON l.symbol = h.symbol AND l.venue = h.venue AND l.at >= h.at WHERE l.ts - l.qt <= INTERVAL 1 DAY),
+g AS (SELECT symbol, seq, any_value(ts) AS ts, count(*) AS n, first(struct_pack(venue, qt, p := bid, z := bs, have := base) ORDER BY bid DESC, venue) AS s, first(struct_pack(venue, qt, p := ask, z := az, have := cash) ORDER BY ask, venue) AS b FROM b GROUP BY 1, 2),
+z AS (SELECT *, least(b.z, s.z, coalesce(b.have / b.p, 1e300), coalesce(s.have, 1e300)) AS size FROM g WHERE n > 1 AND s.venue <> b.venue AND s.p > b.p),
+t AS (SELECT symbol, seq, b.venue AS buy_venue, s.venue AS sell_venue, b.p AS buy_price, s.p AS sell_price, size, size * b.p AS notional,
+  (s.p - b.p) * size - size * b.p * CASE b.venue WHEN 'view' THEN 0.002 WHEN 'click' THEN 0 ELSE 0.001 END - size * s.p * CASE s.venue WHEN 'view' THEN 0.002 WHEN 'click' THEN 0 ELSE 0.001 END AS profit FROM z WHERE size > 0)
+SELECT symbol, seq, buy_venue, sell_venue, round(buy_price, 6) AS buy_price, round(sell_price, 6) AS sell_price, round(size, 6) AS size, round(notional, 4) AS notional, round(profit, 4) AS profit FROM t WHERE profit > 0 AND profit >= 1 AND profit / notional >= 0.01""")
+
+
+def shown(d):
+    d = d.select("symbol", "seq", "buy_venue", "sell_venue", "buy_price", "sell_price", "size", "notional", "profit")
+    return rnd(rnd(d, "buy_price", "sell_price", "size", twice=True), "notional", "profit", digits=4, twice=True)
+
+
+@query("x18_arbitrage", TRADES)
+def x18(t):
+    quotes, held = quotes_and_balances(t.ticks)
+    return shown(A.arbitrage(quotes, t.by_symbol, RULE, balances=held))
 
 
 @query("x19_venue_latency", """

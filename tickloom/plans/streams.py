@@ -5,8 +5,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tickloom.functions.exprs import micros
+from tickloom.operators import arbitrage as A
 from tickloom.operators import udfs as U
 from tickloom.plans.aggregates import rnd
+from tickloom.plans.execution import RULE, TRADES, quotes_and_balances, shown
 from tickloom.plans.registry import query
 from tickloom.plans.windows import W, ema
 from tickloom.session import scratch_dir
@@ -115,10 +117,11 @@ def t9(t):
     return S.drain(S.online_positions(d, ["symbol"], ["ts", "seq"], "q", "price"), "t9").select("symbol", "seq", "position")
 
 
-@query("t10_online_arbitrage")
+@query("t10_online_arbitrage", TRADES)
 def t10(t):
-    d = ticks(t).withColumns({"bid": F.col("price") - 0.5, "ask": F.col("price") + 0.5})
-    return S.drain(S.online_arbitrage(d, ["symbol"], ["ts", "seq"], max_age_us=86_400_000_000), "t10")
+    quotes, held = quotes_and_balances(ticks(t))
+    both = A.messages(quotes, held, t.by_symbol, "venue")
+    return shown(S.drain(S.online_arbitrage(both, ["symbol"], ["ts", "seq"], RULE), "t10"))
 
 
 @query("f5_stream_materialise", "SELECT symbol, epoch_us(time_bucket(INTERVAL '1 day', ts)) AS ts, arg_max(price, seq) AS price FROM ticks GROUP BY 1, 2")

@@ -107,7 +107,7 @@ def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: Callab
         held = pickle.loads(state.get[0]) if state.exists else start()
         rows = pd.concat(list(batches)).sort_values(order, kind="stable")
         emitted = []
-        for values in zip(*[rows[c].tolist() for c in inputs]):
+        for values in zip(*[rows[c].astype(object).where(rows[c].notna(), None).tolist() for c in inputs]):
             held, more = step(held, dict(zip(inputs, values)))
             emitted += [(*key, *m) for m in more]
         state.update((pickle.dumps(held),))
@@ -176,16 +176,16 @@ def ordered_release(df: DataFrame, keys: Sequence[str], order: Sequence[str], pa
     return fold(d, keys, order, lambda: ([], 0), step, {"event_us": T.LongType(), payload: T.LongType()}, ["__us", payload])
 
 
-def online_arbitrage(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, max_age_us: int) -> DataFrame:
-    """Latest quote per venue in state; a row when the best bid of one venue beats the best ask of another."""
-    def step(book, row):
-        book = {**book, row["venue"]: (row["__us"], row["bid"], row["ask"])}
-        live = {v: q for v, q in book.items() if row["__us"] - q[0] <= max_age_us}
-        sell, buy = max(live, key=lambda v: live[v][1]), min(live, key=lambda v: live[v][2])
-        edge = live[sell][1] - live[buy][2]
-        return book, [(row[order[-1]], buy, sell, float(edge))] if sell != buy and edge > 0 else []
-    return fold(df.withColumn("__us", micros(order[0])), keys, order, dict, step,
-                {order[-1]: T.LongType(), "buy_venue": T.StringType(), "sell_venue": T.StringType(), "edge": T.DoubleType()}, [order[-1], "__us", "venue", "bid", "ask"])
+def online_arbitrage(df: DataFrame, keys: Sequence[str], order: Sequence[str], rule) -> DataFrame:
+    """Trades of ``operators.arbitrage`` on a stream of quotes and balances (``arbitrage.messages``): latest quote and balance per venue in state, the same rule at every quote."""
+    from tickloom.operators import arbitrage as A
+
+    def walk(state, row):
+        trade = A.step(rule, state, row["venue"], row["__us"], tuple(row[c] for c in A.QUOTE), tuple(row[c] for c in A.BALANCE)) if row["venue"] is not None else None
+        return state, [(row[order[-1]], *trade)] if trade else []
+
+    columns = {order[-1]: T.LongType()} | {f.name: f.dataType for f in T._parse_datatype_string(A.FOUND).fields}
+    return fold(df.withColumn("__us", micros(order[0])), keys, order, lambda: ({}, {}), walk, columns, [order[-1], "__us", "venue", *A.QUOTE, *A.BALANCE])
 
 
 def book_ingest(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, every: int = 1000) -> DataFrame:
