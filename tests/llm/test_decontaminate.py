@@ -79,3 +79,45 @@ def test_blocks_of_items_change_nothing(spark, odd, monkeypatch):
     whole = sorted(D.leaks(odd, items).collect(), key=str)
     monkeypatch.setattr(D, "BLOCK_BYTES", 100)
     assert sorted(D.leaks(odd, items).collect(), key=str) == whole
+
+
+def test_repetitive_texts(monkeypatch):
+    """Rules of one character and periodic texts: the same regions as a spelt-out count finds, in small windows too; a megabyte of dashes in bounded time and memory."""
+    import resource
+    import time
+
+    rng = random.Random(4)
+    items = ["-" * 200, "Heading of the task\n" + "=" * 60 + "\nThe first line of it says what is to be done", "ab " * 40, "-" * 30 + " mixed " + "-" * 30, text_of(rng, 20)]
+    index = D.Items(list(range(len(items))), items)
+    texts = ["-" * 700, "x " + items[1] + " y", items[1].replace("first", "fxrst"), "ab " * 100, text_of(rng, 30) + " " + items[4] + " " + "-" * 250 + items[3], "=" * 300, "- " * 200, "-" * 199, items[3].replace("mixed", "mxed")]
+
+    def spelt_out(t):
+        """Bands with q-grams enough, counting each hit on its own."""
+        out = set()
+        for k, item in enumerate(index.text):
+            half, held = int(index.edits[k]) + 1, {}
+            at = {}
+            for a in range(len(item) - D.Q + 1):
+                at.setdefault(item[a:a + D.Q], []).append(a)
+            for p in range(len(t) - D.Q + 1):
+                for a in at.get(t[p:p + D.Q], ()):
+                    for b in ((p - a) // half, (p - a) // half - 1):
+                        held.setdefault(b, set()).add(a)
+            out |= {(k, b * half) for b, seen in held.items() if len(seen) >= index.need[k]}
+        return out
+
+    for size in (1 << 20, 40):
+        monkeypatch.setattr(D, "WINDOW_HITS", size)
+        for text in texts:
+            t = np.frombuffer(D.normal(text), np.uint8)
+            got = [(k, d) for _, k, d in index.regions(t, np.array([0, len(t)]))]
+            assert len(got) == len(set(got)) and set(got) >= spelt_out(t.tobytes()), text[:40]
+            assert len(got) <= 1.2 * len(spelt_out(t.tobytes())) + 10  # a q-gram that two runs give to a band may count twice
+    assert {k for _, k, *_ in index.found(np.frombuffer(texts[2].encode(), np.uint8), np.array([0, len(texts[2])]))} == {1}
+    assert 3 in {k for _, k, *_ in index.found(np.frombuffer(texts[8].encode(), np.uint8), np.array([0, len(texts[8])]))}
+    monkeypatch.setattr(D, "WINDOW_HITS", 1 << 20)
+    alone = D.Items([0], ["-" * 200])
+    data = np.frombuffer(b"-" * 1_000_000, np.uint8)
+    before, begin = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+    assert sum(1 for _ in alone.found(data, np.array([0, len(data)]))) > 1000
+    assert time.time() - begin < 20 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000

@@ -17,12 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.scratch import small, written
-from tickloom.llm.text import IS_SPACE, LOWER, column, slices
+from tickloom.llm.text import IS_SPACE, LOWER, column, release, slices
 
 Q = 12
 ERROR_RATE = 0.07  # edits allowed for each byte of an item
 BLOCK_BYTES = 8 << 20  # of items that one pass over the documents looks for
 FILTER_BITS = 22
+WINDOW_HITS = 1 << 20  # of q-grams spelt out at once
 HEAD, TAIL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -106,24 +107,89 @@ class Items:
         gram, item, at = np.concatenate([*made, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(made)), [len(m) for m in made]), np.concatenate([*(np.arange(len(m)) for m in made), np.zeros(0, np.int64)])
         order = np.argsort(gram, kind="stable")
         self.gram, self.item, self.at = gram[order], item[order], at[order].astype(np.int64)
+        # stretches of an item where one byte goes on: q-gram -> (item, first place, last place)
+        self.runs: dict[int, list[tuple[int, int, int]]] = {}
+        one = np.flatnonzero(np.isin(self.gram, np.concatenate([grams(np.full(Q, b, np.uint8)) for b in range(256)])))
+        self.repeated, self.longest = np.bincount(self.item[one], minlength=len(self.text)), max(map(len, self.text), default=0)
+        cut = np.flatnonzero(np.concatenate([[True], (np.diff(self.gram[one]) != 0) | (np.diff(self.item[one]) != 0) | (np.diff(self.at[one]) != 1)])[:len(one)])
+        begin, ends = one[cut], one[np.append(cut[1:], len(one))[:len(cut)] - 1]
+        for low, high in zip(begin.tolist(), ends.tolist()):
+            self.runs.setdefault(int(self.gram[low]), []).append((int(self.item[low]), int(self.at[low]), int(self.at[high])))
         self.maybe = np.zeros(1 << FILTER_BITS, bool)
         self.maybe[self.gram >> np.uint64(64 - FILTER_BITS)] = True
 
     def regions(self, text: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(row, item, lowest diagonal of a band) wherever a band of a row has q-grams enough."""
+        """(row, item, lowest diagonal of a band) wherever a band of a row has q-grams enough.
+
+        A byte repeated in the text meets one repeated in an item as a whole: how many of the item's q-grams a band gets from the two runs follows from their ends. All other
+        hits are spelt out, a window of the text at a time; windows overlap by the longest item and its band, so a region lies wholly inside one.
+        """
         value = grams(text)
         hit = np.flatnonzero(self.maybe[value >> np.uint64(64 - FILTER_BITS)])
         low, high = np.searchsorted(self.gram, value[hit], "left"), np.searchsorted(self.gram, value[hit], "right")
+        known = high > low
+        hit, low, high = hit[known], low[known], high[known]
+        if not len(hit):
+            return
+        ends = rows[np.searchsorted(rows, hit, "right")]
+        inside = hit + Q <= ends  # not across a row's end
+        hit, low, high = hit[inside], low[inside], high[inside]
+        again = (np.diff(hit) == 1) & (value[hit[1:]] == value[hit[:-1]])
+        in_run = np.concatenate([[False], again]) | np.concatenate([again, [False]]) if len(hit) else again
+        near: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+        yielded: set[tuple[int, int, int]] = set()
+        for row, item, band, count in self._counted(hit[~in_run], low[~in_run], high[~in_run], rows):
+            sure = count >= self.need[item]
+            for r, k, b in zip(row[sure].tolist(), item[sure].tolist(), band[sure].tolist()):
+                if (r, k, b) not in yielded:
+                    yielded.add((r, k, b))
+                    yield r, k, b * (int(self.edits[k]) + 1)
+            for r, k, b, c in zip(row[~sure].tolist(), item[~sure].tolist(), band[~sure].tolist(), count[~sure].tolist()):
+                near.setdefault((r, k), []).append((np.array([b]), np.array([c])))
+        hit, low = hit[in_run], low[in_run]
+        if not len(hit):
+            return
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(hit) != 1) | (value[hit[1:]] != value[hit[:-1]])]))
+        meets: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
+        for begin, end, entry in zip(hit[first].tolist(), hit[np.append(first[1:], len(hit)) - 1].tolist(), low[first].tolist()):
+            r = int(np.searchsorted(rows, begin, "right")) - 1
+            for k, x, y in self.runs[int(self.gram[entry])]:
+                meets.setdefault((r, k), []).append((begin - int(rows[r]), end - int(rows[r]), x, y))
+        for (r, k), several in meets.items():
+            half, parts = int(self.edits[k]) + 1, near.get((r, k), [])
+            for p1, p2, a1, a2 in several:
+                b = np.arange((p1 - a2) // half - 1, (p2 - a1) // half + 1)
+                parts.append((b, np.maximum(np.minimum(a2, p2 - b * half) - np.maximum(a1, p1 - (b + 2) * half + 1) + 1, 0)))
+            bands, of = np.unique(np.concatenate([b for b, _ in parts]), return_inverse=True)
+            for b in bands[np.bincount(of, np.concatenate([c for _, c in parts])) >= self.need[k]].tolist():
+                if (r, k, b) not in yielded:
+                    yield r, k, b * half
+
+    def _counted(self, hit: np.ndarray, low: np.ndarray, high: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(row, item, band, q-grams of the item in it) of bands that have enough, but for those that runs of one byte may add."""
+        if not len(hit):
+            return
+        reach = 2 * (self.longest + int(self.edits.max()) + 1)
+        total = np.cumsum(high - low)
+        begin = 0
+        while begin < len(hit):
+            end = int(np.searchsorted(total, total[begin] + WINDOW_HITS, "right"))
+            end = max(end, int(np.searchsorted(hit, hit[begin] + 2 * reach, "left")))
+            yield from self._bands(hit[begin:end], low[begin:end], high[begin:end], rows)
+            begin = end if end >= len(hit) else int(np.searchsorted(hit, hit[end] - reach, "left"))
+
+    def _bands(self, hit: np.ndarray, low: np.ndarray, high: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         times = high - low
         pos = np.repeat(hit, times)
         entry = np.repeat(low - (np.cumsum(times) - times), times) + np.arange(times.sum())
         row, item = np.searchsorted(rows, pos, "right") - 1, self.item[entry]
+        least = np.maximum(self.need - self.repeated, 1)
         pair = row * len(self.text) + item
         order = np.argsort(pair, kind="stable")
         edge = np.flatnonzero(np.diff(pair[order], prepend=-1))
         count = np.empty(len(pair), np.int64)
         count[order] = np.repeat(np.diff(edge, append=len(pair)), np.diff(edge, append=len(pair)))
-        kept = (count >= self.need[item]) & (pos + Q <= rows[row + 1])  # enough at all, and not across a row's end
+        kept = count >= least[item]  # enough at all
         pos, entry, row, item = pos[kept], entry[kept], row[kept], item[kept]
         if not len(pos):
             return
@@ -132,8 +198,8 @@ class Items:
         key = np.concatenate([np.stack([row, item, band - shift, self.at[entry]], 1) for shift in (0, 1)])
         once = np.unique(key, axis=0)  # a q-gram of the item counts once in a band
         bands, count = np.unique(once[:, :3], axis=0, return_counts=True)
-        for r, k, b in bands[count >= self.need[bands[:, 1]]]:
-            yield int(r), int(k), int(b * (self.edits[k] + 1))
+        enough = count >= least[bands[:, 1]]
+        yield bands[enough, 0], bands[enough, 1], bands[enough, 2], count[enough]
 
     def found(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """(row, item, first code point, end code point, edits) of every confirmed region in a slice."""
@@ -152,8 +218,10 @@ class Items:
                 while at >= 0:
                     got[r, k, at + len(t)] = 0, at
                     at = line.find(t, at + 1)
+        held = None
         for (r, k, end), (edits, start) in sorted(got.items()):
-            points = np.cumsum((data[offsets[r]:offsets[r + 1]] & 0xC0) != 0x80)
+            if r != held:
+                held, points = r, np.cumsum((data[offsets[r]:offsets[r + 1]] & 0xC0) != 0x80)
             low, high = (int(origin[rows[r] + x] - offsets[r]) for x in (start, end - 1))
             yield r, k, int(points[low]) - 1, int(points[high]), edits
 
@@ -177,6 +245,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text
         shared = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in block.collect()])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release()
             index = Items([i for i, _ in shared.value], [t for _, t in shared.value])
             for batch in batches:
                 hits = []
