@@ -1,4 +1,4 @@
-"""Token counts without a shuffle.
+"""Token counts without a shuffle of texts or pre-tokens.
 
 Two tiers hold the lengths of pre-tokens: a compact table of frequent ones, broadcast to every task, and a bounded cache in each Python
 worker, filled by the tokenizers library's own merge model when a pre-token is first met. Rows never leave their partition.
@@ -20,7 +20,8 @@ from tickloom.llm.text import column
 
 PATTERN = rf"'(?:[stmd]|re|ve|ll)|[{LETTER}]+|[{NUMBER}]|[^\s{LETTER}{NUMBER}]+"
 FREQUENT = 32_768  # entries of the broadcast table at most
-WARM_ROWS = 2_000  # rows whose pre-tokens choose the table's entries; it saves work and never changes a count
+WARM_SHARE = 64  # of so many texts, told by a hash, one has its pre-tokens counted to choose the table's entries; it saves work and never changes a count
+HELD = 10  # times the table's entries that a task counts at most
 CACHE_ENTRIES = 600_000
 _counters: dict[str, TokenCounter] = {}
 
@@ -78,23 +79,27 @@ def counter(path: str) -> TokenCounter:
     return _counters[path]
 
 
-def frequent_lengths(docs: DataFrame, path: str, text_column: str = "text", rows: int = WARM_ROWS, entries: int = FREQUENT) -> tuple[bytes, bytes]:
-    """The broadcast table as packed words and one byte of length each; at most ``entries``, from one task over ``rows`` rows."""
+def frequent_lengths(docs: DataFrame, path: str, text_column: str = "text", share: int = WARM_SHARE, entries: int = FREQUENT) -> tuple[bytes, bytes]:
+    """The broadcast table as packed words and one byte of length each; at most ``entries``. Sampled texts are counted where they are read, and only words with counts move."""
 
-    def top(batches):
+    def counted(batches):
         seen: Counter[str] = Counter()
         c = counter(path)
         for batch in batches:
             for text in column(batch, "text"):
                 for _, pieces in c.splitter.split(text.as_py() or ""):
                     seen.update(pieces or ())
-                if len(seen) > 20 * entries:
-                    seen = Counter(dict(seen.most_common(10 * entries)))
-        words = [(w, c.measure(w)) for w, _ in seen.most_common(entries) if len(w) < 64]
+                if len(seen) > 2 * HELD * entries:
+                    seen = Counter(dict(seen.most_common(HELD * entries)))
+        words = [(w, n) for w, n in seen.most_common(entries) if len(w) < 64]
         yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in words], pa.string()), "n": pa.array([n for _, n in words], pa.int64())})
 
-    got = docs.select(F.col(text_column).cast("string").alias("text")).limit(rows).mapInArrow(top, "word string, n bigint").collect()
-    return "\n".join(r.word for r in got).encode("utf-8"), np.array([r.n for r in got], np.uint8).tobytes()
+    text = F.col(text_column).cast("string")
+    sample = docs.select(text.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
+    top = sample.mapInArrow(counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(entries)
+    words = [r.word for r in top.collect()]
+    c = counter(path)
+    return "\n".join(words).encode("utf-8"), np.array([c.measure(w) for w in words], np.uint8).tobytes()
 
 
 def token_counts(docs: DataFrame, path: str, limit: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
