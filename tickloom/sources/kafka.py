@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,11 +18,17 @@ def read_topic(spark: SparkSession, servers: str, topic: str, *, max_offsets: in
            .option("maxOffsetsPerTrigger", max_offsets).load())
     heads = F.map_from_entries(F.transform("headers", lambda h: F.struct(h["key"], h["value"].cast("string"))))
     return raw.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), heads.alias("headers"),
-                      F.concat_ws(":", "topic", "partition", "offset").alias("event_id"), "timestamp")
+                      F.concat_ws(":", "topic", "partition", "offset").alias("event_id"), "topic", "partition", "offset", "timestamp")
+
+
+def envelope(df: DataFrame, *, key: str = "symbol", headers: Sequence[str] = (), payload: Sequence[str] | None = None) -> DataFrame:
+    """(key, value, headers) to publish: the ``payload`` columns as JSON (default: all), keyed by ``key``, with the ``headers`` columns as strings; a NULL one is left out."""
+    told = F.filter(F.array(*[F.struct(F.lit(h).alias("key"), F.encode(F.col(h).cast("string"), "utf-8").alias("value")) for h in headers]), lambda h: h["value"].isNotNull()) if headers else None
+    body = F.to_json(F.struct(*(payload or df.columns)))
+    return df.select(F.col(key).cast("string").alias("key"), body.alias("value"), *([told.alias("headers")] if headers else []))
 
 
-def write_topic(df: DataFrame, servers: str, topic: str, checkpoint: str, *, key: str = "symbol", suffix: str = ""):
-    """Rows as JSON keyed by symbol; ``suffix`` is ``.retry`` or ``.dlq`` for failing rows."""
-    body = df.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*df.columns)).alias("value"))
-    return (body.writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic + suffix)
+def write_topic(df: DataFrame, servers: str, topic: str, checkpoint: str, *, key: str = "symbol", headers: Sequence[str] = (), suffix: str = ""):
+    """Rows as JSON keyed by symbol, with headers; ``suffix`` is ``.retry`` or ``.dlq`` for failing rows."""
+    return (envelope(df, key=key, headers=headers).writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic + suffix).option("includeHeaders", str(bool(headers)).lower())
             .option("checkpointLocation", checkpoint).start())
