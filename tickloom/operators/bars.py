@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.exprs import micros, ratio, time_bin
+from tickloom.functions.exprs import join_back, micros, ratio, time_bin
 from tickloom.operators.axis import Axis, running, windowed
 
 GRID_CELL = 4096
@@ -142,25 +142,40 @@ def book_resample(df: DataFrame, axis: Axis, step: float, bids: Sequence[str], a
     return fill(out, flat, ["microprice"], "both")
 
 
-def normalize_market(df: DataFrame, axis: Axis, step: float, *, kind: str = "tick", method: str = "ffill",
+def inferred_steps(df: DataFrame, axis: Axis) -> DataFrame:
+    """(keys, ``__step``): the cadence in microseconds of the series of at least three rows whose steps are all equal."""
+    return infer_step(df, axis).where("step_us is not null and rows >= 3").select(*axis.keys, F.col("step_us").cast("long").alias("__step"))
+
+
+def normalize_market(df: DataFrame, axis: Axis, step: float | None, *, kind: str = "tick", method: str = "ffill",
                      price: str = "price", volume: str = "volume") -> DataFrame:
     """Deduplicated, gap-free OHLCV of each series with a ``missing`` flag on bins no data fell in.
 
-    Ticks: one price per bin (the last), so open = high = low = close; volume is the bin's sum.
+    Ticks: one price per bin (the last), so open = high = low = close; volume is the bin's sum. ``kind="ohlcv"`` takes bars as they are. ``method`` fills prices: ``ffill``, ``bfill``, ``interpolate``
+    or ``none``. Without a ``step`` each series has its own cadence if all its steps are equal and it has three rows; other series cannot be put on a grid and are left out (``inferred_steps`` lists those that can).
     """
-    unique = keep_last(df, [*axis.keys, axis.ts], axis.seq)
+    keys = list(axis.keys)
+    unique = keep_last(df, [*keys, axis.ts], axis.seq)
     flat = Axis(axis.keys, axis.ts, (), axis.grain, axis.block_rows)
+    if step is None:
+        steps = inferred_steps(unique, flat)
+        unique = join_back(unique, steps, keys)
+        own = F.timestamp_micros(micros(axis.ts) - F.pmod(micros(axis.ts), F.col("__step")))
     if kind == "tick":
         rank = _rank(axis)
-        binned = unique.groupBy(*axis.keys, time_bin(axis.ts, step).alias(axis.ts)).agg(
+        binned = unique.groupBy(*keys, (time_bin(axis.ts, step) if step else own).alias(axis.ts)).agg(
             F.max_by(price, F.when(F.col(price).isNotNull(), rank)).alias("close"), F.sum(volume).alias("volume"))
         binned = binned.filter(F.col("close").isNotNull()).select(
-            *axis.keys, axis.ts, F.col("close").alias("open"), F.col("close").alias("high"),
+            *keys, axis.ts, F.col("close").alias("open"), F.col("close").alias("high"),
             F.col("close").alias("low"), "close", F.coalesce("volume", F.lit(0.0)).alias("volume"))
     else:
-        binned = unique.select(*axis.keys, axis.ts, "open", "high", "low", "close", "volume")
-    whole = grid_of(binned, flat, step).join(
-        binned.withColumn("__seen", F.lit(True)), [*axis.keys, axis.ts], "left")
+        binned = unique.select(*keys, axis.ts, "open", "high", "low", "close", "volume")
+    if step:
+        grid = grid_of(binned, flat, step)
+    else:
+        ends = join_back(binned.groupBy(*keys).agg(F.min(micros(axis.ts)).alias("__from"), F.max(micros(axis.ts)).alias("__to")), steps, keys)
+        grid = ends.select(*keys, F.explode(F.sequence("__from", "__to", "__step")).alias("__us")).select(*keys, F.timestamp_micros("__us").alias(axis.ts))
+    whole = grid.join(binned.withColumn("__seen", F.lit(True)), [*keys, axis.ts], "left")
     whole = whole.withColumn("missing", F.col("__seen").isNull()).drop("__seen")
     prices = ["open", "high", "low", "close"]
     if method == "none":

@@ -161,6 +161,43 @@ def normalize(t):
         "symbol", us("ts"), "open", "high", "low", "close", "volume", "missing")
 
 
+DAILY = """
+d AS (SELECT symbol, time_bucket(INTERVAL '1 day', ts) AS ts, arg_min(price, (ts, seq)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, seq)) AS close, sum(volume) AS volume FROM ticks GROUP BY 1, 2),
+g AS (SELECT symbol, unnest(generate_series(min(ts), max(ts), INTERVAL '1 day')) AS ts FROM d GROUP BY 1), x AS (SELECT g.symbol, g.ts, open, high, low, close, d.volume, d.close IS NULL AS missing FROM g LEFT JOIN d USING (symbol, ts))"""
+PRICES = ("open", "high", "low", "close")
+FILLED = {
+    "none": ", ".join(PRICES) + ", volume",
+    "bfill": ", ".join(f"first_value({c} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS {c}" for c in PRICES) + ", coalesce(volume, 0) AS volume",
+    "interpolate": ", ".join(f"""round(coalesce({c}, last_value({c} IGNORE NULLS) OVER w + (first_value({c} IGNORE NULLS) OVER f - last_value({c} IGNORE NULLS) OVER w)
+      * date_diff('day', last_value(CASE WHEN {c} IS NOT NULL THEN ts END IGNORE NULLS) OVER w, ts)
+      / date_diff('day', last_value(CASE WHEN {c} IS NOT NULL THEN ts END IGNORE NULLS) OVER w, first_value(CASE WHEN {c} IS NOT NULL THEN ts END IGNORE NULLS) OVER f)), 6) AS {c}""" for c in PRICES) + ", coalesce(volume, 0) AS volume"}
+
+
+def daily(t, axis):
+    return B.ohlcv(t.ticks, axis, 24 * HOUR).withColumnRenamed("bucket", "ts")
+
+
+for _method, _sql in FILLED.items():
+    @query(f"c9_normalize_ohlcv_{_method}", f"""WITH {DAILY} SELECT symbol, epoch_us(ts) AS ts, {_sql}, missing FROM x
+WINDOW w AS (PARTITION BY symbol ORDER BY ts), f AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""")
+    def normalize_ohlcv(t, method=_method):
+        done = B.normalize_market(daily(t, t.by_symbol), Axis(("symbol",), "ts"), 24 * HOUR, kind="ohlcv", method=method)
+        prices = [F.round(c, 6).alias(c) if method == "interpolate" else F.col(c) for c in PRICES]
+        return done.select("symbol", us("ts"), *prices, "volume", "missing")
+
+
+@query("c9_inferred_cadence", """
+WITH d AS (SELECT coalesce(venue, symbol) AS name, time_bucket(INTERVAL '1 day', ts) AS ts, arg_max(price, (ts, seq)) AS price, sum(volume) AS volume FROM ticks GROUP BY GROUPING SETS ((venue, time_bucket(INTERVAL '1 day', ts)), (symbol, time_bucket(INTERVAL '1 day', ts)))),
+s AS (SELECT name FROM (SELECT name, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY name ORDER BY ts)) AS step FROM d) GROUP BY name HAVING min(step) = max(step) AND count(*) >= 3),
+p AS (SELECT name, ts, CASE WHEN day(ts) % 7 <> 3 THEN price END AS close, volume FROM d JOIN s USING (name)), e AS (SELECT name, min(ts) AS lo, max(ts) AS hi FROM p WHERE close IS NOT NULL GROUP BY name)
+SELECT name, epoch_us(ts) AS ts, last_value(close IGNORE NULLS) OVER (PARTITION BY name ORDER BY ts) AS close, CASE WHEN close IS NULL THEN 0 ELSE volume END AS volume, close IS NULL AS missing FROM p JOIN e USING (name) WHERE ts BETWEEN lo AND hi""")
+def inferred_cadence(t):
+    """Daily closes of venues (every day) and symbols (with holes, so most have no cadence), every seventh day without a price."""
+    both = [daily(t, axis).select(F.col(axis.keys[0]).alias("name"), "ts", "close", "volume") for axis in (t.by_venue, t.by_symbol)]
+    rows = both[0].unionByName(both[1]).withColumn("price", F.when(F.dayofmonth("ts") % 7 != 3, F.col("close")))
+    return B.normalize_market(rows, Axis(("name",), "ts"), None).select("name", us("ts"), "close", "volume", "missing")
+
+
 @query("c9_normalize_report", "WITH " + NORM + """
 SELECT symbol, count(*) AS rows, epoch_us(min(n.ts)) AS start, epoch_us(max(n.ts)) AS "end",
   count(*) FILTER (WHERE missing) AS missing_intervals, count(*) FILTER (WHERE missing) AS filled_intervals,
