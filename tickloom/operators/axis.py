@@ -202,13 +202,12 @@ def ewm(df: DataFrame, axis: Axis, columns: Mapping[str, tuple[str, float]], *,
     linear, so inside a cell whose total decay stays representable it is a running sum of ``b*x/A`` with A the
     running product of the decays; a cell needs only the end value of the cell in front of it, since older weight is below 1e-60.
 
-    A block runs as if its first value were the series' first. What that gets wrong is a shift of its start, which
+    Given a split frame the result stays split, so means of means share one. A block runs as if its first value were the series' first. What that gets wrong is a shift of its start, which
     fades with A; the shifts follow from one row of each block (``_shifts``), as does the number of values before the block.
     """
     need = min_periods or {}
     keys = list(axis.keys)
-    rows = unsplit(df) if BLOCK in df.columns else df
-    d, w = split(rows, axis), block_window(axis)
+    d, w = split(df, axis), block_window(axis)
     before, upto = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(W.unboundedPreceding, 0)
     d = d.withColumn("__rn", F.row_number().over(w))
     stats = [F.count("*").alias("rows")]
@@ -250,7 +249,7 @@ def ewm(df: DataFrame, axis: Axis, columns: Mapping[str, tuple[str, float]], *,
         y = F.coalesce(F.col(p + "y") + F.exp(F.col(p + "s")) * F.coalesce(F.col(f"__before.{out}.shift"), F.lit(0.0)), F.col(f"__before.{out}.y"))
         enough = F.col(p + "n") + F.coalesce(F.col(f"__before.{out}.n"), F.lit(0)) >= need.get(out, 1)
         values[out] = F.when(enough, y)
-    return d.select(*[c for c in rows.columns if c not in values], *[v.alias(out) for out, v in values.items()])
+    return d.select(*[c for c in df.columns if c not in values], *[v.alias(out) for out, v in values.items()])
 
 
 def _shifts(blocks: DataFrame, keys: Sequence[str], alphas: Mapping[str, float]) -> DataFrame:

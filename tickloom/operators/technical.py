@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.exprs import finite, ratio
-from tickloom.operators.axis import Axis, ewm, trailing, windowed
+from tickloom.operators.axis import Axis, ewm, split, trailing, unsplit, windowed
 from tickloom.operators.windows import full, pct_change
 
 
@@ -28,9 +28,9 @@ def rsi(df: DataFrame, axis: Axis, price: str = "price", window: int = 14, out:
 
 def macd(df: DataFrame, axis: Axis, price: str = "price", fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     span = lambda n: 2.0 / (n + 1.0)
-    d = ewm(df, axis, {"macd_ema_fast": (price, span(fast)), "macd_ema_slow": (price, span(slow))})
+    d = ewm(split(df, axis), axis, {"macd_ema_fast": (price, span(fast)), "macd_ema_slow": (price, span(slow))})
     d = d.withColumn("macd", F.col("macd_ema_fast") - F.col("macd_ema_slow"))
-    d = ewm(d, axis, {"macd_signal": ("macd", span(signal))})
+    d = unsplit(ewm(d, axis, {"macd_signal": ("macd", span(signal))}))
     return d.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
 
 
@@ -81,10 +81,10 @@ def signal_features(df: DataFrame, axis: Axis, *, price: str = "price", high: st
     if signed:
         means["signed_volume_ema"] = (signed, span(micro_window))
         need["signed_volume_ema"] = micro_window
-    d = ewm(d, axis, means, min_periods=need)
+    d = ewm(split(d, axis), axis, means, min_periods=need)
     d = d.withColumn("rsi", 100.0 - 100.0 / (1.0 + F.col("__g") / (F.col("__l") + 1e-12)))
     d = d.withColumn("macd", F.col("macd_ema_fast") - F.col("macd_ema_slow")).drop("__up", "__down", "__g", "__l")
-    d = ewm(d, axis, {"macd_signal": ("macd", span(signal))})
+    d = unsplit(ewm(d, axis, {"macd_signal": ("macd", span(signal))}))
     return d.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
 
 
