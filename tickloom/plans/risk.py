@@ -211,10 +211,10 @@ def d13(t):
     return rnd(R.slo_alerts(t.ticks, t.by_venue, F.col("price") > 100, "volume", span=14400.0, error_limit=0.2, latency_limit=95.0).select("venue", "seq", "error_rate", "p95", "breach", "alert"), "error_rate", "p95")
 
 
-@query("d14_fingerprint", "SELECT count(*) AS rows, count(*) AS prints FROM ticks")
+@query("d14_fingerprint", """SELECT seq, sha256('{"seq":' || seq || ',"symbol":"' || symbol || '","trace":' || CASE WHEN seq % 3 = 0 THEN 'null' ELSE '"t' || seq % 10 || '"' END || ',"venue":"' || venue || '"}') AS print FROM ticks""")
 def d14(t):
-    d = t.ticks.select(R.fingerprint(t.ticks, t.ticks.columns).alias("f"))
-    return d.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("f").alias("prints"))
+    d = t.ticks.select("venue", "symbol", "seq", F.when(F.col("seq") % 3 != 0, F.concat(F.lit("t"), F.col("seq") % 10)).alias("trace"))
+    return d.select("seq", R.fingerprint(d, d.columns).alias("print"))
 
 
 @query("r6_asset_tail_risk", """

@@ -179,11 +179,11 @@ def bulk(t):
     return S.read_table(t.spark, path)
 
 
-@query("s19_offline_table", "SELECT symbol, count(*) AS rows FROM ticks GROUP BY symbol")
+@query("s19_offline_table", "SELECT symbol, venue, epoch_us(ts) AS ts, seq, price, volume FROM ticks")
 def offline(t):
     path = scratch_dir(t.spark, "offline")
     S.write_table(t.ticks, path, sort_by=["symbol", "ts"])
-    return S.read_table(t.spark, path).groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"))
+    return S.read_table(t.spark, path).select("symbol", "venue", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), "seq", "price", "volume")
 
 
 @query("s20_feature_view_sync", "SELECT symbol, seq, price FROM ticks")
@@ -195,13 +195,12 @@ def sync(t):
     return S.read_table(t.spark, path)
 
 
-@query("s21_result_outputs", "SELECT 3 * count(*) AS rows, round(3 * sum(price), 3) AS total FROM ticks")
+@query("s21_result_outputs", "SELECT fmt, symbol, seq, price FROM ticks, (VALUES ('csv'), ('json'), ('parquet')) f(fmt)")
 def outputs(t):
-    d = t.ticks.select("symbol", "price")
+    d = t.ticks.select("symbol", "seq", "price")
     parts = []
     for fmt in ("csv", "json", "parquet"):
         path = scratch_dir(t.spark, fmt)
         S.write_table(d, path, fmt=fmt)
-        parts.append(S.read_table(t.spark, path, fmt=fmt, schema=d.schema))
-    both = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return both.agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("price"), 3).alias("total"))
+        parts.append(S.read_table(t.spark, path, fmt=fmt, schema=d.schema).withColumn("fmt", F.lit(fmt)))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

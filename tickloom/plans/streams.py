@@ -111,10 +111,18 @@ def t8b(t):
     return S.drain(S.online_amm(d, ["symbol"], ["ts", "seq"], "x", "R", "kappa"), "t8b")
 
 
-@query("t9_online_positions", "SELECT symbol, seq, sum(CASE WHEN seq % 2 = 0 THEN volume + 1 ELSE -volume - 1 END) OVER (PARTITION BY symbol ORDER BY ts, seq) AS position FROM ticks")
+POSITIONS = """
+WITH RECURSIVE o AS (SELECT symbol, seq, price AS p, CASE WHEN seq % 2 = 0 THEN volume + 1 ELSE -volume - 1 END AS q, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) AS k FROM ticks),
+f AS (SELECT symbol, CAST(0 AS BIGINT) AS k, CAST(0 AS DOUBLE) AS held, CAST(0 AS DOUBLE) AS entry, CAST(0 AS DOUBLE) AS realized FROM o GROUP BY 1
+  UNION ALL SELECT o.symbol, o.k, held + q, CASE WHEN held * q >= 0 THEN CASE WHEN held = 0 THEN p ELSE (entry * abs(held) + p * abs(q)) / (abs(held) + abs(q)) END WHEN held + q = 0 THEN 0 WHEN abs(q) > abs(held) THEN p ELSE entry END,
+    realized + CASE WHEN held * q >= 0 THEN 0 ELSE least(abs(held), abs(q)) * (p - entry) * sign(held) END FROM f JOIN o ON o.symbol = f.symbol AND o.k = f.k + 1)"""
+
+
+@query("t9_online_positions", POSITIONS + " SELECT symbol, seq, held AS position, round(entry, 4) AS entry_price, round(realized, 3) AS realized FROM f JOIN o USING (symbol, k)")
 def t9(t):
     d = ticks(t).withColumn("q", F.when(F.col("seq") % 2 == 0, F.col("volume") + 1).otherwise(-F.col("volume") - 1))
-    return S.drain(S.online_positions(d, ["symbol"], ["ts", "seq"], "q", "price"), "t9").select("symbol", "seq", "position")
+    got = S.drain(S.online_positions(d, ["symbol"], ["ts", "seq"], "q", "price"), "t9")
+    return rnd(rnd(got, "entry_price", digits=4), "realized", digits=3)
 
 
 @query("t10_online_arbitrage", TRADES)
@@ -202,8 +210,19 @@ def v5(t):
     return U.rollup(t.ticks, ["venue"], spec)
 
 
-@query("v6_gap_loader", "SELECT symbol, count(*) AS rows FROM ticks GROUP BY symbol")
+@query("v6_gap_loader", "SELECT symbol, epoch_us(day) + i * 3600000000 AS at, i AS hour FROM (SELECT DISTINCT symbol, time_bucket(INTERVAL '1 day', ts) AS day FROM ticks), range(3) r(i)")
 def v6(t):
-    gaps = t.ticks.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
-    got = U.load_gaps(gaps, lambda g: pd.DataFrame({"symbol": [g["symbol"]] * int(g["n"])}), "symbol string")
-    return got.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"))
+    gaps = t.ticks.select("symbol", micros(F.date_trunc("day", "ts")).alias("day")).distinct()
+    return U.load_gaps(gaps, lambda g: pd.DataFrame({"symbol": [g["symbol"]] * 3, "at": [g["day"] + i * 3_600_000_000 for i in range(3)], "hour": range(3)}), "symbol string, at long, hour long")
+
+
+@query("s14_isolated_streams", "SELECT seq, venue, NULL AS error FROM ticks WHERE venue <> 'signup' UNION ALL SELECT NULL, 'signup', 'failed'")
+def s14b(t):
+    """One stream for each venue; that of ``signup`` cannot be read. The others are whole, and the failure is told."""
+    def stream(v):
+        d = ticks(t).filter(F.col("venue") == v).select("seq", "venue")
+        return d.withColumn("venue", F.when(F.col("seq") >= 0, F.raise_error(F.lit("bad message"))).otherwise(F.col("venue"))) if v == "signup" else d
+
+    rows, failed = S.drain_each({v: stream(v) for v in VENUES}, "isolated")
+    told = t.spark.createDataFrame([(None, v, "failed") for v in failed], "seq long, venue string, error string")
+    return rows.select("seq", "venue", F.lit(None).cast("string").alias("error")).unionByName(told)

@@ -9,6 +9,7 @@ import pickle
 from collections.abc import Callable, Iterable, Mapping, Sequence
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +36,28 @@ def drain(df: DataFrame, label: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
+def drain_each(streams: Mapping[str, DataFrame], label: str) -> tuple[DataFrame, dict[str, str]]:
+    """Process several streams of one schema side by side, each as a query of its own, so that one that fails does not stop the others; their rows with their name as ``stream``, and the failures by name.
+
+    What a failed stream had committed before it failed is kept.
+    """
+    spark = next(iter(streams.values())).sparkSession
+    base, queries, failed = scratch_dir(spark, label), {}, {}
+    for name, df in streams.items():
+        queries[name] = df.writeStream.format("parquet").option("path", f"{base}/{name}/out").option("checkpointLocation", f"{base}/{name}/ckpt").trigger(availableNow=True).start()
+    for name, q in queries.items():
+        try:
+            q.awaitTermination()
+        except StreamingQueryException as e:
+            failed[name] = str(e)
+    rows = None
+    for name, df in streams.items():
+        if exists(spark, f"{base}/{name}/out"):
+            part = spark.read.schema(df.schema).parquet(f"{base}/{name}/out").withColumn("stream", F.lit(name))
+            rows = part if rows is None else rows.unionByName(part)
+    return rows, failed
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a table's folder is there, by its own file system."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
