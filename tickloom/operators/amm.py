@@ -49,7 +49,7 @@ class AmmParams:
 
 def keyed_scan(df: DataFrame, axis: Axis, start: Callable[[], object], step: Callable[[object, dict], tuple], columns: Mapping[str, T.DataType],
                inputs: list[str]) -> DataFrame:
-    """Fold each series in order with O(1) Python state; emits one row per row with the extra ``columns``."""
+    """Fold each series in order with the state that ``step`` keeps; emits one row per row with the extra ``columns``."""
     keys = list(axis.keys)
     kept = list(dict.fromkeys([*keys, *axis.order, *inputs]))
     slim = df.select(*kept)

@@ -9,7 +9,8 @@ on *blocks*: runs of consecutive time buckets of one series holding about ``bloc
 
 The map from time bucket to block is built from a count per (series, bucket), which combines map
 side. It holds rows only for series larger than one block, so for tables without hot series it is
-empty, its joins are pruned at run time, and an operator costs the usual single shuffle.
+empty and joins with it are pruned at run time; an operator then costs the combining count and the
+shuffle into blocks. With hot series, rows are shuffled once more where Spark does not broadcast the map.
 """
 
 from __future__ import annotations

@@ -101,6 +101,7 @@ def periodic_costs(fills: DataFrame, market: DataFrame, benchmarks: DataFrame, k
 
 def recommendations(ack_p95: Column, pressure: Column, shortfall: Column, participation: Column, broker_spread: Column) -> Column:
     """Codes of the rules that hold."""
+    # fixed values: the limits of the rules and their codes
     return any_of([(ack_p95 > 1.0, "routing_latency"), (pressure > 1.2, "reduce_participation"), (shortfall > 0.5, "tighten_limits"),
                    (participation > 0.25, "participation_high"), (broker_spread > 0.1, "shift_broker")])
 

@@ -200,6 +200,7 @@ def temporal_summary(df: DataFrame, axis: Axis, price: str, volume: str | None =
 def composite_signal(df: DataFrame, *, R: str, coherence: str, temporal: str, transition: str, static: str, strong: float = 0.8, proto: float = 0.4,
                      ricci_negative: float = -0.3, temporal_limit: float = -0.2, transition_limit: float = 0.7, min_confidence: float = 0.5) -> DataFrame:
     """Market phase with confidence, entry, exit and risk columns, added one upon the other."""
+    # fixed values: the limits above, and the factors of the phases below
     r, coh, kt, tr, st = (F.col(c) for c in (R, coherence, temporal, transition, static))
     phase = F.col("phase")
     d = df.withColumn("phase", F.when((r > strong) & (st < ricci_negative) & (kt < temporal_limit) & (tr < 0.5), "strong_emergent")

@@ -93,6 +93,7 @@ def labels(*, trending: float, reverting: float, liquid: float, illiquid: float,
 
 def adjustments() -> dict[str, Column]:
     """Factors per label, multiplied."""
+    # fixed values: the factors of the labels
     pick = lambda name, table: ladder([(F.col(name) == k, v) for k, v in table.items()], 1.0)
     scale = (pick("trend", {"trending": 1.15, "mean_reverting": 0.9}) * pick("volatility", {"high": 0.6, "low": 1.1})
              * pick("liquidity", {"low": 0.7, "high": 1.05}))
