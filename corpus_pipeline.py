@@ -1,17 +1,21 @@
 """Documents to training ids: five stages, each over all that its predecessor kept.
 
-Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's docs.
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's docs. A stage looks at all rows: null and empty texts pass every filter, and are
+encoded as no tokens; repeated rows and rows of one id, or of none, are judged each by its own text and stay or go together with equal ones; other columns stay up to the last stage.
+Stages bound the batches of the session's Python workers, since executors keep what one stage has used while the next one runs.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm.bpe import encode_decode
 from tickloom.llm.decontaminate import decontaminated
-from tickloom.llm.scratch import small, written
+from tickloom.llm.scratch import bounded_batches, small, written
 from tickloom.llm.secrets import redacted
 from tickloom.llm.setsketch import near_duplicates
 from tickloom.llm.toxicity import toxicity_scores
@@ -26,28 +30,42 @@ def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")) & F.xxhash64(docs["text"].cast("string")).eqNullSafe(F.col("_hash")), "left_anti")
 
 
+def stage(fn):
+    @wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return fn(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@stage
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learnt from all labelled ones, does not call toxic."""
     scores = toxicity_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), text_hash=True)
     return without(docs, scores.where("predicted = 1"))
 
 
+@stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of near duplicates; empty texts are in no group and stay."""
     return without(docs, near_duplicates(docs, SHINGLE_WORDS, SIMILAR_PERCENT, text_hash=True).where("not kept"))
 
 
+@stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
     return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@stage
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked and ``n_chars`` counted again."""
     masked = redacted(docs)
     return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else masked
 
 
+@stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, ids, n_tokens, ids_sha256, decoded_sha256) of every document left."""
     return encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_ids=True)
