@@ -165,12 +165,7 @@ def g11p(t):
 
 @query("g12_bootstrap_intervals")
 def g12(t):
-    return PF.bootstrap(curve(t), t.by_venue, "equity", capital=100000.0, replicates=40)
-
-
-@query("g13_posterior_intervals")
-def g13(t):
-    return PF.posterior(curve(t), t.by_venue, "equity", capital=100000.0, samples=40)
+    return PF.bootstrap(curve(t), t.by_venue, "equity", capital=100000.0)
 
 
 BASE = """b AS (SELECT venue, ts, seq, epoch_us(ts) - epoch_us(min(ts) OVER v) AS o, epoch_us(max(ts) OVER v) - epoch_us(min(ts) OVER v) AS span, row_number() OVER w AS pos, count(*) OVER v AS n
