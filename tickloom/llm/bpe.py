@@ -100,6 +100,12 @@ class Codec:
         self.pairs: dict[int, bool] = {}  # left << 32 | right
         self.cache = Pieces(self.ids)
 
+    def forget(self) -> None:
+        """Empty the caches."""
+        self.cache.clear()
+        self.cache.old, self.cache.bytes = {}, 0
+        self.pairs.clear()
+
     def compatible(self, left: int, right: int) -> bool:
         """Whether the two tokens side by side are left alone.
 
@@ -179,9 +185,7 @@ def encode_decode(docs: DataFrame, path: str, id_column: str = "doc_id", text_co
     null); other columns are not read. ``path`` is a vocabulary file every worker can read.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        c = codec(path)
+    def coded(batches: Iterator[pa.RecordBatch], c: Codec) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, ids_column = column(batch, "text"), column(batch, "id")
             low, held, rows = 0, 0, []
@@ -198,6 +202,15 @@ def encode_decode(docs: DataFrame, path: str, id_column: str = "doc_id", text_co
                     yield pa.RecordBatch.from_pydict(out)
                     low, held, rows = high, 0, []
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        c = codec(path)
+        try:
+            yield from coded(batches, c)
+        finally:  # an idle worker keeps the vocabulary only
+            c.forget()
+            release()
+
     kind = docs.schema[id_column].dataType.simpleString()
     schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     got = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, schema)
