@@ -29,6 +29,28 @@ def ratio(a: Column, b: Column, empty=None) -> Column:
     return out if empty is None else F.coalesce(out, lit_if(empty))
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """``a / b`` as floating point has it: a zero divisor gives an infinity, or NaN for 0 / 0; NULL stays NULL."""
+    return F.when(b == 0, a * F.lit(float("inf"))).otherwise(a / F.nullif(b, F.lit(0.0)))
+
+
+def natural_log(x: Column) -> Column:
+    """``ln(x)`` as floating point has it: minus infinity at 0, NaN below."""
+    return F.when(x == 0, F.lit(float("-inf"))).when(x < 0, F.lit(float("nan"))).otherwise(F.log(x))
+
+
+def round_scaled(x: Column, digits: int) -> Column:
+    """``x`` rounded half away from zero as ``round(x * 10^digits) / 10^digits``.
+
+    Spark rounds the shortest decimal that names the float, so a float just below a half goes up; here its own value decides.
+    """
+    scale = float(10 ** digits)
+    y = F.abs(x) * scale
+    whole = F.floor(y)
+    near = F.when(y - whole >= 0.5, whole + 1).otherwise(whole) / scale
+    return F.when(y < 1e15, F.when(x < 0, -near).otherwise(near)).otherwise(x)
+
+
 def finite(x: Column) -> Column:
     """NULL for NaN and infinities, which pandas and numpy treat as missing."""
     return F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.exprs import micros
 from tickloom.operators import bars as B
 from tickloom.operators.axis import Axis, trailing, windowed
+from tickloom.operators.windows import pct_change
 from tickloom.plans.registry import query
 from tickloom.plans.tables import Tables
 
@@ -33,7 +34,7 @@ def flagship(t: Tables):
     bars = B.ohlcv(t.ticks, t.by_symbol, HOUR)
 
     def build(d, w):
-        d = d.withColumn("ret", F.col("close") / F.nullif(F.lag("close").over(w), F.lit(0.0)) - 1)
+        d = d.withColumn("ret", pct_change("close", w))
         s = trailing(w, 5)
         return d.withColumn("sma_5", F.when(F.count("close").over(s) == 5, F.avg("close").over(s))).withColumn(
             "vol_5", F.when(F.count("ret").over(s) == 5, F.stddev_samp("ret").over(s)))
