@@ -83,7 +83,7 @@ def regression_metrics(truth: str, pred: str, eps: float = 1e-8) -> dict[str, Co
         "mae": F.avg(err), "mse": F.avg(err * err), "rmse": F.sqrt(F.avg(err * err)),
         "mape": F.avg(err / F.greatest(F.abs(t), F.lit(eps))),
         "smape": F.avg(err / F.greatest(F.abs(t) + F.abs(p), F.lit(eps))) * 2,
-        "r2": F.when(F.coalesce(sst, F.lit(0.0)) == 0, F.when(F.max(err) > 0, 0.0).otherwise(1.0)).otherwise(1 - F.sum(err * err) / sst)}
+        "r2": F.when(F.count(err) == 0, None).when(F.coalesce(sst, F.lit(0.0)) == 0, F.when(F.max(err) > 0, 0.0).otherwise(1.0)).otherwise(1 - F.sum(err * err) / sst)}
 
 
 def freshness(df: DataFrame, keys: Sequence[str], ts: str, as_of) -> DataFrame:
@@ -118,10 +118,14 @@ def vwap(quantity: Column, price: Column) -> Column:
     return F.coalesce(F.sum(q * price) / F.nullif(F.sum(q), F.lit(0.0)), F.lit(0.0))
 
 
-def microstructure_report(df: DataFrame, keys: Sequence[str], *, bid="bid_volume", ask="ask_volume", returns="returns", signed="signed_volume") -> DataFrame:
-    """Samples, queue imbalance, price impact slope and the centred signed-root correlation per key."""
+def microstructure_report(df: DataFrame, keys: Sequence[str], *, bid="bid_volume", ask="ask_volume", returns="returns", signed="signed_volume",
+                          infinite: bool = False) -> DataFrame:
+    """Samples, queue imbalance, price impact slope and the centred signed-root correlation per key.
+
+    Slope and correlation are over the finite pairs; ``infinite`` keeps all pairs that are not NULL.
+    """
     keys = list(keys)
-    r, q = finite(F.col(returns)), finite(F.col(signed))
+    r, q = [F.col(c) if infinite else finite(F.col(c)) for c in (returns, signed)]
     pair = r.isNotNull() & q.isNotNull()
     d = df.withColumn("__r", F.when(pair, r)).withColumn("__q", F.when(pair, q))
     means = d.groupBy(*keys).agg(F.avg("__q").alias("__m"))
