@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.exprs import finite, ratio
+from tickloom.functions.exprs import finite, quotient, ratio
 from tickloom.operators.axis import Axis, ewm, split, trailing, unsplit, windowed
 from tickloom.operators.windows import full, pct_change
 
@@ -91,10 +92,10 @@ def signal_features(df: DataFrame, axis: Axis, *, price: str = "price", high: st
 def supervised(features: DataFrame, axis: Axis, columns: Sequence[str], *, price: str = "price", horizon: int = 1, lag: int = 1) -> DataFrame:
     """Lagged clean features with the forward return as ``target``; incomplete rows are dropped."""
     def build(d, w):
-        d = d.withColumn("target", F.lead(price, horizon).over(w) / F.nullif(F.col(price), F.lit(0.0)) - 1)
+        d = d.withColumn("target", quotient(F.lead(price, horizon).over(w), F.col(price)) - 1)
         clean = {c: finite(F.col(c).cast("double")) for c in columns}
         d = d.withColumns(clean)
         return d.withColumns({c: F.lag(c, lag).over(w) for c in columns}) if lag else d
 
     out = windowed(features, axis, build, back=max(lag, 1), fwd=max(horizon, 1))
-    return out.na.drop(subset=[*columns, "target"])
+    return out.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*columns, "target")]))
