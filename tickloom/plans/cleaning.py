@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tickloom.functions.exprs import micros
+from tickloom.functions.exprs import micros, natural_log
 from tickloom.functions.symbols import symbol_code, venue_code
 from tickloom.operators import cleaning as P
 from tickloom.operators.axis import Axis
@@ -22,7 +22,7 @@ def predicates(t):
 @query("p2_named_expressions", """
 SELECT seq, round(price * volume, 6) AS notional, round(ln(price), 6) AS log_price FROM ticks""")
 def expressions(t):
-    named = {"notional": F.round(F.col("price") * F.col("volume"), 6), "log_price": lambda: F.round(F.log("price"), 6)}
+    named = {"notional": F.round(F.col("price") * F.col("volume"), 6), "log_price": lambda: F.round(natural_log(F.col("price")), 6)}
     return P.with_expressions(t.ticks, named).select("seq", *named)
 
 
