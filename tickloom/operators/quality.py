@@ -14,12 +14,23 @@ from tickloom.operators.quantiles import median_mad, quantiles
 
 
 def prior_zscore(df: DataFrame, axis: Axis, column: str, window: int, out: str = "z") -> DataFrame:
-    """Score against mean and population deviation of the ``window`` rows before the current one."""
+    """Score against mean and population deviation of the ``window`` rows before the current one.
+
+    The deviation is Welford's update, written out: the last bit of the squares decides where a score equals a threshold, and Spark's own
+    ``stddev_pop`` multiplies them in another way.
+    """
     def build(d, w):
         prev = w.rowsBetween(-window, -1)
-        full = F.count(column).over(prev) == window
-        z = (F.col(column) - F.avg(column).over(prev)) / F.nullif(F.stddev_pop(column).over(prev), F.lit(0.0))
-        return d.withColumn(out, F.when(full, z))
+        d = d.withColumns({"__full": F.count(column).over(prev) == window, "__mean": F.avg(column).over(prev), "__prev": F.collect_list(column).over(prev)})
+        zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+        def update(s, x):
+            mean = s["mean"] + (x - s["mean"]) / (s["n"] + 1.0)
+            return F.struct((s["n"] + 1.0).alias("n"), mean.alias("mean"), (s["m2"] + (x - mean) * (x - s["mean"])).alias("m2"))
+
+        dev = F.sqrt(F.aggregate(F.col("__prev").cast("array<double>"), zero, update, lambda s: s["m2"] / F.lit(float(window))))
+        z = (F.col(column) - F.col("__mean")) / F.nullif(dev, F.lit(0.0))
+        return d.withColumn(out, F.when(F.col("__full"), z)).drop("__full", "__mean", "__prev")
 
     return windowed(df, axis, build, back=window)
 
