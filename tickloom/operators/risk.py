@@ -152,11 +152,11 @@ def budget_alerts(df: DataFrame, axis: Axis, cost: str, *, period: float, limit:
 
     A threshold is newly crossed where no earlier row since the last re-arming reached it, so the places of the last such rows decide and no series is walked in one task.
     """
-    from tickloom.operators.windows import time_rolling
+    from tickloom.operators.windows import time_totals
 
     levels, rearm = sorted(thresholds), 0.8 * min(thresholds)
     used, place = F.col("used"), F.struct(*axis.order)
-    d = time_rolling(df, axis, period, {"spent": F.sum(cost)}).withColumn("used", (F.col("spent") / limit).cast("double")).drop("spent")
+    d = time_totals(df, axis, period, {"spent": ("sum", F.col(cost))}).withColumn("used", (F.col("spent") / limit).cast("double")).drop("spent")
     marks = {"__armed": ("last", F.when(used < rearm, place))} | {f"__reached{i}": ("last", F.when(used >= t, place)) for i, t in enumerate(levels)}
     d = running(d, axis, marks, exclusive=True)
     new = [F.when((used >= t) & (F.col(f"__reached{i}").isNull() | F.coalesce(F.col(f"__reached{i}") < F.col("__armed"), F.lit(False))), F.lit(float(t))) for i, t in enumerate(levels)]
@@ -166,9 +166,10 @@ def budget_alerts(df: DataFrame, axis: Axis, cost: str, *, period: float, limit:
 def slo_alerts(df: DataFrame, axis: Axis, failed: Column, latency: str, *, span: float = 300.0, error_limit: float = 0.05, latency_limit: float = 1.0, cooldown: float = 600.0) -> DataFrame:
     """Error rate and p95 latency of the trailing window, breaches with a cooldown."""
     from tickloom.operators.signals import cooldown_fold
-    from tickloom.operators.windows import time_rolling
+    from tickloom.operators.windows import time_quantile, time_totals
 
-    d = time_rolling(df.withColumn("__bad", failed.cast("double")), axis, span, {"error_rate": F.avg("__bad"), "p95": F.percentile(latency, 0.95)})
+    d = time_totals(df.withColumn("__bad", failed.cast("double")), axis, span, {"error_rate": ("avg", F.col("__bad"))})
+    d = time_quantile(d, axis, span, latency, 0.95, "p95")
     d = d.withColumn("breach", (F.col("error_rate") > error_limit) | (F.col("p95") > latency_limit)).drop("__bad")
     return cooldown_fold(d, axis, "breach", cooldown, "alert")
 
