@@ -116,28 +116,33 @@ def late_counts(df: DataFrame, keys: Sequence[str], *, expiration: float, event:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("seen"), F.count_if(late).alias("dropped"))
 
 
+KEY_BUCKETS = 256  # values of the state store that the states of all keys are kept in
+
+
 def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: Callable[[], object], step: Callable[[object, dict], list],
-         columns: Mapping[str, T.DataType], inputs: Sequence[str]) -> DataFrame:
+         columns: Mapping[str, T.DataType], inputs: Sequence[str], buckets: int = KEY_BUCKETS) -> DataFrame:
     """Keyed state machine over a stream: ``step(state, row)`` returns (state, rows to emit).
 
-    Rows of a key are put in order within each micro-batch; the state lives in the state store between batches.
+    Rows of a key are put in order within each micro-batch; the state lives in the state store between batches. Keys share ``buckets`` groups by their hash, and a group keeps the states of its
+    keys, so many keys of few rows each do not cost a call and a table each. The number of buckets may not change between runs of one checkpoint.
     """
     keys, order, inputs = list(keys), list(order), list(inputs)
-    slim = df.select(*dict.fromkeys([*keys, *order, *inputs]))
+    slim = df.select(*dict.fromkeys([*keys, *order, *inputs]), F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("__bucket"))
     out = T.StructType([slim.schema[k] for k in keys] + [T.StructField(n, t) for n, t in columns.items()])
 
-    def run(key, batches, state):
-        held = pickle.loads(state.get[0]) if state.exists else start()
+    def run(bucket, batches, state):
+        held = pickle.loads(state.get[0]) if state.exists else {}
         rows = pd.concat(list(batches)).sort_values(order, kind="stable")
+        lists = {c: rows[c].astype(object).where(rows[c].notna(), None).tolist() for c in {*keys, *inputs}}
         emitted = []
-        for values in zip(*[rows[c].astype(object).where(rows[c].notna(), None).tolist() for c in inputs]):
-            held, more = step(held, dict(zip(inputs, values)))
+        for key, values in zip(zip(*[lists[k] for k in keys]), zip(*[lists[c] for c in inputs])):
+            held[key], more = step(held[key] if key in held else start(), dict(zip(inputs, values)))
             emitted += [(*key, *m) for m in more]
         state.update((pickle.dumps(held),))
         yield pd.DataFrame(emitted, columns=[*keys, *columns])
 
     from pyspark.sql.streaming.state import GroupStateTimeout
-    return slim.groupBy(*keys).applyInPandasWithState(run, out, T.StructType([T.StructField("s", T.BinaryType())]), "append", GroupStateTimeout.NoTimeout)
+    return slim.groupBy("__bucket").applyInPandasWithState(run, out, T.StructType([T.StructField("s", T.BinaryType())]), "append", GroupStateTimeout.NoTimeout)
 
 
 def online_ema(df: DataFrame, keys: Sequence[str], order: Sequence[str], x: str, alpha: float) -> DataFrame:
