@@ -133,10 +133,10 @@ def guardrails(metrics: DataFrame, bounds: DataFrame, on: str = "metric") -> Dat
 
 def retraining(events: DataFrame, axis: Axis, feature: str, *, span: float = 3600.0, min_events: int = 3, min_features: int = 2) -> DataFrame:
     """Rows (drift events) at which enough events of enough features fell into the trailing window."""
-    from tickloom.operators.windows import time_rolling
+    from tickloom.operators.windows import time_distinct, time_totals
 
-    d = time_rolling(events, axis, span, {"events": F.count(F.lit(1)), "__set": F.collect_set(feature)})
-    return d.withColumn("features", F.size("__set")).drop("__set").withColumn("retrain", (F.col("events") >= min_events) & (F.col("features") >= min_features))
+    d = time_totals(time_distinct(events, axis, span, feature, "features"), axis, span, {"events": ("count", F.lit(1))})
+    return d.withColumn("retrain", (F.col("events") >= min_events) & (F.col("features") >= min_features))
 
 
 def cost_advice(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, cost: str, utilisation: str, low: float = 0.3, spike: float = 2.0) -> DataFrame:
