@@ -1,20 +1,20 @@
-"""Live order books from snapshot and diff messages, with price levels in the state store.
+"""Live order books from snapshot and diff messages, kept between micro-batches in the state store.
 
-The state of a book is one map for each side, price to quantity, and a head: the sequence it stands at, the time of its last image, and the diffs applied since. A micro-batch reads
-the levels of a book only when an image of it is due, and writes each level that changed once; nothing else of the book is loaded or rewritten.
+A book is one map for each side, price to quantity, and a head: the sequence it stands at, the time of its last image, and the diffs applied since. Books share stored states by the hash of their
+key (``core.fold``): a micro-batch reads and writes the books of a bucket at once, so many books of few messages each do not cost a call for every level.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tickloom.functions.exprs import micros
+from tickloom.streaming.core import fold
 
 SIDES = ("bid", "ask")
 MESSAGE = ("kind", "sequence_start", "sequence_end", "ts", "levels")
@@ -30,87 +30,50 @@ class Images:
     depth: int | None = None
 
 
-class Levels:
-    """One side of a book: the stored map, and the changes of this micro-batch over it."""
-
-    def __init__(self, store):
-        self.store, self.changes, self.emptied = store, {}, False
-
-    def update(self, price: float, quantity: float) -> None:
-        self.changes[price] = quantity
-
-    def clear(self) -> None:
-        self.changes, self.emptied = {}, True
-
-    def all(self) -> dict[float, float]:
-        held = {} if self.emptied else {p: q for (p,), (q,) in self.store.iterator()}
-        return {p: q for p, q in {**held, **self.changes}.items() if q > 0}
-
-    def flush(self) -> None:
-        if self.emptied:
-            self.store.clear()
-        for price, quantity in self.changes.items():
-            if quantity > 0:
-                self.store.updateValue((price,), (quantity,))
-            elif not self.emptied and self.store.containsKey((price,)):
-                self.store.removeKey((price,))
-
-
-class LiveBook(StatefulProcessor):
-    def __init__(self, images: Images, columns: Sequence[str]):
-        self.images, self.columns = images, list(columns)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.out = Row(*self.columns)
-        self.head = handle.getValueState("head", "sequence long, event long, image long, diffs long")
-        self.stores = {side: handle.getMapState(side, "price double", "quantity double") for side in SIDES}
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        sequence, event, image, diffs = self.head.get() if self.head.exists() else (None, None, None, 0)
-        sides = {side: Levels(store) for side, store in self.stores.items()}
-
-        def told(kind: str, at: int, expected: int | None = None) -> Row:
-            return self.out(*key, kind, at, expected, event_us, None, None, None, None)
-
-        def imaged() -> Iterator[Row]:
-            empty = True
-            for side, levels in sides.items():
-                found = sorted(levels.all().items(), reverse=side == "bid")[:self.images.depth]
-                for level, (price, quantity) in enumerate(found, 1):
-                    empty = False
-                    yield self.out(*key, "image", sequence, None, event, side, price, quantity, level)
-            if empty:
-                yield self.out(*key, "image", sequence, None, event, None, None, None, None)
-
-        for row in sorted(rows, key=lambda r: (r["__us"], r["sequence_start"], r["sequence_end"])):
-            event_us, levels = row["__us"], row["levels"] or ()
-            if row["kind"] == "snapshot":
-                for side in sides.values():
-                    side.clear()
-                sequence, event, image, diffs = row["sequence_end"], event_us, event_us, 0
-            elif sequence is None:
-                yield told("baseline", row["sequence_end"])
-                continue
-            elif row["sequence_end"] < sequence + 1:
-                yield told("stale", row["sequence_end"], sequence + 1)
-                continue
-            elif row["sequence_start"] > sequence + 1:
-                yield told("gap", row["sequence_start"], sequence + 1)
-                continue
+@dataclass
+class Book:
+    images: Images
+    sides: dict[str, dict[float, float]]
+    sequence: int | None = None
+    event: int | None = None
+    image: int | None = None
+    diffs: int = 0
+
+    def imaged(self) -> list[tuple]:
+        rows = []
+        for side, levels in self.sides.items():
+            found = sorted(levels.items(), reverse=side == "bid")[:self.images.depth]
+            rows += [("image", self.sequence, None, self.event, side, price, quantity, level) for level, (price, quantity) in enumerate(found, 1)]
+        return rows or [("image", self.sequence, None, self.event, None, None, None, None)]
+
+    def take(self, row: dict) -> list[tuple]:
+        """Apply one message; the rows to put out."""
+        event_us, first, last = row["__us"], row["sequence_start"], row["sequence_end"]
+
+        def told(kind: str, at: int, expected: int | None = None) -> list[tuple]:
+            return [(kind, at, expected, event_us, None, None, None, None)]
+
+        snapshot = row["kind"] == "snapshot"
+        if snapshot:
+            self.sides = {side: {} for side in SIDES}
+            self.sequence, self.event, self.image, self.diffs = last, event_us, event_us, 0
+        elif self.sequence is None:
+            return told("baseline", last)
+        elif last < self.sequence + 1:
+            return told("stale", last, self.sequence + 1)
+        elif first > self.sequence + 1:
+            return told("gap", first, self.sequence + 1)
+        else:
+            self.sequence, self.event, self.diffs = last, event_us, self.diffs + 1
+        for level in row["levels"] if row["levels"] is not None else ():
+            if level["quantity"] > 0:
+                self.sides[level["side"]][level["price"]] = level["quantity"]
             else:
-                sequence, event, diffs = row["sequence_end"], event_us, diffs + 1
-            for level in levels:
-                sides[level["side"]].update(level["price"], level["quantity"])
-            if row["kind"] != "snapshot" and (event - image >= self.images.interval * 1e6 or diffs >= self.images.diffs):
-                yield from imaged()
-                image, diffs = event, 0
-        if sequence is not None:
-            self.head.update((sequence, event, image, diffs))
-            for side in sides.values():
-                side.flush()
-
-    def close(self) -> None:
-        pass
+                self.sides[level["side"]].pop(level["price"], None)
+        if snapshot or not (self.event - self.image >= self.images.interval * 1e6 or self.diffs >= self.images.diffs):
+            return []
+        self.image, self.diffs = self.event, 0
+        return self.imaged()
 
 
 def live_books(messages: DataFrame, keys: Sequence[str], images: Images = Images()) -> DataFrame:
@@ -119,8 +82,13 @@ def live_books(messages: DataFrame, keys: Sequence[str], images: Images = Images
     A message has ``kind`` (snapshot or diff), ``sequence_start``, ``sequence_end``, ``ts`` and ``levels``, an array of (side, price, quantity): a snapshot replaces the book, a diff's quantity replaces
     that of its level, and none or less deletes it. Messages of a book are taken by time and sequence within a micro-batch. A diff is applied if it holds the next sequence number. Otherwise nothing changes and
     a row says why: ``baseline`` (no snapshot yet), ``gap`` (numbers are missing, a snapshot is needed) or ``stale``. ``image`` rows are the levels of a book, best first, when ``images`` says so; an empty book gives
-    one without a level. A book's messages of one micro-batch are sorted in memory, its levels stay in the state store.
+    one without a level. The messages of a bucket of books in one micro-batch are sorted in memory, beside the levels of those books.
     """
     slim = messages.select(*keys, *MESSAGE, micros("ts").alias("__us"))
-    out = T.StructType([slim.schema[k] for k in keys] + T._parse_datatype_string(OUT).fields)
-    return slim.groupBy(*keys).transformWithState(LiveBook(images, out.names), out, "append", "none")
+    columns = {f.name: f.dataType for f in T._parse_datatype_string(OUT).fields}
+
+    def step(book: Book, row: dict) -> tuple[Book, list[tuple]]:
+        return book, book.take(row)
+
+    order = ["__us", "sequence_start", "sequence_end"]
+    return fold(slim, keys, order, lambda: Book(images, {side: {} for side in SIDES}), step, columns, [*order, "kind", "levels"])

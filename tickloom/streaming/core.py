@@ -139,7 +139,7 @@ def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: Callab
             held[key], more = step(held[key] if key in held else start(), dict(zip(inputs, values)))
             emitted += [(*key, *m) for m in more]
         state.update((pickle.dumps(held),))
-        yield pd.DataFrame(emitted, columns=[*keys, *columns])
+        yield pd.DataFrame(emitted, columns=[*keys, *columns], dtype=object)  # whole numbers beside NULLs stay whole
 
     from pyspark.sql.streaming.state import GroupStateTimeout
     return slim.groupBy("__bucket").applyInPandasWithState(run, out, T.StructType([T.StructField("s", T.BinaryType())]), "append", GroupStateTimeout.NoTimeout)
