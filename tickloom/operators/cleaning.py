@@ -127,9 +127,10 @@ def order_violations(quantity: Column, price: Column, spec: str = "") -> Column:
 def check_orders(orders: DataFrame, specs: DataFrame, on: str, *, strict: bool = True, auto_round: bool = True) -> DataFrame:
     """Normalise quantity and price to the venue's steps, then list violations and block.
 
-    As validation stops at the first broken rule, ``violation`` is that rule; ``violations`` has all of them.
+    As validation stops at the first broken rule, ``violation`` is that rule; ``violations`` has all of them. ``specs`` is a list given by the caller, so it is broadcast: joined by key, all orders of
+    a venue would meet in one task.
     """
-    d = orders.join(specs, on, "left")
+    d = orders.join(F.broadcast(specs), on, "left")
     q, p = F.col("quantity"), F.col("price")
     known = F.col("step_size").isNotNull()
     if auto_round:

@@ -108,7 +108,7 @@ n AS (SELECT o.*, s.*, floor(quantity / step_size + 0.5 + 1e-9) * step_size AS n
 
 @query("p9_round_to_step", f"WITH {NORMED} SELECT order_id, line, part, broker, round(nq, 6) AS quantity, round(np, 4) AS price FROM n")
 def rounding(t):
-    d = orders(t).join(specs(t), "venue")
+    d = orders(t).join(F.broadcast(specs(t)), "venue")
     return d.select("order_id", "line", "part", "broker",
                     F.round(P.round_to_step(F.col("quantity"), F.col("step_size")), 6).alias("quantity"),
                     F.round(P.round_to_step(F.col("price"), F.col("tick_size")), 4).alias("price"))
@@ -124,7 +124,7 @@ SELECT order_id, line, part, broker, concat_ws(',',
 FROM o JOIN {SPECS} USING (venue)""")
 def constraints(t):
     d = orders(t).withColumn("quantity", F.round(F.col("quantity") * 4) / 4).withColumn(
-        "price", F.round(F.col("price") * 20) / 20).join(specs(t), "venue")
+        "price", F.round(F.col("price") * 20) / 20).join(F.broadcast(specs(t)), "venue")
     return d.select("order_id", "line", "part", "broker",
                     F.array_join(P.order_violations(F.col("quantity"), F.col("price")), ",").alias("violations"))
 
