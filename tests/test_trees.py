@@ -78,3 +78,25 @@ def test_weights_are_poisson(splits):
     rows = np.random.default_rng(1).integers(0, 1 << 63, 20_000).astype(np.uint64)
     w = Trees(1, Grow(trees=2, depth=1)).weights(rows, 1)
     assert abs(w.mean() - 1) < 0.03 and abs(w.var() - 1) < 0.06
+
+
+@pytest.mark.parametrize("spec", [Grow(trees=6, depth=3, bins=8), Grow(trees=5, depth=2, bins=8, boosted=True, rate=0.5, sample=0.8)])
+def test_combined_rows_grow_the_same_trees(splits, spec):
+    """Sums over combinations of bins hold what all levels of all trees need of the rows."""
+    from tickloom.operators.trees import Trees, _combined
+
+    rows = _binned(splits, ["a", "b"], "y", spec.bins)
+    fold_at = np.array([0, 0, 0, 0, 0, 1])
+    cells = _combined(rows, Trees(2, spec), fold_at, 2).collect()
+    assert len(cells) <= 2 * spec.trees * 64
+    got = [r for r in rows.where("role = 'train'").collect()]
+    w = sum(Trees(2, spec).weights(np.array([r.row for r in got], np.int64).view(np.uint64), t).sum() for t in range(spec.trees))
+    assert sum(c.w for c in cells) == w
+    a, b = grow(rows, [2, 5], 2, spec), grow(rows, [2, 5], 2, spec, combine=False)
+    assert (a.feature == b.feature).all() and (a.cut == b.cut).all() and np.abs(a.value - b.value).max() < 1e-9
+
+
+def test_many_combinations_are_not_held(spark):
+    from tickloom.operators.trees import Trees, _combined
+
+    assert _combined(None, Trees(1, Grow(trees=2, bins=32)), np.zeros(1, np.int64), 5) is None

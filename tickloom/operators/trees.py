@@ -2,6 +2,8 @@
 
 Features are cut at quantiles of each fold's training rows. For a level of all trees of all folds one job sums weight and weighted target by (fold, tree, node, feature, bin); the best cut of each node follows
 from running sums over its bins, and only the cuts (a row for each node) come to the driver, where the trees live as arrays of folds x trees x 2**(depth + 1) nodes. So the driver loops over levels, never over rows or folds.
+
+A tree asks a row for nothing but its bins. Where few features leave few combinations of bins, one job first sums what every tree sees of each combination (``_combined``); all levels then read these sums, not the rows.
 """
 
 from __future__ import annotations
@@ -82,7 +84,7 @@ def _binned(splits: DataFrame, features: Sequence[str], target: str, bins: int)
     edges = splits.where("role = 'train'").groupBy("fold").agg(*[F.array_distinct(F.percentile_approx(f, probs, 10_000)).alias(f"__e_{f}") for f in features])
     at = [F.expr(f"cast(size(filter(`__e_{f}`, e -> e < `{f}`)) as smallint)") for f in features]
     rows = splits.join(edges, "fold")
-    return materialise(rows.select(F.col("fold").cast("int").alias("fold"), "role", F.col(target).cast("double").alias("y"), F.xxhash64(*[F.col(f) for f in features], target).alias("row"), F.array(*at).alias("bins")), "bins")
+    return materialise(rows.select(F.col("fold").cast("int").alias("fold"), "role", F.col(target).cast("double").alias("y"), F.xxhash64(*[F.col(f) for f in features], target).alias("row"), F.array(*at).alias("bins")).repartition("row"), "bins")  # the folds are few, the files must not be
 
 
 def _arrays(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, ...]:
@@ -90,13 +92,59 @@ def _arrays(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, ...]:
     return get("fold").to_numpy(), get("y").to_numpy(), get("row").to_numpy().view(np.uint64), get("bins").flatten().to_numpy().reshape(-1, width)
 
 
-def _histograms(rows: DataFrame, model: Trees, fold_at: np.ndarray, trees: range, level: int, width: int) -> DataFrame:
+def _combined(rows: DataFrame, model: Trees, fold_at: np.ndarray, width: int) -> DataFrame | None:
+    """(fold, tree, code, w, wy): for each combination of bins, weight and weighted target of the training rows as each tree sees them; ``fold`` is the place in the model. None if a task would hold more than ``HELD`` of them."""
+    spec, places = model.spec, model.spec.bins ** width
+    folds = len(model.base)
+    if folds * spec.trees * places > HELD:
+        return None
+    shared = rows.sparkSession.sparkContext.broadcast((model, fold_at))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, fold_index = shared.value
+        w, wy = np.zeros((spec.trees, folds * places)), np.zeros((spec.trees, folds * places))
+        for batch in batches:
+            fold, y, row, bins = _arrays(batch, width)
+            code, at = np.unique(fold_index[fold] * places + bins.astype(np.int64) @ spec.bins ** np.arange(width), return_inverse=True)
+            for t in range(spec.trees):
+                seen = held.weights(row, t)
+                w[t, code] += np.bincount(at, seen, minlength=len(code))
+                wy[t, code] += np.bincount(at, seen * y, minlength=len(code))
+        tree, code = np.nonzero(w)
+        for i in range(0, len(tree), 1 << 16):
+            t, c = tree[i:i + (1 << 16)], code[i:i + (1 << 16)]
+            yield pa.RecordBatch.from_pydict({"fold": pa.array(c // places), "tree": pa.array(t), "code": pa.array(c % places), "w": pa.array(w[t, c]), "wy": pa.array(wy[t, c])})
+
+    got = rows.where("role = 'train'").select("fold", "y", "row", "bins").mapInArrow(run, "fold bigint, tree bigint, code bigint, w double, wy double")
+    return materialise(got.groupBy("fold", "tree", "code").agg(F.sum("w").alias("w"), F.sum("wy").alias("wy")), "cells")
+
+
+def _histograms(rows: DataFrame, model: Trees, fold_at: np.ndarray, trees: range, level: int, width: int, combined: DataFrame | None = None) -> DataFrame:
     """(node, feature, bin, w, wy): sums over the training rows; a node is (fold x trees + tree) x nodes of the level + its place in it."""
     spec, nodes, first = model.spec, 1 << level, (1 << level) - 1
     shared = rows.sparkSession.sparkContext.broadcast((model, fold_at))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of_rows(batch: pa.RecordBatch) -> Iterator[tuple]:
         held, fold_index = shared.value
+        fold, y, row, bins = _arrays(batch, width)
+        fold = fold_index[fold].astype(np.int64)
+        if spec.boosted:
+            y = y - held.predict(fold, bins, trees.start)
+        for t in trees:
+            w = held.weights(row, t)
+            yield fold, np.full(len(fold), t), bins, w, w * y
+
+    def of_combined(batch: pa.RecordBatch) -> Iterator[tuple]:
+        fold, tree, code, w, wy = (c.to_numpy() for c in batch.columns)
+        bins = code[:, None] // spec.bins ** np.arange(width) % spec.bins
+        if spec.boosted:
+            wy = wy - w * shared.value[0].predict(fold, bins, trees.start)
+        yield fold, tree, bins, w, wy
+
+    read = of_rows if combined is None else of_combined
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value[0]
         sums: list[tuple[np.ndarray, ...]] = []
 
         def folded() -> None:
@@ -105,15 +153,11 @@ def _histograms(rows: DataFrame, model: Trees, fold_at: np.ndarray, trees: range
             sums[:] = [(cell, *(np.bincount(at, x, minlength=len(cell)) for x in (w, wy)))]
 
         for batch in batches:
-            fold, y, row, bins = _arrays(batch, width)
-            fold = fold_index[fold]
-            if spec.boosted:
-                y = y - held.predict(fold, bins, trees.start)
-            for t in trees:
-                w, node = held.weights(row, t), held.leaf(fold, t, bins, level)
-                on = (w > 0) & (node >= first) & ((level == 0) | (held.feature[fold, t, (node - 1) // 2] >= 0))
-                key = ((fold[on].astype(np.int64) * spec.trees + t) * nodes + node[on] - first)[:, None] * width + np.arange(width)
-                sums.append(((key * spec.bins + bins[on]).ravel(), np.repeat(w[on], width), np.repeat(w[on] * y[on], width)))
+            for fold, tree, bins, w, wy in read(batch):
+                node = held.leaf(fold, tree, bins, level)
+                on = (w > 0) & (node >= first) & ((level == 0) | (held.feature[fold, tree, (node - 1) // 2] >= 0))
+                key = ((fold[on] * spec.trees + tree[on]) * nodes + node[on] - first)[:, None] * width + np.arange(width)
+                sums.append(((key * spec.bins + bins[on]).ravel(), np.repeat(w[on], width), np.repeat(wy[on], width)))
                 if sum(len(c) for c, _, _ in sums) > HELD:
                     folded()
         if sums:
@@ -123,7 +167,8 @@ def _histograms(rows: DataFrame, model: Trees, fold_at: np.ndarray, trees: range
                 c = cell[i:i + (1 << 16)]
                 yield pa.RecordBatch.from_pydict({"node": pa.array(c // (spec.bins * width)), "feature": pa.array(c // spec.bins % width), "bin": pa.array(c % spec.bins), "w": pa.array(w[i:i + len(c)]), "wy": pa.array(wy[i:i + len(c)])})
 
-    got = rows.where("role = 'train'").select("fold", "y", "row", "bins").mapInArrow(run, "node bigint, feature bigint, bin bigint, w double, wy double")
+    source = rows.where("role = 'train'").select("fold", "y", "row", "bins") if combined is None else combined.where(F.col("tree").between(trees.start, trees.stop - 1)).select("fold", "tree", "code", "w", "wy")
+    got = source.mapInArrow(run, "node bigint, feature bigint, bin bigint, w double, wy double")
     # a task sends at most one row for each cell; all that follows is within a node
     return got.repartition("node").groupBy("node", "feature", "bin").agg(F.sum("w").alias("w"), F.sum("wy").alias("wy"))
 
@@ -139,17 +184,18 @@ def _cuts(cells: DataFrame, spec: Grow) -> DataFrame:
     return sides.groupBy("node").agg(F.first("tw").alias("w"), F.first("ts").alias("wy"), best.alias("best"))
 
 
-def grow(rows: DataFrame, folds: Sequence[int], width: int, spec: Grow) -> Trees:
-    """The trees of every fold from binned rows."""
+def grow(rows: DataFrame, folds: Sequence[int], width: int, spec: Grow, combine: bool = True) -> Trees:
+    """The trees of every fold from binned rows; ``combine``: from sums over combinations of bins where those are few."""
     model = Trees(len(folds), spec)
     fold_at = np.zeros(max(folds) + 1, np.int64)
     fold_at[list(folds)] = np.arange(len(folds))
     if spec.boosted:
         for r in rows.where("role = 'train'").groupBy("fold").agg(F.avg("y").alias("y")).collect():
             model.base[fold_at[r["fold"]]] = r["y"]
+    combined = _combined(rows, model, fold_at, width) if combine else None
     for trees in ([range(t, t + 1) for t in range(spec.trees)] if spec.boosted else [range(spec.trees)]):
         for level in range(spec.depth):
-            cuts = _cuts(_histograms(rows, model, fold_at, trees, level, width), spec).toArrow()
+            cuts = _cuts(_histograms(rows, model, fold_at, trees, level, width, combined), spec).toArrow()
             if not len(cuts):
                 break
             at = cuts["node"].to_numpy()
@@ -183,7 +229,8 @@ def tree_predictions(splits: DataFrame, features: Sequence[str], target: str, sp
         held, fold_index = shared.value
         for batch in batches:
             fold, y, _, bins = _arrays(batch, width)
-            yield pa.RecordBatch.from_pydict({"fold": pa.array(fold.astype(np.int64)), target: pa.array(y), "__pred": pa.array(held.predict(fold_index[fold], bins))})
+            alike, at = np.unique(np.column_stack([fold_index[fold], bins]), axis=0, return_inverse=True)  # rows of the same bins have the same prediction
+            yield pa.RecordBatch.from_pydict({"fold": pa.array(fold.astype(np.int64)), target: pa.array(y), "__pred": pa.array(held.predict(alike[:, 0], alike[:, 1:])[at.ravel()])})
 
     tests = rows.where(F.col("role") == "test").where(F.col("fold").isin(folds)).select("fold", "y", "row", "bins")
     return tests.mapInArrow(run, f"fold bigint, `{target}` double, __pred double")
