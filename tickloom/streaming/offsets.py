@@ -13,17 +13,16 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from tickloom.functions.exprs import join_back
-from tickloom.operators.axis import Axis, windowed
 
 PARTITION = ["topic", "partition"]
 ATTEMPT = "retry-attempt"
-BY_OFFSET = Axis(PARTITION, "offset", (), grain=1e6, numeric=True)
+CELL = 50_000  # offsets of a partition that one task orders together
 
 
 def routed(messages: DataFrame, error: str, attempts: int) -> DataFrame:
@@ -35,25 +34,32 @@ def routed(messages: DataFrame, error: str, attempts: int) -> DataFrame:
 
 
 def take(batch: DataFrame, batch_id: int, base: str, check: Callable[[DataFrame], DataFrame], attempts: int) -> None:
-    """Apply one micro-batch. ``check`` adds a column ``error``, NULL for a good message."""
-    spark = batch.sparkSession
-    rows = batch.persist(StorageLevel.MEMORY_AND_DISK)
-    begin = spark.read.parquet(f"{base}/offsets/batch={batch_id - 1}") if batch_id else rows.select(*PARTITION).distinct().select(
-        *PARTITION, *[F.lit(0).cast("long").alias(c) for c in ("expected", "taken", "replayed")])
-    seen = rows.groupBy(*PARTITION).agg(F.count("*").alias("seen"))
-    known = join_back(rows, begin.select(*PARTITION, "expected"), PARTITION, "left").withColumn("expected", F.coalesce("expected", F.lit(0)))
-    new = known.where(F.col("offset") >= F.col("expected")).dropDuplicates([*PARTITION, "offset"]).persist(StorageLevel.MEMORY_AND_DISK)
-
-    before = windowed(new.select(*PARTITION, "offset", "expected"), BY_OFFSET, lambda d, w: d.withColumn("__last", F.lag("offset").over(w)), back=1)
-    next_one = F.coalesce(F.col("__last") + 1, F.col("expected"))
-    before.where(F.col("offset") > next_one).select(*PARTITION, next_one.alias("expected"), F.col("offset").alias("observed")).write.mode("overwrite").parquet(f"{base}/gaps/batch={batch_id}")
-    routed(check(new.drop("expected")), "error", attempts).write.mode("overwrite").partitionBy("route").parquet(f"{base}/rows/batch={batch_id}")
-    moved = join_back(seen, new.groupBy(*PARTITION).agg((F.max("offset") + 1).alias("reached"), F.count("*").alias("fresh")), PARTITION, "left")
-    state = begin.select(*PARTITION, "expected", "taken", "replayed").unionByName(moved.select(
-        *PARTITION, F.coalesce("reached", F.lit(0)).alias("expected"), F.coalesce("fresh", F.lit(0)).alias("taken"), (F.col("seen") - F.coalesce("fresh", F.lit(0))).alias("replayed")))
-    state.groupBy(*PARTITION).agg(F.max("expected").alias("expected"), F.sum("taken").alias("taken"), F.sum("replayed").alias("replayed")).write.mode("overwrite").parquet(f"{base}/offsets/batch={batch_id}")
-    new.unpersist()
-    rows.unpersist()
+    """Apply one micro-batch. ``check`` adds a column ``error``, NULL for a good message.
+
+    Messages are shuffled once, into cells of ``CELL`` offsets; gaps and offsets are read from the rows written. Nothing is cached, so adaptive execution fits the tasks of every step to its size.
+    """
+    spark, zero, folder = batch.sparkSession, F.lit(0).cast("long"), f"batch={batch_id}"
+    begin = spark.read.parquet(f"{base}/offsets/batch={batch_id - 1}") if batch_id else batch.select(*PARTITION).distinct().select(*PARTITION, *[zero.alias(c) for c in ("expected", "taken", "replayed")])
+    cell, in_cell = F.floor(F.col("offset") / CELL), W.partitionBy(*PARTITION, "__cell").orderBy("offset")
+
+    start = F.broadcast(begin.select(*PARTITION, "expected"))  # a row for each partition
+    known = join_back(batch, start, PARTITION, "left").where(F.col("offset") >= F.coalesce("expected", zero)).drop("expected")
+    sorted_ = known.withColumn("__cell", cell).withColumn("__last", F.lag("offset").over(in_cell))
+    new = sorted_.where(F.col("__last").isNull() | (F.col("offset") > F.col("__last"))).drop("__cell", "__last")
+    routed(check(new), "error", attempts).write.mode("overwrite").partitionBy("route").parquet(f"{base}/rows/{folder}")
+
+    fresh = spark.read.schema(batch.select(*PARTITION, "offset").schema).parquet(f"{base}/rows/{folder}").withColumn("__cell", cell)  # may have no row, so no file
+    inside = fresh.withColumn("__last", F.lag("offset").over(in_cell)).where(F.col("offset") > F.col("__last") + 1)
+    cells = fresh.groupBy(*PARTITION, "__cell").agg(F.min("offset").alias("offset"), F.max("offset").alias("__end"))
+    first = join_back(cells.withColumn("__last", F.lag("__end").over(W.partitionBy(*PARTITION).orderBy("__cell"))), start, PARTITION, "left")
+    between = first.withColumn("expected", F.coalesce(F.col("__last") + 1, "expected", zero)).where(F.col("offset") > F.col("expected"))
+    gaps = inside.select(*PARTITION, (F.col("__last") + 1).alias("expected"), F.col("offset").alias("observed")).unionByName(between.select(*PARTITION, "expected", F.col("offset").alias("observed")))
+    gaps.write.mode("overwrite").parquet(f"{base}/gaps/{folder}")
+
+    counts = [batch.groupBy(*PARTITION).agg(zero.alias("expected"), zero.alias("taken"), F.count("*").alias("replayed")),
+              fresh.groupBy(*PARTITION).agg((F.max("offset") + 1).alias("expected"), F.count("*").alias("taken"), (-F.count("*")).alias("replayed"))]
+    state = begin.select(*PARTITION, "expected", "taken", "replayed").unionByName(counts[0]).unionByName(counts[1])
+    state.groupBy(*PARTITION).agg(F.max("expected").alias("expected"), F.sum("taken").alias("taken"), F.sum("replayed").alias("replayed")).write.mode("overwrite").parquet(f"{base}/offsets/{folder}")
 
 
 def consume(messages: DataFrame, base: str, check: Callable[[DataFrame], DataFrame], attempts: int = 3) -> None:
