@@ -1,5 +1,7 @@
 """The blockwise transform against numpy on whole series, and the layout on its own."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -39,3 +41,18 @@ def test_long_series_in_blocks(spark, detrend):
             got[r.k][r.i] = r.phase
         for k, v in want.items():
             assert np.abs(np.exp(1j * got[k]) - np.exp(1j * v)).max() < 1e-9, (block, k)
+
+
+def test_a_task_of_the_transform_is_small():
+    from tickloom.operators.phase import BLOCK_POINTS
+    to = Layout(3_000_000, BLOCK_POINTS)
+    tracemalloc.start()
+    try:
+        x = np.zeros((to.rows, to.wide))
+        h = hilbert_kernel(np.arange(to.rows)[:, None] * to.columns + np.arange(to.wide), to.n, to.size)
+        pieces = [to.down(x, 0), to.down(h, 0)]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(pieces[0]) * to.tall == to.rows
+    assert peak < 40e6  # four tasks share an executor's Python; 2^20 points took several times as much

@@ -21,7 +21,7 @@ from tickloom.functions.exprs import clip, finite, join_back
 from tickloom.operators.axis import Axis, row_numbers, running, settle, split, trailing, unsplit, windowed
 from tickloom.operators.bars import interpolate, multi_timeframe
 
-BLOCK_POINTS = 1 << 20
+BLOCK_POINTS = 1 << 17  # a task of four holds a few times this many points of 16 bytes, whatever the length of the series
 
 
 def analytic_phase(x: np.ndarray, detrend: bool = False) -> np.ndarray:
