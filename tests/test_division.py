@@ -11,6 +11,8 @@ from tickloom.operators import windows as WI
 from tickloom.operators.aggregates import microstructure_report
 from tickloom.operators.axis import Axis
 from tickloom.operators.folds import evaluate_linear
+from tickloom.plans.aggregates import rnd
+from tickloom.plans.bars import r as rounded
 
 BY = Axis(("k",), "ts", ("seq",))
 PRICES = [4.0, 0.0, 0.0, 2.0, 3.0, 5.0, 4.0, 6.0]
@@ -70,3 +72,12 @@ def test_fold_without_a_fit(spark):
     rows = [("t", 0, "train", INF, 1.0), ("t", 0, "train", 1.0, 2.0), ("t", 0, "train", 2.0, 2.0), ("t", 0, "test", 1.0, 1.0)]
     r = evaluate_linear(spark.createDataFrame(rows, "k string, fold int, role string, x double, y double"), ["k"], ["x"], "y").first()
     assert r.hit_rate == 0.0 and (r.sharpe_ratio, r.total_pnl, r.mae, r.r2) == (None, None, None, None)
+
+
+def test_registered_rounding_next_to_a_half(spark):
+    """A float just below a half goes down, as in the SQL, though its shortest decimal ends on 5."""
+    pairs = [(9.63, 6.4, 0.504687), (3.17, 6.4, -0.504687), (12.81, 6.4, 1.001562), (4.0, 8.0, -0.5)]
+    d = spark.createDataFrame([(i, a / b - 1) for i, (a, b, _) in enumerate(pairs)], "i int, x double")
+    want = [w for _, _, w in pairs]
+    assert [r.x for r in rnd(d, "x").orderBy("i").collect()] == want
+    assert [r.x for r in d.select("i", *rounded("x")).orderBy("i").collect()] == want

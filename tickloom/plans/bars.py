@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tickloom.functions.exprs import micros
+from tickloom.functions.exprs import micros, round_scaled
 from tickloom.operators import bars as B
 from tickloom.operators.axis import Axis, trailing, windowed
 from tickloom.operators.windows import pct_change
@@ -15,7 +15,7 @@ TB = Axis(("venue",), "ts", (), grain=DAY)
 
 
 def r(*cols):
-    return [F.round(c, 6).alias(c) for c in cols]
+    return [round_scaled(F.col(c), 6).alias(c) for c in cols]
 
 
 def us(c, name=None):
