@@ -81,3 +81,10 @@ def test_registered_rounding_next_to_a_half(spark):
     want = [w for _, _, w in pairs]
     assert [r.x for r in rnd(d, "x").orderBy("i").collect()] == want
     assert [r.x for r in d.select("i", *rounded("x")).orderBy("i").collect()] == want
+
+
+def test_imbalance_of_an_empty_queue(spark):
+    d = spark.createDataFrame([("a", 0, 0.0, 0.0), ("a", 1, 2.0, 6.0), ("a", 2, 3.0, None)], "k string, seq long, price double, volume double").withColumn("ts", F.timestamp_seconds(F.col("seq") * 60))
+    for infinite, want in ((True, [math.nan, 0.5, None]), (False, [0.0, 0.5, 0.0])):
+        out = TE.signal_features(d, BY, volume="volume", bid="volume", ask="price", windows=(2,), infinite=infinite)
+        assert same([r.queue_imbalance for r in out.orderBy("seq").collect()], want)

@@ -38,8 +38,11 @@ def macd(df: DataFrame, axis: Axis, price: str = "price", fast: int = 12, slow:
 def signal_features(df: DataFrame, axis: Axis, *, price: str = "price", high: str | None = None, low: str | None = None,
                     volume: str | None = None, bid: str | None = None, ask: str | None = None, signed: str | None = None,
                     windows: Sequence[int] = (5, 20), rsi_window: int = 14, fast: int = 12, slow: int = 26, signal: int = 9,
-                    volatility_window: int = 20, micro_window: int = 50) -> DataFrame:
-    """All technical columns, and those of volume, queue and signed volume where the inputs exist."""
+                    volatility_window: int = 20, micro_window: int = 50, infinite: bool = False) -> DataFrame:
+    """All technical columns, and those of volume, queue and signed volume where the inputs exist.
+
+    The imbalance of an empty queue is 0; ``infinite`` leaves what floating point makes of it (NaN).
+    """
     span = lambda n: 2.0 / (n + 1.0)
     deepest = max([*windows, volatility_window, micro_window]) + 1
 
@@ -60,7 +63,8 @@ def signal_features(df: DataFrame, axis: Axis, *, price: str = "price", high: st
             cols["log_volume"] = F.log(F.nullif(F.col(volume).cast("double"), F.lit(0.0)))
             cols["volume_z"] = full((F.col(volume) - F.avg(volume).over(s)) / F.nullif(F.stddev_samp(volume).over(s), F.lit(0.0)), volume, s, volatility_window)
         if bid and ask:
-            cols["queue_imbalance"] = ratio(F.col(bid) - F.col(ask), F.col(bid) + F.col(ask), 0.0)
+            a, b = F.col(bid) - F.col(ask), F.col(bid) + F.col(ask)
+            cols["queue_imbalance"] = quotient(a, b) if infinite else ratio(a, b, 0.0)
         d = d.withColumns(cols)
         if signed:
             s = trailing(w, micro_window)
