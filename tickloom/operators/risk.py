@@ -151,11 +151,12 @@ def budget_alerts(df: DataFrame, axis: Axis, cost: str, *, period: float, limit:
     """Rolling spend and the thresholds newly crossed; alerts re-arm below 80 % of the lowest threshold.
 
     A threshold is newly crossed where no earlier row since the last re-arming reached it, so the places of the last such rows decide and no series is walked in one task.
+    Shares are judged at 9 decimals, so that a sum which equals a level counts as having reached it in whatever order its floats were added.
     """
     from tickloom.operators.windows import time_totals
 
-    levels, rearm = sorted(thresholds), 0.8 * min(thresholds)
-    used, place = F.col("used"), F.struct(*axis.order)
+    levels, rearm = sorted(thresholds), round(0.8 * min(thresholds), 9)
+    used, place = F.round("used", 9), F.struct(*axis.order)
     d = time_totals(df, axis, period, {"spent": ("sum", F.col(cost))}).withColumn("used", (F.col("spent") / limit).cast("double")).drop("spent")
     marks = {"__armed": ("last", F.when(used < rearm, place))} | {f"__reached{i}": ("last", F.when(used >= t, place)) for i, t in enumerate(levels)}
     d = running(d, axis, marks, exclusive=True)
