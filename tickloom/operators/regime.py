@@ -13,9 +13,14 @@ from tickloom.operators.quantiles import median_mad, quantiles
 from tickloom.operators.windows import pct_change
 
 
+def _spread(name: str) -> Column:
+    """A deviation from the median; NULL where it is 0 or only the rounding error of means of equal values."""
+    return F.when(F.col(name) > 1e-12 * F.abs("median"), F.col(name))
+
+
 def _robust(value: DataFrame, history: DataFrame, column: str, out: str) -> DataFrame:
     m = median_mad(history, [], column)
-    unit = F.coalesce(F.nullif(F.col("mad"), F.lit(0.0)), F.nullif(F.col("mean_dev"), F.lit(0.0)), F.lit(1e-8))
+    unit = F.coalesce(_spread("mad"), _spread("mean_dev"), F.lit(1e-8))
     return value.crossJoin(m).select(((F.col("current") - F.col("median")) / unit).alias(out))
 
 
@@ -59,7 +64,7 @@ def detect(df: DataFrame, axis: Axis, *, price: str = "price", volume: str | Non
     m = median_mad(vol, [], "x")
     volatility = now.crossJoin(cuts).crossJoin(m).select(
         F.col("current").alias("volatility_current"), F.col("low").alias("volatility_low"), F.col("high").alias("volatility_high"),
-        ((F.col("current") - F.col("median")) / F.coalesce(F.nullif(F.col("mad"), F.lit(0.0)), F.lit(1e-8))).alias("volatility_score"))
+        ((F.col("current") - F.col("median")) / F.coalesce(_spread("mad"), F.lit(1e-8))).alias("volatility_score"))
     # liquidity
     parts = []
     for name, c, sign in (("__v", volume, 1.0), ("__s", spread, -1.0)):
